@@ -10,8 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
-from .common import table
+from . import bpe, langid
+from .common import fold, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs, where=fold("doc_id", 5) != 0)
+    found = langid.identify(docs, profiles)
+    return found.withColumn("held_out", fold("doc_id", 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "margin")
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +26,7 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_bpe_round_trip,)}
+    return {f.__name__: f for f in (op1_language_id, op6_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
