@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gam, langid, rules
+from . import bpe, gam, kdsearch, langid, rules, tokencounts
 from .common import fold, table
 
 
@@ -22,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", fold("doc_id", 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "margin")
 
 
+def op2_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.histogram(tokencounts.lengths(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = gam.score(docs, gam.learn(docs, labels, where=fold("doc_id", 3) != 1))
@@ -32,6 +36,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdsearch.top_k(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = rules.apply(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
@@ -39,7 +47,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op5_quality_gam, op6_bpe_round_trip, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_histogram, op5_quality_gam, op6_bpe_round_trip, op7_exact_top_k, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
