@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gam, kdsearch, langid, rules, tokencounts
+from . import bpe, chat, gam, kdsearch, langid, rules, tokencounts
 from .common import fold, table
 
 
@@ -26,6 +26,10 @@ def op2_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.histogram(tokencounts.lengths(table(spark, sf_dir, "documents")))
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.windows(chat.with_probe(spark, table(spark, sf_dir, "conversations"))))
+
+
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = gam.score(docs, gam.learn(docs, labels, where=fold("doc_id", 3) != 1))
@@ -47,8 +51,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_histogram, op5_quality_gam, op6_bpe_round_trip, op7_exact_top_k, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_histogram, op4_chat_windows, op5_quality_gam, op6_bpe_round_trip, op7_exact_top_k, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_windows": chat.ORACLE_SQL}
