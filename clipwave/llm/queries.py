@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gam, kdsearch, langid, rules, tokencounts
+from . import bpe, chat, gam, kdsearch, langid, rules, sharding, tokencounts
 from .common import fold, table
 
 
@@ -50,8 +50,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), 24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_histogram, op4_chat_windows, op5_quality_gam, op6_bpe_round_trip, op7_exact_top_k, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_histogram, op4_chat_windows, op5_quality_gam, op6_bpe_round_trip, op7_exact_top_k, op9_quality_rules, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
