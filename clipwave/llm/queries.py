@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gam, kdsearch, langid, rules, sharding, tokencounts
+from . import bpe, chat, gam, jaccard, kdsearch, langid, mixing, rules, sharding, tokencounts
 from .common import fold, table
 
 
@@ -26,6 +26,10 @@ def op2_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.histogram(tokencounts.lengths(table(spark, sf_dir, "documents")))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(chat.with_probe(spark, table(spark, sf_dir, "conversations"))))
 
@@ -44,6 +48,11 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdsearch.top_k(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0)
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = rules.apply(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
@@ -56,8 +65,8 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_histogram, op4_chat_windows, op5_quality_gam, op6_bpe_round_trip, op7_exact_top_k, op9_quality_rules, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_histogram, op3_jaccard_join, op4_chat_windows, op5_quality_gam, op6_bpe_round_trip, op7_exact_top_k, op8_source_mixing, op9_quality_rules, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_windows": chat.ORACLE_SQL}
+    return {"op4_chat_windows": chat.ORACLE_SQL, "op8_source_mixing": mixing.oracle()}
