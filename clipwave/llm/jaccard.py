@@ -176,10 +176,10 @@ def lonely(docs: DataFrame, text: str, total: int) -> DataFrame:
     return own.groupBy("reply").applyInArrow(count, "c long, u long")
 
 
-def keyed(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``docs`` whose key is among ``keys``: by broadcast up to BROADCAST keys, else by a shuffle."""
+def keyed(docs: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose key is among ``keys`` (``left_anti``: isn't): by broadcast up to BROADCAST keys, else by a shuffle."""
     few = keys.limit(BROADCAST + 1).count() <= BROADCAST
-    return docs.join(F.broadcast(keys) if few else keys.hint("merge"), key, "left_semi")
+    return docs.join(F.broadcast(keys) if few else keys.hint("merge"), key, how)
 
 
 def survivors(docs: DataFrame, described: DataFrame, key: str, text: str) -> DataFrame:
@@ -352,3 +352,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     out = described.join(named, ["c", "n"], "left")
     own = F.when(F.col(key).isNotNull(), F.coalesce("component_id", key))
     return out.select(key, F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the documents that link, directly or not, to one with a smaller key. Rows without a key stay."""
+    found = materialize(join(docs, key, text), "joined")
+    return keyed(docs, found.where(F.col("component_id") != F.col(key)).select(key).distinct(), key, "left_anti")

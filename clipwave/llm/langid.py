@@ -161,9 +161,11 @@ def add_vectors(df: DataFrame, key: str, vector: str, dimensions: int) -> DataFr
     return places.groupBy(key, "at").agg(F.sum("x").alias("x")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(vector))
 
 
-def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text", centre: bool = False) -> DataFrame:
-    """``key``, ``lang_pred``, ``score`` (the cosine, not under 0) and ``margin`` (to the runner-up) of every text."""
-    kind = docs.schema[key].dataType.simpleString()
+def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text", centre: bool = False, keep: bool = False) -> DataFrame:
+    """``key``, ``lang_pred``, ``score`` (the cosine, not under 0) and ``margin`` (to the runner-up)
+    of every text; with ``keep``, all columns of ``docs`` and these."""
+    docs = docs.drop("lang_pred", "score", "margin") if keep else docs.select(key, text)
+    own = docs.columns if keep else [key]
     names, dimensions = profiles.languages, profiles.vectors.shape[1]
     ways = profiles.directions(centre).astype(np.float32)
 
@@ -180,6 +182,7 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
             top = np.sort(cosines, axis=1)
             score = np.where(lettered, np.clip(top[:, -1], 0, 1), 0).astype(np.float64)
             margin = np.where(lettered, top[:, -1] - (top[:, -2] if len(names) > 1 else 0), 0).astype(np.float64)
-        return pa.RecordBatch.from_arrays([part.column(key), pa.array(pred, pa.string()), pa.array(score), pa.array(margin)], names=[key, "lang_pred", "score", "margin"])
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(pred, pa.string()), pa.array(score), pa.array(margin)], names=[*own, "lang_pred", "score", "margin"])
 
-    return map_slices(docs.select(key, text), work, f"`{key}` {kind}, lang_pred string, score double, margin double", text)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "lang_pred string", "score double", "margin double"])
+    return map_slices(docs, work, schema, text)

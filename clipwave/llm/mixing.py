@@ -3,9 +3,11 @@
 Documents fall into cells of source, language and topic. The cells' token counts are raked:
 scaled so that the sums over each source match the sources' targets, then the languages',
 then the topics', again and again. A cell's calibrated weight over its share of tokens is
-its rate; a document is kept with a probability in proportion to its cell's rate, the
-largest being 1, by a hash of its key. So the kept tokens follow the calibrated weights,
-and a run on the same rows keeps the same documents.
+its rate; a document is kept with the probability ``budget`` times its cell's rate, at most
+1, by a hash of its key. So the kept tokens follow the calibrated weights as far as the
+supply goes (a cell that is wanted more than it has is kept whole), and a run on the same
+rows keeps the same documents. A budget of 1 asks for as many tokens as there are; with one under the inverse of the
+largest rate no cell is short and the weights are met exactly, in expectation.
 
 All is DataFrame expressions. Documents are pre-aggregated to cells before anything is
 shuffled; raking works on the cells by window sums. The cells come back to the documents
@@ -58,7 +60,7 @@ def targets(cells: DataFrame, side: str, given: dict[str, float] | None = None,
     return weighed.select(side, (F.col("raw") / F.sum("raw").over(Window.partitionBy(F.lit(0)))).alias("target"))
 
 
-def calibrate(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def calibrate(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, budget: float = 1.0) -> DataFrame:
     """``cells`` with ``weight`` (raked share of tokens) and ``probability``."""
     marked = cells
     for side in SIDES:
@@ -68,18 +70,18 @@ def calibrate(cells: DataFrame, given: dict[str, dict[str, float]] | None = None
         for side in SIDES:
             total = F.sum("weight").over(Window.partitionBy(side))
             live = live.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"to_{side}") / total).otherwise(0.0))
-    rate = live.withColumn("rate", F.col("weight") / F.col("tokens"))
-    top = F.max("rate").over(Window.partitionBy(F.lit(0)))
-    return rate.select(*SIDES, "tokens", "weight", F.when(top > 0, F.col("rate") / top).otherwise(0.0).alias("probability"))
+    everything = Window.partitionBy(F.lit(0))  # cells, not documents
+    rate = F.col("weight") / F.sum("weight").over(everything) / (F.col("tokens") / F.sum("tokens").over(everything))
+    return live.withColumn("probability", F.least(F.lit(1.0), F.when(F.sum("weight").over(everything) > 0, budget * rate).otherwise(0.0))).select(*SIDES, "tokens", "weight", "probability")
 
 
-def mix(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, topic: Column | None = None, key: str = "doc_id", text: str = "text", seed: str = "") -> DataFrame:
+def mix(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, topic: Column | None = None, key: str = "doc_id", text: str = "text", seed: str = "", budget: float = 1.0) -> DataFrame:
     """``docs`` with ``topic``, ``tokens``, ``probability`` and ``kept``."""
     own = [c for c in docs.columns if c not in ("topic", "tokens", "probability", "kept")]
     marked = docs.withColumns({"topic": topic_of(text) if topic is None else topic, "tokens": tokens_of(text), "m_source": F.coalesce("source", F.lit("")), "m_lang": F.coalesce("lang", F.lit(""))})
     cells = marked.groupBy(F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
     cells = materialize(cells, "cell-sums")
-    rates = materialize(calibrate(cells, given).select(F.col("source").alias("m_source"), F.col("lang").alias("m_lang"), "topic", "probability"), "cell-rates")
+    rates = materialize(calibrate(cells, given, budget=budget).select(F.col("source").alias("m_source"), F.col("lang").alias("m_lang"), "topic", "probability"), "cell-rates")
     few = rates.limit(BROADCAST + 1).count() <= BROADCAST
     joined = marked.join(F.broadcast(rates) if few else rates, ["m_source", "m_lang", "topic"], "left")
     chance = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
@@ -102,7 +104,7 @@ def oracle() -> str:
             name = f"w_{k}_{s}"
             parts.append(f"{name} as materialized (select x.source, x.lang, x.topic, x.tokens, x.w * t_{s}.target / sum(x.w) over (partition by x.{s}) as w from {last} x join t_{s} using ({s}))")
             last = name
-    parts.append(f"r as (select source, lang, topic, (w / tokens) / max(w / tokens) over () as p from {last})")
+    parts.append(f"r as (select source, lang, topic, least(1.0, (w / sum(w) over ()) / (tokens / sum(tokens) over ())) as p from {last})")
     return "with " + ",\n".join(parts) + """
 select doc_id, m.source, m.lang, m.topic, cast(tokens as bigint) as tokens, round(coalesce(p, 1.0), 6) as probability,
        cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) / 4294967296.0 < round(coalesce(p, 1.0), 9) as kept

@@ -1,26 +1,36 @@
-"""Stages of the corpus pipeline: each calls one operator and lets its decision take effect."""
+"""Stages of the corpus pipeline: each calls one operator and lets its decision take effect.
+
+All but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, gam, jaccard, langid, mixing
+from .common import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Texts that the quality classifier gives 0.5 or more; it learns from the labelled ones among them."""
+    model = gam.learn(docs, table(spark, sf_dir, "labels"))
+    return gam.score(docs, model, keep=True).where("score >= 0.5").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Texts that resemble some language: those without a letter, or with no cosine over 0, go."""
+    found = langid.identify(docs, langid.learn(docs), keep=True)
+    return found.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] > 0)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return jaccard.representatives(docs).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """A sample whose tokens follow the calibrated weights."""
+    return mixing.mix(docs).where("kept").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
