@@ -1,15 +1,647 @@
-"""All queries by name, with the DuckDB SQL that gives the same rows."""
+"""All queries by name, with the DuckDB SQL that gives the same rows.
+
+Recording concepts are mapped onto the driver's tables: a user's events are a channel's
+samples in order of time, an embedding is a window of samples, brands and nations are
+contact labels, labelled documents are annotated clips whose score is their length.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import scalars as S
+from ..operators import channels as C
+from ..operators import evaluation as V
+from ..operators import patterns as P
+from ..operators import signal as G
+from ..sources import tables as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+HOUR = 3600.0
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    from ..streaming import queries as _stream  # noqa: F401  registers the detectors' queries
+
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples: ``chan``, ``event_id``, ``event_type``, ``x``, ``t`` (seconds) and ``i``."""
+    since = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))") / 1e6
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("chan"), "event_id", "event_type", F.col("value").alias("x"), since.alias("t"))
+    return G.numbered(e, "chan", "t", "event_id")
+
+
+EV = """ev as (
+  select user_id as chan, event_id, event_type, value as x, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1e6 as t,
+         row_number() over (partition by user_id order by ts, event_id) - 1 as i from events)"""
+WIN = EV + """, w as (
+  select chan, event_id, event_type, x, t, i, i // 5 as win from (select *, count(*) over (partition by chan) as n from ev) where (i // 5 + 1) * 5 <= n)"""
+LL = WIN + """, l as (
+  select chan % 10 as clip, chan, win, coalesce(sum(step), 0.0) as ll
+  from (select *, abs(x - lag(x) over (partition by chan, win order by i)) as step from w) group by 1, 2, 3)"""
+BASE = LL + """, k as (
+  select * from (select *, row_number() over (partition by clip, chan order by ll) as r, count(*) over (partition by clip, chan) as n from l where win < 6)
+  where r <= greatest(1, floor(n * 0.8 + 1e-9))),
+med as (select clip, chan, median(ll) as med, count(*) as n_baseline from k group by 1, 2),
+mad as (select k.clip, k.chan, median(abs(ll - med)) as mad from k join med using (clip, chan) group by 1, 2)"""
+ZED = BASE + f""", g as (select clip, median(med) as gmed from med group by 1),
+z as (select l.clip, l.chan, l.win, (ll - med) / (greatest(1.4826 * mad, 0.25 * gmed) + {S.EPS}) as z, l.win % 7 <> 3 as valid
+  from l join med using (clip, chan) join mad using (clip, chan) join g using (clip) where l.win >= 6)"""
+RUN = ZED + """, m as (
+  select clip, chan, win, case when n = 3 then low else -'inf'::double end as run_min from (
+    select clip, chan, win, min(case when valid then z else -'inf'::double end) over f as low, count(*) over f as n
+    from z window f as (partition by clip, chan order by win rows between current row and 2 following))),
+s as (select clip, run_min as score, case when run_min > -'inf'::double then chan end as chan, case when run_min > -'inf'::double then win end as onset_win
+  from (select *, row_number() over (partition by clip order by run_min desc, chan, win) as r from m) where r = 1)"""
+
+
+def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.tumble(samples(spark, sf_dir), 5)
+
+
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.line_length(windowed(spark, sf_dir)).withColumn("clip", F.col("chan") % 10)
+
+
+def z_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ll = lengths(spark, sf_dir)
+    base = G.robust_baseline(ll.where("win < 6"), keys=("clip",))
+    return G.z_scores(ll.where("win >= 6"), base).select("clip", "chan", "win", "z", (F.col("win") % 7 != 3).alias("valid"))
+
+
+# Labels and channels
+
+
+@query("select c_custkey, regexp_replace(c_name, '^([^0-9]*)0', '\\1') as label from customer")
+def label_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", S.normalize_label(F.col("c_name")).alias("label"))
+
+
+NATION = "c as (select replace(n_name, '_', '') as label, regexp_extract(replace(n_name, '_', ''), '([A-Za-z]+)([0-9]+)', 1) as e, cast(regexp_extract(replace(n_name, '_', ''), '([A-Za-z]+)([0-9]+)', 2) as integer) as k from nation)"
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "nation").select(F.replace("n_name", F.lit("_"), F.lit("")).alias("label"))
+
+
+@query(f"with {NATION} select a.label as first, b.label as second from c a join c b on a.e = b.e and b.k = a.k + 1")
+def bipolar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.pairs(nations(spark, sf_dir)).select("first", "second")
+
+
+@query(f"with {NATION} select a.label, b.label as alt from c a left join c b on a.e = b.e and b.k = a.k + 1")
+def alt_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.partners(nations(spark, sf_dir)).select("label", "alt")
+
+
+BRANDS = ("Brand3", "Brand17", *C.NOT_CONTACTS)
+
+
+@query(f"select p_partkey, replace(p_brand, '#', '') as label from part where replace(p_brand, '#', '') not in {BRANDS}")
+def exclude_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.without(read(spark, sf_dir, "part").select("p_partkey", F.replace("p_brand", F.lit("#"), F.lit("")).alias("label")), BRANDS)
+
+
+@query(
+    f"""with {NATION}, p as (select a.label, a.k, b.label as alt from c a left join c b on a.e = b.e and b.k = a.k + 1)
+select label, alt from p where starts_with(label, 'NATION') and label not in ('NATION3', 'NATION4') and coalesce(alt, '') not in ('NATION3', 'NATION4') and k < 11"""
+)
+def eligible_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.eligible(nations(spark, sf_dir), ("NATION3", "NATION4"))
+
+
+def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.replace("p_brand", F.lit("#"), F.lit("")).alias("label"))
+
+
+@query("select distinct replace(p_brand, '#', '') as label, cast(regexp_extract(p_brand, '[0-9]+') as integer) as number from part")
+def electrode_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.clip_channels(brands(spark, sf_dir), ("Brand5", "Brand6"))
+
+
+@query("select distinct replace(p_brand, '#', '') as label, cast(regexp_extract(p_brand, '[0-9]+') as integer) as number from part where cast(regexp_extract(p_brand, '[0-9]+') as integer) in (4, 5, 6, 7)")
+def neighbor_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.clip_channels(brands(spark, sf_dir), ("Brand6", "Brand5"), "neighbors")
+
+
+STIMS = [(0, "NATION", 3, 4), (1, "NATION", 10, 11), (2, "NATION", 0, 1), (3, "NATION", 23, 24), (4, "OTHER", 1, 2)]
+
+
+@query(
+    f"""with {NATION}, s(stim_id, e, x, y) as (values {", ".join(f"({i}, '{e}', {a}, {b})" for i, e, a, b in STIMS)}),
+p as (select a.e, a.k, a.label as first, b.label as second from c a join c b on a.e = b.e and b.k = a.k + 1)
+select stim_id, first, second, away, rank from (
+  select stim_id, first, second, abs(k + 0.5 - (x + y) / 2.0)::double as away,
+         row_number() over (partition by stim_id order by abs(k + 0.5 - (x + y) / 2.0), k) as rank
+  from p join s using (e) where k not in (x, y) and k + 1 not in (x, y)) where rank <= 2"""
+)
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stims = spark.createDataFrame(STIMS, "stim_id int, electrode string, a int, b int")
+    return C.candidates(C.pairs(nations(spark, sf_dir)), stims, 2)
+
+
+@query("select doc_id, coalesce(nullif(regexp_extract(source, '(rc[0-9]+)', 1), ''), source) as grp from documents")
+def group_id_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", S.group_id(F.col("source"), "rc[0-9]+").alias("grp"))
+
+
+@query(
+    """with p as (select l_orderkey, l_linenumber, array_to_string(list_sort(['L' || l_partkey, 'L' || l_suppkey]), '-') as pair from lineitem)
+select *, regexp_replace('S 1' || '_ev' || lpad(cast(l_linenumber as varchar), 2, '0') || '_' || pair, '[^\\w-]', '', 'g') as clip,
+       regexp_replace('S1_ev' || lpad(cast(l_linenumber as varchar), 2, '0') || '_' || pair, '_ev[0-9]+.*$', '') as session from p"""
+)
+def pair_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = lambda c: F.concat(F.lit("L"), F.col(c).cast("string"))
+    p = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.pair_string(label("l_partkey"), label("l_suppkey")).alias("pair"))
+    return p.withColumns({"clip": S.clip_name(F.lit("S 1"), F.col("l_linenumber"), F.col("pair")), "session": S.session_of_clip(S.clip_name(F.lit("S1"), F.col("l_linenumber"), F.col("pair")))})
+
+
+@query(
+    """with a as (select p_partkey, case when p_partkey % 3 = 0 then 'Closed relay to P0' || p_size || ' and Q' || (p_size + 1) || ' ' || p_name else p_name end as note from part),
+b as (select p_partkey, nullif(regexp_extract(note, 'Closed relay to ([A-Za-z]+[0-9]+) and ([A-Za-z]+[0-9]+)', 1), '') as x,
+             nullif(regexp_extract(note, 'Closed relay to ([A-Za-z]+[0-9]+) and ([A-Za-z]+[0-9]+)', 2), '') as y from a)
+select p_partkey, regexp_replace(x, '^([^0-9]*)0', '\\1') as chan_a, regexp_replace(y, '^([^0-9]*)0', '\\1') as chan_b from b where x is not null"""
+)
+def pattern_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    size = F.col("p_size")
+    note = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Closed relay to P0"), size.cast("string"), F.lit(" and Q"), (size + 1).cast("string"), F.lit(" "), "p_name")).otherwise(F.col("p_name"))
+    a, b = S.relay_channels(F.col("note"))
+    return p.select("p_partkey", note.alias("note")).select("p_partkey", a.alias("chan_a"), b.alias("chan_b")).where("chan_a is not null")
+
+
+@query(
+    """with b as (select distinct s_nationkey * 10.0 as base, 'N' || s_nationkey as chan from supplier)
+select c_custkey as click_id, chan from (select c_custkey, chan, row_number() over (partition by c_custkey order by abs(c_acctbal / 30.0 - base), chan) as r from customer, b) where r = 1"""
+)
+def nearest_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = read(spark, sf_dir, "supplier").select((F.col("s_nationkey") * 10.0).alias("base"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("chan")).distinct()
+    return C.nearest_channels(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("click_id"), (F.col("c_acctbal") / 30.0).alias("y")), base)
+
+
+@query(
+    f"""with {WIN}, j as (select a.chan, a.win, a.i, a.x - b.x as d from w a left join w b on b.chan = a.chan + 1 and b.i = a.i and b.win = a.win and a.chan % 2 = 0)
+select chan, win, i, round(d - avg(d) over (partition by chan, win), 6) as bipolar from j"""
+)
+def bipolar_montage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windowed(spark, sf_dir)
+    alt = w.select("chan").distinct().where("chan % 2 = 0").withColumn("partner", F.col("chan") + 1)
+    return C.montage(w.select("chan", "win", "i", "x"), alt, ("win", "i")).select("chan", "win", "i", F.round("bipolar", 6).alias("bipolar"))
+
+
+# Windows
+
+
+@query("select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 6) as energy from embeddings")
+def window_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(G.energy_of(F.col("embedding")), 6).alias("energy"))
+
+
+HOLES = "case when event_id % 7 = 0 or (chan % 11 = 0 and win = 2) then null else x end"
+
+
+@query(f"with {WIN}, h as (select chan, win, i, {HOLES} as x from w) select chan, win, i, round(coalesce(x, m) - m, 6) as demeaned from (select *, coalesce(avg(x) over (partition by chan, win), 0.0) as m from h)")
+def nan_fill_demean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    holed = windowed(spark, sf_dir).withColumn("x", F.expr(HOLES))
+    return G.fill_demean(holed).select("chan", "win", "i", F.round("demeaned", 6).alias("demeaned"))
+
+
+@query("select vec_id, round(list_sum(list_transform(range(2, len(embedding) + 1), lambda k: abs(embedding[k]::double - embedding[k - 1]::double))), 6) as ll from embeddings")
+def line_length_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(G.line_length_of(F.transform("embedding", lambda x: x.cast("double"))), 6).alias("ll"))
+
+
+@query(f"with {LL} select clip, chan, win, round(ll, 6) as ll from l")
+def line_length_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths(spark, sf_dir).select("clip", "chan", "win", F.round("ll", 6).alias("ll"))
+
+
+@query(f"with {BASE} select clip, chan, n_baseline, round(med, 6) as med, round(mad, 6) as mad from med join mad using (clip, chan)")
+def robust_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = G.robust_baseline(lengths(spark, sf_dir).where("win < 6"), keys=("clip",))
+    return base.select("clip", "chan", "n_baseline", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"))
+
+
+@query(f"with {ZED} select clip, chan, win, round(z, 6) as z, valid from z")
+def zscore_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return z_rows(spark, sf_dir).withColumn("z", F.round("z", 6))
+
+
+@query("select vec_id, round(list_sum(list_transform(range(1, 65), lambda k: embedding[k]::double * pow(0.3, (64 - k)))), 9) as decayed from embeddings")
+def decay_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each component as a window of one sample: what the buffer holds after the last."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.aggregate("embedding", F.lit(0.0), lambda b, x: 0.3 * b + x.cast("double")).alias("b"))
+    return e.select("vec_id", F.round("b", 9).alias("decayed"))
+
+
+@query(
+    f"""with {WIN}, a as (select chan, win, x, i % 5 as j from w),
+b as (select n.chan, n.win, n.j, sum(o.x * pow(0.3, n.win - o.win)) as b from a n join a o on o.chan = n.chan and o.j = n.j and o.win <= n.win group by 1, 2, 3)
+select chan, win, round(sqrt(sum(b * b)), 6) as amplitude from b group by 1, 2"""
+)
+def decay_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windowed(spark, sf_dir).groupBy("chan", "win").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("s"))
+    return G.decaying_energy(w, ("chan",), "win", "s").select("chan", "win", F.round(F.sqrt("energy"), 6).alias("amplitude"))
+
+
+@query(
+    """select vec_id, k::integer as k, round(embedding[k]::double - list_sum(list_transform(range(1, k + 1), lambda j: 0.01 * pow(0.99, k - j) * embedding[j]::double)), 9) as high
+from (select vec_id, embedding, unnest([1, 2, 32, 64]) as k from embeddings)"""
+)
+def leaky_highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").select("vec_id", G.leaky_highpass(F.col("embedding")).alias("h"))
+    ks = F.array(*(F.lit(k) for k in (1, 2, 32, 64)))
+    return e.select("vec_id", "h", F.explode(ks).alias("k")).select("vec_id", "k", F.round(F.element_at("h", F.col("k")), 9).alias("high"))
+
+
+BANDS = "b as (select vec_id, label, list_sum(list_transform(embedding[49:64], lambda x: x::double * x::double)) as hf, list_sum(list_transform(embedding[1:32], lambda x: x::double * x::double)) as inband from embeddings)"
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", G.energy_of(F.slice("embedding", 49, 16)).alias("hf"), G.energy_of(F.slice("embedding", 1, 32)).alias("inband"))
+
+
+@query(
+    f"""with {BANDS}, m as (select label, median(hf) as med from b group by 1), d as (select b.label, median(abs(hf - med)) as mad from b join m using (label) group by 1),
+z as (select vec_id, hf / (inband + {S.EPS}) as share, (hf - med) / (1.4826 * mad + {S.EPS}) as z from b join m using (label) join d using (label))
+select vec_id, share >= 0.2 and (z >= 2 or share > 0.6) as hf_bad from z"""
+)
+def artifact_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bands(spark, sf_dir)
+    m = b.groupBy("label").agg(F.median("hf").alias("med"))
+    d = b.join(m, "label").groupBy("label").agg(F.median(F.abs(F.col("hf") - F.col("med"))).alias("mad"))
+    z = (F.col("hf") - F.col("med")) / (1.4826 * F.col("mad") + S.EPS)
+    return b.join(m, "label").join(d, "label").select("vec_id", G.hf_veto(F.col("hf"), F.col("inband"), z, z=2.0, ratio=0.6).alias("hf_bad"))
+
+
+@query(f"with {BANDS} select label, sum(hf) / (sum(inband) + {S.EPS}) > 0.5 as line_bad from b group by label")
+def line_noise_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands(spark, sf_dir).groupBy("label").agg(G.line_noise_veto(F.sum("hf"), F.sum("inband")).alias("line_bad"))
+
+
+@query(f"with {EV}, s as (select chan, t as on_ from ev where event_type = 'error'), n as (select event_id, t, (select min(on_) from s where s.chan = ev.chan and on_ > ev.t + 1e-6) as nx from ev) select event_id, coalesce(t >= nx - 7200, false) as cap_bad from n")
+def next_event_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = samples(spark, sf_dir)
+    onset = F.min(F.when(F.col("event_type") == "error", F.col("t"))).over(Window.partitionBy("chan").orderBy("t", "event_id").rowsBetween(1, Window.unboundedFollowing))
+    return e.select("event_id", G.next_stim_veto(F.col("t"), onset, 7200).alias("cap_bad"))
+
+
+@query(f"with {EV}, o as (select *, x > 30 and coalesce(lead(x) over (partition by chan order by i) > 30, false) as twice from ev) select event_id, coalesce(i >= min(case when twice then i end) over (partition by chan), false) as cut from o")
+def sat_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.saturation_cut(samples(spark, sf_dir), F.col("x") > 30, ("chan",), "i").select("event_id", "cut")
+
+
+# Patterns
+
+
+@query(f"with {RUN} select clip, round(score, 6) as score, chan, onset_win from s")
+def n_run_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.run_score(z_rows(spark, sf_dir), 3).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {RUN} select clip, round(score, 6) as score, score > 1.0 as detected, case when score > 1.0 then chan end as chan, case when score > 1.0 then onset_win end as onset_win from s")
+def clip_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.detect(P.run_score(z_rows(spark, sf_dir), 3), 1.0).withColumn("score", F.round("score", 6))
+
+
+ABOVE = ZED + """, a as (select clip, chan, win, win - row_number() over (partition by clip, chan order by win) as island from z where valid and z > 0.8),
+u as (select clip, chan, min(win) as start, max(win) as stop, count(*) as length from a group by clip, chan, island)"""
+
+
+def above_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.runs(z_rows(spark, sf_dir), F.col("valid") & (F.col("z") > 0.8), ("clip", "chan"), "win")
+
+
+@query(f"with {ABOVE} select * from u")
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return above_runs(spark, sf_dir)
+
+
+@query(f"with {ABOVE} select * from u where length < 3")
+def near_miss_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.near_misses(above_runs(spark, sf_dir), 3)
+
+
+@query(
+    f"""with {ABOVE}, m as (
+  select clip, chan, win, case when n = 3 then low else -'inf'::double end as run_min from (
+    select clip, chan, win, min(case when valid then z else -'inf'::double end) over f as low, count(*) over f as n
+    from z window f as (partition by clip, chan order by win rows between current row and 2 following))),
+s as (select clip, chan, win from (select *, row_number() over (partition by clip order by run_min desc, chan, win) as r from m) where r = 1 and run_min > 0.8)
+select u.clip, u.chan, u.start, u.stop from u join s using (clip, chan) where s.win between u.start and u.stop"""
+)
+def detected_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.detect(P.run_score(z_rows(spark, sf_dir), 3), 0.8)
+    return P.detected_span(above_runs(spark, sf_dir), found)
+
+
+@query(f"with {ZED} select clip, chan, round(max(case when valid then z end), 6) as max_z, count(*) as windows, count(*) filter (where not valid) as vetoed, count(*) filter (where valid and z > 0.8) as above from z group by 1, 2")
+def diagnose_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = z_rows(spark, sf_dir)
+    count = lambda c: F.sum(c.cast("long"))
+    return z.groupBy("clip", "chan").agg(F.round(F.max(F.when(F.col("valid"), F.col("z"))), 6).alias("max_z"), F.count("*").alias("windows"), count(~F.col("valid")).alias("vetoed"), count(F.col("valid") & (F.col("z") > 0.8)).alias("above"))
+
+
+@query(f"with {EV} select event_id, coalesce(sum(case when x > 20 then 1 else 0 end) over f, 0)::bigint as votes, sum(case when x > 20 then 1 else 0 end) over f > 7.5 as voted from ev window f as (partition by chan order by i rows between 14 preceding and current row)")
+def vote_k_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.votes(samples(spark, sf_dir), F.col("x") > 20, 15, 7.5, ("chan",), "i").select("event_id", "votes", "voted")
+
+
+@query(f"with {EV}, c as (select event_id, x, t, max(case when x > 60 then t end) over (partition by chan order by i rows between unbounded preceding and current row) as last from ev) select event_id, x > 15 and not coalesce(t - last < 36000, false) as cooled from c")
+def cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.cool_down(samples(spark, sf_dir), F.col("x") > 15, F.col("x") > 60, 36000.0, ("chan",), "t").select("event_id", "cooled")
+
+
+@query(f"with {EV} select chan, event_type, event_id from (select *, row_number() over (partition by chan, event_type order by t, event_id) as r from ev) where r = 1")
+def first_per_stim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.first_per(samples(spark, sf_dir), ("chan", "event_type"), ("t", "event_id")).select("chan", "event_type", "event_id")
+
+
+@query(
+    f"""with {EV}, r as (select event_id, x, coalesce(sum(x) over (partition by chan order by i rows between 20 preceding and 11 preceding), 0.0) / 10 as b from ev)
+select event_id, round(case when b = 0 and x > 0 then 'inf'::double when b = 0 then null else x / b end, 6) as ratio from r"""
+)
+def rolling_baseline_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.baseline_ratio(samples(spark, sf_dir), "x", ("chan",), "i", 20, 10).select("event_id", F.round("ratio", 6).alias("ratio"))
+
+
+@query(
+    f"""with {EV}, g as (select *, case when x > 40 then true when x < 10 then false end as edge from ev)
+select event_id, coalesce(last_value(edge ignore nulls) over (partition by chan order by i rows between unbounded preceding and current row), false) as on_state from g"""
+)
+def schmitt_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.schmitt(samples(spark, sf_dir), "x", 40, 10, ("chan",), "i").select("event_id", F.col("on").alias("on_state"))
+
+
+# Events
+
+
+STIM = EV + ", q as (select chan, event_id as event, event_type as kind, t as on_, t + x * 600 as off_ from ev)"
+
+
+def stims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir).select("chan", F.col("event_id").alias("event"), F.col("event_type").alias("kind"), F.col("t").alias("on"), (F.col("t") + F.col("x") * 600).alias("off"))
+
+
+@query(
+    f"""with {STIM}, a as (select *, coalesce(kind <> lag(kind) over (partition by chan order by on_, event), true) as change from q),
+b as (select *, sum(change::int) over (partition by chan order by on_, event rows unbounded preceding) as run from a),
+c as (select *, coalesce(on_ - max(off_) over (partition by chan, run order by on_, event rows between unbounded preceding and 1 preceding) >= 7200, false) as fresh from b),
+d as (select *, sum(fresh::int) over (partition by chan, run order by on_, event rows unbounded preceding) as island from c)
+select chan, kind, cast(round(min(on_) * 1e6) as bigint) as on_us, cast(round(max(off_) * 1e6) as bigint) as off_us, count(*) as merged from d group by chan, run, island, kind"""
+)
+def merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = P.merge_events(stims(spark, sf_dir), 7200.0, ("chan",), "kind")
+    return m.select("chan", "kind", F.round(F.col("on") * 1e6).cast("long").alias("on_us"), F.round(F.col("off") * 1e6).cast("long").alias("off_us"), "merged")
+
+
+@query(
+    f"""with {STIM}, e as (select * from q where kind = 'purchase'), m as (select * from q where kind = 'error'),
+r as (select e.chan, e.event, m.event as mark, row_number() over (partition by e.event order by
+  case when m.on_ - e.on_ > -36000 and m.on_ - e.on_ < 10800 then 0 else 1 end, abs(m.on_ - e.on_), m.on_, m.event) as r from e left join m using (chan))
+select chan, event, mark from r where r = 1"""
+)
+def nearest_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stims(spark, sf_dir)
+    marks = s.where("kind = 'error'").select("chan", F.col("event").alias("mark"), F.col("on").alias("at"))
+    return P.nearest(s.where("kind = 'purchase'"), marks, ("chan",), -36000.0, 10800.0).select("chan", "event", "mark")
+
+
+@query(f"with {STIM} select chan, event, cast(round((select min(b.on_) from q b where b.chan = q.chan and b.on_ > q.off_ + 1e-6) * 1e6) as bigint) as next_us from q")
+def next_stim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.next_onset(stims(spark, sf_dir), ("chan",)).select("chan", "event", F.when(F.col("next_on") < float("inf"), F.round(F.col("next_on") * 1e6)).cast("long").alias("next_us"))
+
+
+@query(f"with {STIM}, s as (select * from q where kind = 'error') select s.event as stim, v.event_id, cast(round((v.t - s.on_) * 1e6) as bigint) as rel_us from s join ev v on v.chan = s.chan and v.t >= s.on_ - 20000 and v.t <= s.off_ + 20000")
+def clip_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stims(spark, sf_dir).where("kind = 'error'").select("chan", F.col("event").alias("stim"), "on", (F.col("on") - 20000).alias("a"), (F.col("off") + 20000).alias("b"))
+    found = P.within(samples(spark, sf_dir), s, ("chan",), "t", "a", "b", 40000.0)
+    return found.select("stim", "event_id", F.round((F.col("t") - F.col("on")) * 1e6).cast("long").alias("rel_us"))
+
+
+@query(f"with {STIM} select chan, array_to_string(list_transform(list_sort(list(cast(round(on_ * 1e6) as bigint))), lambda v: v::varchar), ';') as onsets from q where kind = 'error' group by chan")
+def stim_time_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stims(spark, sf_dir).where("kind = 'error'").groupBy("chan").agg(F.sort_array(F.collect_list(F.round(F.col("on") * 1e6).cast("long"))).alias("o"))
+    return s.select("chan", F.array_join(F.transform("o", lambda x: x.cast("string")), ";").alias("onsets"))
+
+
+EVAL = STIM + """, s as (select chan, event, on_, on_ + 86400 as off_ from q where kind = 'error'), a as (select chan, t from ev where x > 45),
+d as (select s.chan, s.event, s.on_, min(a.t) as first_t from s left join a on a.chan = s.chan and a.t >= s.on_ and a.t <= s.off_ + 5 group by 1, 2, 3)"""
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stims(spark, sf_dir).where("kind = 'error'").select("chan", "event", "on", (F.col("on") + 86400 + 5).alias("until"))
+    a = samples(spark, sf_dir).where("x > 45").select("chan", "t")
+    hits = P.within(a, s, ("chan",), "t", "on", "until", 86400.0).groupBy("event").agg(F.min("t").alias("first_t"))
+    return s.join(hits, "event", "left")
+
+
+@query(f"with {EVAL} select event, first_t is not null as detected, cast(round((first_t - on_) * 1e6) as bigint) as latency_us from d")
+def window_detect_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections(spark, sf_dir).select("event", F.col("first_t").isNotNull().alias("detected"), F.round((F.col("first_t") - F.col("on")) * 1e6).cast("long").alias("latency_us"))
+
+
+# Evaluation
+
+
+CLIPS = "c as (select doc_id, source, quality = 1 as truth, n_chars::double as score, toxic from labels join documents using (doc_id))"
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, d = read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return l.join(d, "doc_id").select("doc_id", "source", (F.col("quality") == 1).alias("truth"), F.col("n_chars").cast("double").alias("score"), "toxic")
+
+
+RATES = """tp, fn, fp, tn, round({0}, 9) as sens, round({1}, 9) as spec, round({2}, 9) as ppv, round({3}, 9) as fpr, round({4}, 9) as acc"""
+COUNTS = "count(*) filter (where truth and p) as tp, count(*) filter (where truth and not p) as fn, count(*) filter (where not truth and p) as fp, count(*) filter (where not truth and not p) as tn"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in ("sens", "spec", "ppv", "fpr", "acc")})
+
+
+@query(
+    f"with {CLIPS}, n as (select source, {COUNTS} from (select *, score > 1500 as p from c) group by source) select source, "
+    + RATES.format("tp / nullif(tp + fn, 0)", "tn / nullif(tn + fp, 0)", "tp / nullif(tp + fp, 0)", "fp / nullif(fp + tn, 0)", "(tp + tn) / nullif(tp + fn + fp + tn, 0)")
+    + " from n"
+)
+def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(V.confusion(clips(spark, sf_dir), F.col("truth"), F.col("score") > 1500, ("source",)))
+
+
+@query(
+    f"with {CLIPS}, n as (select {COUNTS} from (select *, score > 1500 as p from c)) select "
+    + RATES.format("tp / greatest(tp + fn, 1)", "tn / greatest(tn + fp, 1)", "tp / greatest(tp + fp, 1)", "fp / greatest(fp + tn, 1)", "(tp + tn) / greatest(tp + fn + fp + tn, 1)")
+    + " from n"
+)
+def confusion_clip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(V.confusion(clips(spark, sf_dir), F.col("truth"), F.col("score") > 1500, empty="zero"))
+
+
+@query(
+    f"""with {CLIPS} select count(*) filter (where not truth and score > 1500) as fp, round(count(*) filter (where not truth and score > 1500) / (sum(score) / 60.0), 9) as per_min_all,
+round(count(*) filter (where not truth and score > 1500) / (sum(score) filter (where not truth and toxic = 0) / 60.0), 9) as per_min_negative from c"""
+)
+def fp_per_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both exposures: over all scored clips (streaming report), and over evaluable negative ones (clip report)."""
+    fp = F.sum((~F.col("truth") & (F.col("score") > 1500)).cast("long"))
+    negative = F.sum(F.when(~F.col("truth") & (F.col("toxic") == 0), F.col("score")))
+    return clips(spark, sf_dir).agg(fp.alias("fp"), F.round(fp / (F.sum("score") / 60.0), 9).alias("per_min_all"), F.round(fp / (negative / 60.0), 9).alias("per_min_negative"))
+
+
+@query(
+    f"""with {EVAL}, e as (select first_t - on_ as error from d where first_t is not null), v as (select list_sort(list(error)) as s, count(*) as n, median(error) as median from e),
+p as (select n, median, s, greatest(1, least(n, 0.25 * n + 0.5)) as a, greatest(1, least(n, 0.75 * n + 0.5)) as b from v)
+select n, round(median, 4) as median, round(s[floor(a)::int] + (s[least(n, floor(a)::int + 1)] - s[floor(a)::int]) * (a - floor(a)), 4) as q25,
+       round(s[floor(b)::int] + (s[least(n, floor(b)::int + 1)] - s[floor(b)::int]) * (b - floor(b)), 4) as q75 from p"""
+)
+def onset_error_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = detections(spark, sf_dir).where("first_t is not null").select((F.col("first_t") - F.col("on")).alias("error"))
+    return V.onset_error(e).select("n", *(F.round(c, 4).alias(c) for c in ("median", "q25", "q75")))
+
+
+SCAN = CLIPS + """, h as (select distinct score as threshold from c union select min(score) - 1 from c),
+k as (select threshold, (count(*) filter (where truth and score > threshold)) / (count(*) filter (where truth)) as sens,
+             (count(*) filter (where not truth and score <= threshold)) / (count(*) filter (where not truth)) as spec from h, c group by threshold)"""
+
+
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.histogram(clips(spark, sf_dir), F.col("truth"), F.col("score"))
+
+
+def rates(df: DataFrame) -> DataFrame:
+    return df.select("threshold", F.round("sens", 9).alias("sens"), F.round("spec", 9).alias("spec"))
+
+
+@query(f"with {SCAN} select threshold, round(sens, 9) as sens, round(spec, 9) as spec from k order by round(sens + spec - 1, 12) desc, threshold limit 1")
+def youden_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(V.best_threshold(score_histogram(spark, sf_dir)))
+
+
+@query(f"with {SCAN} select threshold, round(sens, 9) as sens, round(spec, 9) as spec from k where spec >= 0.9 order by sens desc, threshold limit 1")
+def sens_at_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(V.at_specificity(score_histogram(spark, sf_dir), 0.9))
+
+
+@query(f"with {CLIPS} select round(avg(case when a.score > b.score then 1.0 when a.score = b.score then 0.5 else 0.0 end), 9) as auc from c a, c b where a.truth and not b.truth")
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.roc_auc(score_histogram(spark, sf_dir)).select(F.round("auc", 9).alias("auc"))
+
+
+LOPO = CLIPS + """, g as (select distinct source as fold from c), t as (select fold, c.* from g join c on c.source <> g.fold),
+h as (select distinct fold, score as threshold from t union select fold, min(score) - 1 from t group by fold),
+k as (select h.fold, threshold, (count(*) filter (where truth and score > threshold)) / nullif(count(*) filter (where truth), 0) as sens,
+             (count(*) filter (where not truth and score <= threshold)) / nullif(count(*) filter (where not truth), 0) as spec from h join t on t.fold = h.fold group by 1, 2),
+f as (select fold as source, coalesce(max(threshold) filter (where r = 1), 1500) as threshold from (
+  select *, row_number() over (partition by fold order by round(sens + spec - 1, 12) desc nulls last, threshold) as r from k where sens is not null and spec is not null) group by fold)"""
+
+
+@query(f"with {LOPO} select * from f")
+def lopo_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.leave_one_out(clips(spark, sf_dir), F.col("truth"), F.col("score"), "source", 1500.0)
+
+
+@query(f"with {LOPO}, n as (select {COUNTS} from (select c.*, c.score > f.threshold as p from c join f using (source))) select tp, fn, fp, tn, (select median(threshold) from f) as suggested from n")
+def lopo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled counts with each clip judged by its fold's threshold, and the median of thresholds."""
+    c = clips(spark, sf_dir)
+    folds = V.leave_one_out(c, F.col("truth"), F.col("score"), "source", 1500.0)
+    suggested = folds.agg(F.median("threshold")).first()[0]
+    n = V.confusion(c.join(folds, "source"), F.col("truth"), F.col("score") > F.col("threshold"), empty="zero")
+    return n.select("tp", "fn", "fp", "tn", F.lit(suggested).cast("double").alias("suggested"))
+
+
+@query(
+    f"""with {CLIPS}, x as (select *, not (truth and (coalesce(score / 100 < 5, false) or (toxic = 0 and coalesce(score % 97 < 3, false)))) as ev from c)
+select doc_id, case when not ev then 'excluded' when truth and score > 1500 then 'TP' when truth then 'FN' when score > 1500 then 'FP' else 'TN' end as cls from x"""
+)
+def classify_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    onset = F.col("score") / 100
+    ok = V.evaluable(F.col("truth"), onset, onset + F.col("score") % 97, F.lit(5.0), F.col("toxic"), 3.0)
+    return clips(spark, sf_dir).select("doc_id", P.classify(F.col("truth"), F.col("score") > 1500, ok).alias("cls"))
+
+
+@query(f"with {CLIPS} select b::bigint as block_ms, count(*) filter (where truth and score > b * 4) as hits, count(*) filter (where not truth and score > b * 4) as false_hits, max(score % b) as max_rest, median(score / b) as median_factor from c, unnest([100, 250, 500, 1000]) as u(b) group by b")
+def block_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass for all block sizes: each clip once for each of the four."""
+    sizes = F.array(*(F.lit(b).cast("long") for b in (100, 250, 500, 1000)))
+    c = clips(spark, sf_dir).withColumn("block_ms", F.explode(sizes))
+    count = lambda t: F.sum((t & (F.col("score") > F.col("block_ms") * 4)).cast("long"))
+    return c.groupBy("block_ms").agg(count(F.col("truth")).alias("hits"), count(~F.col("truth")).alias("false_hits"), F.max(F.col("score") % F.col("block_ms")).alias("max_rest"), F.median(F.col("score") / F.col("block_ms")).alias("median_factor"))
+
+
+# Sources and sinks
+
+
+@query(
+    """with o as (select o_orderkey, 1 + o_custkey % 130 as n_ch, o_totalprice / 1000 as t0, o_totalprice / 1000 + 600 as t1 from orders where o_orderkey % 10 = 0),
+p as (select o_orderkey, cast(round(t0 * 500) as bigint) as s0, cast(round(t1 * 500) as bigint) as s1, greatest(500, cast(floor(0.8 * 1.3e8 / n_ch) as bigint)) // 20 as step from o)
+select o_orderkey, k as first_sample, least(k + step, s1) - 1 as last_sample from (select *, unnest(range(s0, s1, step)) as k from p)"""
+)
+def chunk_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    r = o.select("o_orderkey", (1 + F.col("o_custkey") % 130).alias("channels"), (F.col("o_totalprice") / 1000).alias("start"), (F.col("o_totalprice") / 1000 + 600).alias("end"))
+    return T.plan_chunks(r, rate=500, key="o_orderkey", share=20).select("o_orderkey", "first_sample", "last_sample")
+
+
+@query(
+    """with m as (select vec_id, floor(list_min(embedding)::double * 8) as lo, ceil(list_max(embedding)::double * 8) as hi from embeddings)
+select vec_id, greatest(-9999999, least(9999999, lo)) as pmin, greatest(-9999999, least(9999999, case when hi <= lo then lo + 1 else hi end)) as pmax from m"""
+)
+def edf_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 8).alias("samples"))
+    lo, hi = T.physical_range(F.col("samples"))
+    return e.select("vec_id", lo.alias("pmin"), hi.alias("pmax"))
+
+
+@query("select conv_id, role, min(turn) as turn from conversations group by conv_id, role")
+def stable_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.stable_unique(read(spark, sf_dir, "conversations").select("conv_id", "role", "turn"), ("conv_id", "role"), "turn")
+
+
+@query("select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r = 1")
+def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.latest_wins(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ("conv_id",), "turn")
+
+
+@query(
+    """select cast(doc_id as varchar) as clip_name, case when quality = 1 then 'y' else 'n' end as "AD", try_cast(case when doc_id % 3 = 0 then 'abc' else cast(doc_id as varchar) end as double) as "AD_onset",
+0.0 as ad_ongoing, coalesce(try_cast(toxic as double), 0.0) as stim_problem, cast(null as varchar) as notes from labels"""
+)
+def gt_schema_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An older annotation table: text where numbers belong, columns missing."""
+    old = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("clip_name"), F.when(F.col("quality") == 1, "y").otherwise("n").alias("AD"), F.when(F.col("doc_id") % 3 == 0, "abc").otherwise(F.col("doc_id").cast("string")).alias("AD_onset"), F.col("toxic").cast("string").alias("stim_problem"))
+    return T.repair_ground_truth(old).select("clip_name", "AD", "AD_onset", "ad_ongoing", "stim_problem", "notes")
+
+
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber = 4)")
+def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = read(spark, sf_dir, "lineitem").where("l_linenumber = 4").select(F.col("l_orderkey").alias("o_orderkey"))
+    return T.not_yet_written(read(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
