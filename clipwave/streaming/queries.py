@@ -1 +1,64 @@
-"""Queries of the detectors on synthetic recordings."""
+"""Queries of the detectors on synthetic recordings; SQL can't express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import patterns as P
+from ..operators import signal as G
+from ..plans.catalogue import query
+from ..sources import eeg
+from . import jobs
+
+
+@query()
+def stim_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stimulations of recordings that are stored in stretches of 11 seconds, so a boundary cuts each."""
+    return jobs.session_stimulations(eeg.read_eeg(spark, clips=4, seconds=30, rate=1000, piece_seconds=11))
+
+
+@query()
+def rt_detector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.event_table(jobs.replay(eeg.blocks(eeg.read_eeg(spark, clips=2, seconds=20, rate=1000), 250)))
+
+
+@query()
+def rt_detector_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.event_table(jobs.run_stream(eeg.blocks(eeg.read_eeg(spark, clips=2, seconds=20, rate=1000), 250)))
+
+
+@query()
+def rt_sim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = jobs.timing(eeg.blocks(eeg.read_eeg(spark, clips=2, seconds=20, rate=1000), 250))
+    return t.agg(F.max("max_block_ms").alias("max_block_ms"), F.median("real_time_factor").alias("median_real_time_factor"))
+
+
+def pairs_of_clips(spark: SparkSession, clips: int, rate: float = 500) -> DataFrame:
+    """Bipolar channels of synthetic clips, the candidates for the pair LA3-LA4."""
+    s = eeg.read_eeg(spark, clips=clips, seconds=22, rate=rate, piece_seconds=22)
+    other = s.select("clip", (F.col("chan") - 1).alias("chan"), F.col("samples").alias("next"), F.col("label").alias("second"))
+    both = s.join(other, ["clip", "chan"]).where(F.col("chan").isin(0, 4))
+    diff = F.zip_with("samples", "next", lambda a, b: F.coalesce(a - b, F.lit(0.0)))
+    return both.select("clip", "chan", F.concat_ws("-", "label", "second").alias("pair"), "rate", diff.alias("samples"), F.lit(eeg.ON).alias("stim_on"), F.lit(eeg.OFF).alias("stim_off"))
+
+
+def clip_scores(features: DataFrame, threshold: float = 4.0, n: int = 3) -> DataFrame:
+    """Score, onset and channel of each clip from its windows: baseline, vetoes, run rule."""
+    base = G.robust_baseline(features.where("not post"), keys=("clip",))
+    hf = G.robust_baseline(features.where("not post"), value="hf", trim=0.0, keys=("clip",)).select("clip", "chan", F.col("med").alias("hf_med"), F.col("mad").alias("hf_mad"))
+    z = G.z_scores(features.where("post"), base).join(hf, ["clip", "chan"], "left")
+    z_hf = (F.col("hf") - F.col("hf_med")) / (1.4826 * F.col("hf_mad") + 2.220446049250313e-16)
+    bad = G.hf_veto(F.col("hf"), F.col("inband"), z_hf) | G.line_noise_veto(F.col("line"), F.col("whole"))
+    return P.detect(P.run_score(z.withColumn("valid", ~bad), n), threshold)
+
+
+@query()
+def bandpass_linelength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clip_scores(jobs.clip_windows(pairs_of_clips(spark, 4)))
+
+
+@query()
+def edf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = eeg.to_edf(eeg.read_eeg(spark, clips=2, seconds=4, rate=500, piece_seconds=4))
+    return e.select("clip", F.octet_length("edf").alias("n_bytes"), F.sha2("edf", 256).alias("sha256"))
