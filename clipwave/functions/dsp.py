@@ -37,15 +37,16 @@ def butter_band(order: int, low: float, high: float, rate: float, stop: bool = F
 def run_sections(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Causal filtering along the first axis from silence; columns are channels."""
     y = np.array(x, dtype=np.float64)
-    for b0, b1, b2, a1, a2 in sections:
-        s1 = np.zeros(y.shape[1:])
-        s2 = np.zeros(y.shape[1:])
-        for i in range(len(y)):
-            v = y[i]
-            out = b0 * v + s1
-            s1 = b1 * v - a1 * out + s2
-            s2 = b2 * v - a2 * out
-            y[i] = out
+    for c in range(y.shape[1]):
+        column = y[:, c].tolist()  # plain numbers: a step is far cheaper than one on an array
+        for b0, b1, b2, a1, a2 in sections.tolist():
+            s1 = s2 = 0.0
+            for i, v in enumerate(column):
+                out = b0 * v + s1
+                s1 = b1 * v - a1 * out + s2
+                s2 = b2 * v - a2 * out
+                column[i] = out
+        y[:, c] = column
     return y
 
 
