@@ -19,6 +19,7 @@ from ..operators import evaluation as V
 from ..operators import patterns as P
 from ..operators import signal as G
 from ..sources import tables as T
+from . import studies
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -645,3 +646,93 @@ def gt_schema_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = read(spark, sf_dir, "lineitem").where("l_linenumber = 4").select(F.col("l_orderkey").alias("o_orderkey"))
     return T.not_yet_written(read(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
+
+
+# Studies
+
+
+@query(
+    f"""with {EV}, q as (select 'S ' || chan as session, 'LA' || event_id % 9 || '-LB1' as pair, t as on_, t + x as off_ from ev where event_type = 'error'),
+n as (select *, row_number() over f as event, coalesce(lead(on_) over f, 'inf'::double) as nx from q window f as (partition by session order by on_, off_, pair))
+select session, event, regexp_replace(session || '_ev' || lpad(cast(event as varchar), 2, '0') || '_' || pair, '[^\\w-]', '', 'g') as clip,
+       cast(round((on_ - 10) * 1e6) as bigint) as start_us, cast(round((off_ + 10) * 1e6) as bigint) as end_us, case when nx < 'inf'::double then cast(round(nx * 1e6) as bigint) end as next_us from n"""
+)
+def clip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = samples(spark, sf_dir).where("event_type = 'error'")
+    text = lambda c: F.col(c).cast("string")
+    s = e.select(F.concat(F.lit("S "), text("chan")).alias("session"), F.concat(F.lit("LA"), (F.col("event_id") % 9).cast("string"), F.lit("-LB1")).alias("pair"), F.col("t").alias("on"), (F.col("t") + F.col("x")).alias("off"))
+    us = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    return studies.clip_index(s).select("session", "event", "clip", us("clip_start").alias("start_us"), us("clip_end").alias("end_us"), F.when(F.col("next_stim_on") < float("inf"), us("next_stim_on")).alias("next_us"))
+
+
+RELAY = STIM + """, e as (select *, 'P' || event % 3 as pair from q where kind = 'purchase'), m as (select *, 'P' || event % 2 as pair from q where kind = 'error' and chan % 4 <> 0),
+r as (select e.chan, e.event, e.pair, m.event as mark, m.pair as relay_pair, row_number() over (partition by e.event order by
+  case when m.on_ - e.on_ > -36000 and m.on_ - e.on_ < 10800 then 0 else 1 end, abs(m.on_ - e.on_), m.on_, m.event) as r from e left join m using (chan)),
+o as (select event, mark, case when mark is null then 'no-ann' when pair = relay_pair then 'yes' else 'NO' end as match from r where r = 1)"""
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stims(spark, sf_dir)
+    tag = lambda n: F.concat(F.lit("P"), (F.col("event") % n).cast("string"))
+    relays = s.where("kind = 'error' and chan % 4 != 0").select("chan", F.col("event").alias("mark"), F.col("on").alias("at"), tag(2).alias("pair"))
+    return studies.compare_with_relays(s.where("kind = 'purchase'").withColumn("pair", tag(3)), relays, ("chan",), -36000.0, 10800.0)
+
+
+@query(f"with {RELAY} select * from o")
+def relay_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared(spark, sf_dir).select("event", "mark", "match")
+
+
+@query(f"with {RELAY} select count(*) filter (where match <> 'no-ann') as scored, round(avg((match = 'yes')::int) filter (where match <> 'no-ann'), 9) as rate from o")
+def relay_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return studies.match_rate(compared(spark, sf_dir)).select("scored", F.round("rate", 9).alias("rate"))
+
+
+@query("select o_orderkey, least(o_totalprice, o_custkey * 10.0) as onset, case when o_orderstatus = 'F' then 1e6 else greatest(o_totalprice, o_custkey * 10.0) end as offset_ from orders")
+def annotation_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on, off = studies.decision(F.col("o_totalprice"), F.col("o_custkey") * 10.0, F.col("o_orderstatus") == "F", F.lit(1e6))
+    return read(spark, sf_dir, "orders").select("o_orderkey", on.alias("onset"), off.alias("offset_"))
+
+
+JUDGED = CLIPS + """, x as (select *, toxic = 0 or not truth as evaluable from c), g as (select distinct source as fold from x where evaluable),
+t as (select fold, x.* from g join x on x.source <> g.fold where x.evaluable),
+h as (select distinct fold, score as threshold from t union select fold, min(score) - 1 from t group by fold),
+k as (select h.fold, threshold, (count(*) filter (where truth and score > threshold)) / nullif(count(*) filter (where truth), 0) as sens,
+             (count(*) filter (where not truth and score <= threshold)) / nullif(count(*) filter (where not truth), 0) as spec from h join t on t.fold = h.fold group by 1, 2),
+f as (select fold as source, threshold from (select *, row_number() over (partition by fold order by round(sens + spec - 1, 12) desc, threshold) as r from k where sens is not null and spec is not null) where r = 1),
+j as (select x.*, score > coalesce(threshold, 1500) as pred from x left join f using (source))"""
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = clips(spark, sf_dir).withColumnRenamed("source", "patient").withColumn("evaluable", (F.col("toxic") == 0) | ~F.col("truth"))
+    return studies.validation_report(c, 1500.0)
+
+
+@query(f"with {JUDGED} select doc_id, source as patient, truth, evaluable, score, pred from j")
+def clip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(spark, sf_dir).select("doc_id", "patient", "truth", "evaluable", "score", "pred")
+
+
+@query(f"with {JUDGED} select case when not evaluable then 'excluded' when truth and pred then 'TP' when truth then 'FN' when pred then 'FP' else 'TN' end as category, count(*) as n from j group by 1")
+def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return studies.review_counts(judged(spark, sf_dir))
+
+
+@query(
+    """with a as (select l_orderkey, string_agg(distinct 'L' || l_linenumber, ';') as named from lineitem where l_discount > 0.05 group by 1)
+select l_orderkey, l_linenumber, case when list_contains(string_split(coalesce(named, ''), ';'), 'L' || l_linenumber) then case when l_tax > 0.04 then 'both' else 'truth' end when l_tax > 0.04 then 'detector' else 'none' end as agreement
+from lineitem left join a using (l_orderkey)"""
+)
+def channel_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An annotation names channels in one string; the detector names them one by one."""
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("chan"))
+    named = l.where("l_discount > 0.05").groupBy("l_orderkey").agg(F.array_join(F.array_distinct(F.collect_list("chan")), ";").alias("named"))
+    both = l.join(named, "l_orderkey", "left")
+    truth = F.array_contains(F.split(F.coalesce("named", F.lit("")), ";"), F.col("chan"))
+    return both.select("l_orderkey", "l_linenumber", P.agreement(truth, F.col("l_tax") > 0.04).alias("agreement"))
+
+
+@query("select page_id, split_part(url, ':', 1) as host, regexp_replace(regexp_replace(url, '^[^:]*:', ''), '/$', '') as folder from pages")
+def remote_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host, folder = studies.split_remote(F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", host.alias("host"), folder.alias("folder"))

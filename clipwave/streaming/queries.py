@@ -62,3 +62,13 @@ def bandpass_linelength(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = eeg.to_edf(eeg.read_eeg(spark, clips=2, seconds=4, rate=500, piece_seconds=4))
     return e.select("clip", F.octet_length("edf").alias("n_bytes"), F.sha2("edf", 256).alias("sha256"))
+
+
+@query()
+def export_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From recordings in stretches to trimmed clips of the channels."""
+    from ..plans import studies
+
+    index, cut = studies.export_clips(eeg.read_eeg(spark, clips=2, seconds=30, rate=500, piece_seconds=11), pre=5, post=5)
+    sizes = cut.groupBy("clip").agg(F.count("*").alias("channels"), F.min("first_sample").alias("first_sample"), F.min(F.size("samples")).alias("least"), F.max(F.size("samples")).alias("most"))
+    return index.select("clip", "event", F.round("clip_start", 6).alias("clip_start"), F.round("clip_end", 6).alias("clip_end")).join(sizes, "clip")
