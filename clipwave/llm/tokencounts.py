@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
-from .common import map_slices
+from .common import map_slices, materialize
 
-BLOCK = 1024
+BLOCK = 256
 
 
 def lengths(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -45,7 +45,8 @@ def histogram(counted: DataFrame, length: str = "n_tokens") -> DataFrame:
     """One row for each length: ``n_docs``, suffix sums ``docs_from`` and ``tokens_from``
     (documents at least as long, and their tokens), ``docs_over`` (longer ones) and
     ``tokens_cut`` (what is left of all tokens if each document is cut at that length)."""
-    bars = counted.groupBy(F.col(length).alias("n_tokens")).agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    # Written once: both levels of sums read it, and documents aren't encoded again.
+    bars = materialize(counted.groupBy(F.col(length).alias("n_tokens")).agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)), "bars")
     blocks = bars.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     # The blocks: at most (longest text / BLOCK) rows.
     down = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
