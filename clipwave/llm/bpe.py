@@ -40,7 +40,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_slices
+from .common import begin, map_slices, tables_of
 
 #: Words whose tokens a worker remembers at most twice over: a full table becomes the
 #: older one, which is looked up after the new one and then let go.
@@ -269,6 +269,9 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+tables_of("bpe", load.cache_clear)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``n_tokens`` (long); other columns stay."""
     path = path or default_path()
@@ -283,7 +286,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
         return pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(ends), pa.int64())], names=[*part.schema.names, "ids", "n_tokens"])
 
-    return map_slices(docs, work, schema, text)
+    return map_slices(docs, work, schema, text, "bpe")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
@@ -293,6 +296,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, ids: str = "id
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), "decoded string"])
 
     def run(batches):
+        begin("bpe")
         bpe = load(path)
         for part in batches:
             out = [bpe.decode(np.array(x or [], dtype=np.int32)).decode() for x in part.column(ids).to_pylist()]
@@ -316,4 +320,4 @@ def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
             of_text.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([part.column(key), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_slices(docs.select(key, text), work, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", text)
+    return map_slices(docs.select(key, text), work, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", text, "bpe")

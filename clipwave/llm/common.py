@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +44,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_clear: dict[str, Callable[[], None]] = {}
+_owner: list[str] = [""]
+
+
+def tables_of(operator: str, clear: Callable[[], None]) -> None:
+    """Say how to let go of what an operator keeps in a Python worker between tasks."""
+    _clear[operator] = clear
+
+
+def begin(operator: str) -> None:
+    """A task of ``operator`` begins. Spark hands workers on from one operator to the next;
+    tables of others go, and freed memory goes back to the system."""
+    if _owner[0] == operator:
+        return
+    _owner[0] = operator
+    for name, clear in _clear.items():
+        if name != operator:
+            clear()
+    give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about CHUNK_BYTES of text, or one row."""
     for batch in batches:
@@ -57,13 +88,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", operator: str = "") -> DataFrame:
     """``mapInArrow`` with ``work`` applied to slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(operator)
         for part in slices(batches, text):
             if (out := work(part)) is not None:
                 yield out
+        give_back()
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.mapInArrow(run, schema)

@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column | None = None, key:
         x = features(part.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), part.column("label")], names=[*NAMES, "label"])
 
-    found = map_slices(known, work, ", ".join(f"{n} double" for n in (*NAMES, "label")), "text").toArrow()
+    found = map_slices(known, work, ", ".join(f"{n} double" for n in (*NAMES, "label")), "text", "gam").toArrow()
     x = np.column_stack([found.column(n).to_numpy() for n in NAMES])
     y = (found.column("label").to_numpy() >= 0.5).astype(np.float64)
     order = np.lexsort(x.T)  # the order in which tasks ended doesn't matter
@@ -186,4 +186,4 @@ def score(docs: DataFrame, model: Gam, key: str = "doc_id", text: str = "text",
         p = model.score(features(part.column(text).to_pylist()))
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p)], names=[*names, "score"])
 
-    return map_slices(docs, work, schema, text)
+    return map_slices(docs, work, schema, text, "gam")

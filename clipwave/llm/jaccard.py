@@ -46,22 +46,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialize, slices
+from .common import ARROW_ROWS, begin, give_back, map_slices, materialize, slices, tables_of
 from .components import components
 
 WORDS = 5
 #: Part of the hash range in which shingles of all documents are compared first.
 PART = 0.3
 #: Shingles in one bucket of that comparison, and in one task of the search.
-BUCKET, TASK = 1_000_000, 2_000_000
+BUCKET, TASK = 400_000, 1_000_000
 #: Rounds of peeling among the survivors (any number is exact).
 PEELS = 2
 #: Most keys that are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 MANY = 0
 
 _words: dict[bytes, int] = {}
+tables_of("jaccard", _words.clear)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -111,7 +112,7 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
         sets = [shingles(t) for t in part.column(text).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=[key, "n", "c"])
 
-    return map_slices(docs.select(key, text), work, f"`{key}` {kind}, n long, c long", text)
+    return map_slices(docs.select(key, text), work, f"`{key}` {kind}, n long, c long", text, "jaccard")
 
 
 def lonely(docs: DataFrame, text: str, total: int) -> DataFrame:
@@ -124,6 +125,7 @@ def lonely(docs: DataFrame, text: str, total: int) -> DataFrame:
     step = -(-top // buckets)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -147,13 +149,15 @@ def lonely(docs: DataFrame, text: str, total: int) -> DataFrame:
                 if len(low):
                     held.append((low, np.full(len(low), class_of(s), dtype=np.int64)))
                     size += len(low)
-            if size > 2 * BUCKET:
+            if size > BUCKET:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
+        give_back()
 
     def compare(table: pa.Table) -> pa.Table:
+        begin("jaccard")
         h = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("hs").to_pylist()])
         c = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("cs").to_pylist()])
         order = np.lexsort((c, h))
@@ -170,7 +174,7 @@ def lonely(docs: DataFrame, text: str, total: int) -> DataFrame:
         c, u = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in table.column("cs").to_pylist()]), return_counts=True)
         return pa.table({"c": c, "u": u.astype(np.int64)})
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     packed = docs.select(text).mapInArrow(deal, "bucket int, hs binary, cs binary")
     own = packed.groupBy("bucket").applyInArrow(compare, "reply int, cs binary")
     return own.groupBy("reply").applyInArrow(count, "c long, u long")
@@ -195,7 +199,7 @@ def survivors(docs: DataFrame, described: DataFrame, key: str, text: str) -> Dat
         return pa.RecordBatch.from_arrays([part.column("node"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "c", "s"])
 
     texts = keyed(docs.select(F.col(key).alias("node"), F.col(text).alias("text")), nodes.select("node").distinct(), "node")
-    sets = map_slices(texts, work, "node long, c long, s array<long>").dropDuplicates(["node", "c"])
+    sets = map_slices(texts, work, "node long, c long, s array<long>", operator="jaccard").dropDuplicates(["node", "c"])
     now = materialize(sets.join(nodes, ["node", "c"]).select("node", "c", "n", "s"), "sets")
     for _ in range(PEELS):
         lists = now.select("node", "c", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("f"), F.min(F.struct("node", "c")).alias("one"))

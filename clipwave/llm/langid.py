@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import ARROW_ROWS, begin, give_back, map_slices, slices
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
@@ -95,7 +95,7 @@ def bundles(groups: list[list[np.ndarray]], dimensions: int) -> np.ndarray:
     column = np.zeros(PLACES**3, dtype=np.int32)
     column[kinds] = np.arange(len(kinds))
     two, one, none = letter_vectors(dimensions)
-    step = 8192  # bound vectors in use at a time
+    step = 2048  # bound vectors in use at a time
     for at in range(0, len(kinds), step):
         k = kinds[at : at + step]
         here = (column[every] >= at) & (column[every] < at + step) if len(kinds) > step else slice(None)
@@ -125,17 +125,22 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), (F.lit(True) if where is None else where).alias("own"))
     rows = rows.where("own and lang is not null and text is not null").select("text", "lang")
 
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        names = part.column("lang").to_pylist()
-        kinds = sorted(set(names))
-        groups: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
-        for n, t in zip(names, part.column("text").to_pylist(), strict=True):
-            groups[n] += trigrams(t)
-        made = bundles(list(groups.values()), dimensions).astype(np.float64)
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(list(made), pa.list_(pa.float64()))], names=["lang", "bundle"])
-
-    partial = map_slices(rows, work, "lang string, bundle array<double>")
-    total = add_vectors(partial, "lang", "bundle", dimensions)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
+        sums: dict[str, np.ndarray] = {}
+        for part in slices(batches):
+            groups: dict[str, list[np.ndarray]] = {}
+            for n, t in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                groups.setdefault(n, []).extend(trigrams(t))
+            for n, v in zip(groups, bundles(list(groups.values()), dimensions).astype(np.float64), strict=True):
+                sums[n] = sums[n] + v if n in sums else v
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["lang", "bundle"])
+        give_back()
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    places = rows.mapInArrow(run, "lang string, bundle array<double>").select("lang", F.posexplode("bundle").alias("at", "x"))
+    total = places.groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("bundle"))
     found = total.limit(MOST_LANGUAGES + 1).collect()
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
@@ -143,24 +148,6 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
     return Profiles([r["lang"] for r in found], np.array([r["bundle"] for r in found]).reshape(len(found), dimensions))
 
 
-def add_vectors(df: DataFrame, key: str, vector: str, dimensions: int) -> DataFrame:
-    """Sum of the vectors of each key: within tasks first, then across them."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
-        for b in batches:
-            values = b.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
-            for k, row in zip(b.column(key).to_pylist(), values, strict=True):
-                sums[k] = sums[k] + row if k in sums else row.copy()
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=[key, vector])
-
-    schema = f"`{key}` {kind}, `{vector}` array<double>"
-    places = df.mapInArrow(within, schema).select(key, F.posexplode(vector).alias("at", "x"))
-    return places.groupBy(key, "at").agg(F.sum("x").alias("x")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(vector))
-
-
 def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text", centre: bool = False, keep: bool = False) -> DataFrame:
     """``key``, ``lang_pred``, ``score`` (the cosine, not under 0) and ``margin`` (to the runner-up)
     of every text; with ``keep``, all columns of ``docs`` and these."""
@@ -185,4 +172,4 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(pred, pa.string()), pa.array(score), pa.array(margin)], names=[*own, "lang_pred", "score", "margin"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "lang_pred string", "score double", "margin double"])
-    return map_slices(docs, work, schema, text)
+    return map_slices(docs, work, schema, text, "langid")

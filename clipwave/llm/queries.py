@@ -19,7 +19,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = langid.learn(docs, where=fold("doc_id", 5) != 0)
     found = langid.identify(docs, profiles)
-    return found.withColumn("held_out", fold("doc_id", 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "margin")
+    return found.withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "margin")
 
 
 def op2_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = gam.score(docs, gam.learn(docs, labels, where=fold("doc_id", 3) != 1))
-    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,4 +68,4 @@ def measure_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         values = np.array([measure(t) for t in part.column(text).to_pylist()], dtype=np.int64).reshape(-1, len(FIELDS))
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in (key, *also)), *(pa.array(v) for v in values.T)], names=[key, *also, *FIELDS])
 
-    return map_slices(docs.select(key, text, *also), work, schema, text)
+    return map_slices(docs.select(key, text, *also), work, schema, text, "textstats")

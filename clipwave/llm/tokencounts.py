@@ -38,7 +38,7 @@ def lengths(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
         encoder = bpe.load(path)
         return pa.RecordBatch.from_arrays([pa.array([len(encoder.encode(t)) for t in part.column(text).to_pylist()], pa.int64())], names=["n_tokens"])
 
-    return map_slices(docs.select(text), work, "n_tokens long", text)
+    return map_slices(docs.select(text), work, "n_tokens long", text, "bpe")
 
 
 def histogram(counted: DataFrame, length: str = "n_tokens") -> DataFrame:
