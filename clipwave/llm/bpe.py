@@ -44,7 +44,7 @@ from .common import begin, map_slices, tables_of
 
 #: Words whose tokens a worker remembers at most twice over: a full table becomes the
 #: older one, which is looked up after the new one and then let go.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 #: Stands for the end-of-word suffix inside the automaton: no byte-level letter is NUL.
 END = "\0"
 
@@ -136,7 +136,7 @@ class Bpe:
                 before, a = a, pa_[1]
             else:
                 before, b = b + 1, pb[0]
-        if len(self.compatible) > 1_000_000:
+        if len(self.compatible) > 100_000:
             self.compatible.clear()
         self.compatible[left, right] = holds
         return holds
@@ -266,10 +266,28 @@ class OffsetTable:
 @lru_cache(maxsize=4)
 def load(path: str) -> Bpe:
     """Tables of a file, once for each Python worker."""
-    return Bpe(path)
+    _loaded().append(b := Bpe(path))
+    return b
 
 
-tables_of("bpe", load.cache_clear)
+@lru_cache(maxsize=1)
+def _loaded() -> list[Bpe]:
+    return []
+
+
+def _forget_words() -> None:
+    """An idle worker keeps the vocabulary's tables, not the words of its last task."""
+    for b in _loaded():
+        b.words, b.older = {}, {}
+        b.compatible.clear()
+
+
+def _clear_all() -> None:
+    _loaded().clear()
+    load.cache_clear()
+
+
+tables_of("bpe", _clear_all, _forget_words)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; texts can be long, so the default of 10,000 is too many.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 #: Bytes of text that a task turns into Python objects at once (a longer text comes alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 _clear: dict[str, Callable[[], None]] = {}
+_end: dict[str, Callable[[], None]] = {}
 _owner: list[str] = [""]
 
 
-def tables_of(operator: str, clear: Callable[[], None]) -> None:
-    """Say how to let go of what an operator keeps in a Python worker between tasks."""
+def tables_of(operator: str, clear: Callable[[], None], end: Callable[[], None] | None = None) -> None:
+    """Say how to let go of what an operator keeps in a Python worker: all of it (``clear``), and what a task leaves behind (``end``)."""
     _clear[operator] = clear
+    if end:
+        _end[operator] = end
 
 
 def begin(operator: str) -> None:
@@ -96,6 +99,8 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
         for part in slices(batches, text):
             if (out := work(part)) is not None:
                 yield out
+        if operator in _end:
+            _end[operator]()
         give_back()
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)

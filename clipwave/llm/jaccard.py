@@ -62,7 +62,7 @@ REMEMBERED = 100_000
 MANY = 0
 
 _words: dict[bytes, int] = {}
-tables_of("jaccard", _words.clear)
+tables_of("jaccard", _words.clear, _words.clear)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
