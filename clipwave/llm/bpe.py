@@ -63,7 +63,7 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-@dataclass
+@dataclass(eq=False)
 class Bpe:
     """Tables of one tokenizer file."""
 
@@ -103,6 +103,8 @@ class Bpe:
             self.automaton.add_word(t, i)
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
+        #: The same for the parts of a merge: at most one entry for each token.
+        self.within: dict[tuple[int, int], bool] = {}
         self.letters = byte_letters()
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -179,9 +181,14 @@ class Bpe:
         parts = self.parts[token]
         return parts is None or (self.pair_holds_within(parts) and self.alone(parts[0]) and self.alone(parts[1]))
 
-    @lru_cache(maxsize=100_000)  # noqa: B019
     def pair_holds_within(self, parts: tuple[int, int]) -> bool:
         """Whether the two parts of a merge meet as such: no earlier merge bridges them."""
+        holds = self.within.get(parts)
+        if holds is None:
+            holds = self.within[parts] = self._meets(parts)
+        return holds
+
+    def _meets(self, parts: tuple[int, int]) -> bool:
         a, b = parts
         limit = self.merged[parts]
         before = len(self.parts)
@@ -197,12 +204,6 @@ class Bpe:
             else:
                 before, b = b + 1, pb[0]
 
-    def __hash__(self) -> int:
-        return id(self)
-
-    def __eq__(self, other: object) -> bool:
-        return self is other
-
     def split(self, text: str) -> list[str]:
         """Normalise and pre-tokenise a text that holds no special token."""
         if not text.isascii():

@@ -1,8 +1,10 @@
 """Operators on single texts: against brute force, other libraries, or held-out accuracy."""
 
+import gc
 import hashlib
 import os
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -47,6 +49,16 @@ def test_bpe_like_the_library(library):
         assert encoder.decode(got).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_cleared_tables_are_freed():
+    b = bpe.load(bpe.default_path())
+    b.encode("some words, to fill the tables of pairs")
+    gone = weakref.ref(b)
+    del b
+    bpe._clear_all()
+    gc.collect()
+    assert gone() is None
+
+
 def test_round_trip_query(spark, library):
     out = {r["doc_id"]: r for r in queries.op6_bpe_round_trip(spark, DIR).collect()}
     docs = spark.read.parquet(f"{DIR}/documents.parquet").collect()
