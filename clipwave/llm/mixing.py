@@ -3,11 +3,19 @@
 Documents fall into cells of source, language and topic. The cells' token counts are raked:
 scaled so that the sums over each source match the sources' targets, then the languages',
 then the topics', again and again. A cell's calibrated weight over its share of tokens is
-its rate; a document is kept with the probability ``budget`` times its cell's rate, at most
-1, by a hash of its key. So the kept tokens follow the calibrated weights as far as the
-supply goes (a cell that is wanted more than it has is kept whole), and a run on the same
-rows keeps the same documents. A budget of 1 asks for as many tokens as there are; with one under the inverse of the
-largest rate no cell is short and the weights are met exactly, in expectation.
+its rate. There are two ways to take a sample, both by a hash of the key, so that a run on
+the same rows takes the same documents:
+
+* ``copies`` meets the calibrated weights in expectation with any budget: a document comes
+  ``budget`` times its cell's rate, the whole part for sure and the rest by a draw.
+* ``kept`` takes no document twice: it marks those with a copy at least. A cell that is
+  wanted more than it has is kept whole and what it lacks is missing, so the weights are met
+  only with a budget under the inverse of the largest rate.
+
+Raking takes ``ROUNDS`` rounds, as in the SQL; how near the sources and languages come by then depends on the cells
+(the topics, raked last, are met exactly). Targets that no weights on the cells can meet aren't met.
+A budget of 1 asks for as many tokens as there are. Copies of one document are made from
+its row, so all in one task.
 
 All is DataFrame expressions. Documents are pre-aggregated to cells before anything is
 shuffled; raking works on the cells by window sums. The cells come back to the documents
@@ -22,7 +30,7 @@ column expression can be given. Tokens are estimated as a quarter of the UTF-8 b
 rounded up.
 
 Edge cases: null sources and languages are values of their own (''), null texts are empty:
-0 tokens, topic short, and a cell without tokens keeps all its documents. Null keys hash as
+0 tokens, topic short, and a cell without tokens keeps all its documents, once. Null keys hash as
 ''. Repeated rows are kept or dropped together. An empty table gives an empty result.
 Clashing columns are replaced.
 """
@@ -61,7 +69,7 @@ def targets(cells: DataFrame, side: str, given: dict[str, float] | None = None,
 
 
 def calibrate(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, budget: float = 1.0) -> DataFrame:
-    """``cells`` with ``weight`` (raked share of tokens) and ``probability``."""
+    """``cells`` with ``weight`` (raked share of tokens), ``rate`` and ``probability`` (the rate, at most 1)."""
     marked = cells
     for side in SIDES:
         marked = marked.join(targets(cells, side, (given or {}).get(side)).withColumnRenamed("target", f"to_{side}"), side, "left")
@@ -72,25 +80,28 @@ def calibrate(cells: DataFrame, given: dict[str, dict[str, float]] | None = None
             live = live.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"to_{side}") / total).otherwise(0.0))
     everything = Window.partitionBy(F.lit(0))  # cells, not documents
     rate = F.col("weight") / F.sum("weight").over(everything) / (F.col("tokens") / F.sum("tokens").over(everything))
-    return live.withColumn("probability", F.least(F.lit(1.0), F.when(F.sum("weight").over(everything) > 0, budget * rate).otherwise(0.0))).select(*SIDES, "tokens", "weight", "probability")
+    live = live.withColumn("rate", F.when(F.sum("weight").over(everything) > 0, budget * rate).otherwise(0.0))
+    return live.select(*SIDES, "tokens", "weight", F.least(F.lit(1.0), "rate").alias("probability"), "rate")
 
 
 def mix(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, topic: Column | None = None, key: str = "doc_id", text: str = "text", seed: str = "", budget: float = 1.0) -> DataFrame:
-    """``docs`` with ``topic``, ``tokens``, ``probability`` and ``kept``."""
-    own = [c for c in docs.columns if c not in ("topic", "tokens", "probability", "kept")]
+    """``docs`` with ``topic``, ``tokens``, ``probability`` and ``kept``, ``rate`` and ``copies``."""
+    own = [c for c in docs.columns if c not in ("topic", "tokens", "probability", "kept", "rate", "copies")]
     marked = docs.withColumns({"topic": topic_of(text) if topic is None else topic, "tokens": tokens_of(text), "m_source": F.coalesce("source", F.lit("")), "m_lang": F.coalesce("lang", F.lit(""))})
     cells = marked.groupBy(F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
     cells = materialize(cells, "cell-sums")
-    rates = materialize(calibrate(cells, given, budget=budget).select(F.col("source").alias("m_source"), F.col("lang").alias("m_lang"), "topic", "probability"), "cell-rates")
+    rates = materialize(calibrate(cells, given, budget=budget).select(F.col("source").alias("m_source"), F.col("lang").alias("m_lang"), "topic", "probability", "rate"), "cell-rates")
     few = rates.limit(BROADCAST + 1).count() <= BROADCAST
     joined = marked.join(F.broadcast(rates) if few else rates, ["m_source", "m_lang", "topic"], "left")
     chance = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     p = F.round(F.coalesce("probability", F.lit(1.0)), 9)
-    return joined.select(*own, "topic", "tokens", p.alias("probability"), (chance < p).alias("kept"))
+    rate = F.round(F.coalesce("rate", F.lit(1.0)), 9)
+    times = F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")
+    return joined.select(*own, "topic", "tokens", p.alias("probability"), (chance < p).alias("kept"), rate.alias("rate"), times.alias("copies"))
 
 
 def oracle() -> str:
-    """DuckDB SQL for mix() over documents with the default targets."""
+    """DuckDB SQL for ``probability`` and ``kept`` of mix() over documents with the default targets."""
     parts = [
         """d as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, coalesce(text, '') as t from documents)""",
         """m as (select doc_id, source, lang, case when length(t) < 400 then 'short' when (length(t) - length(replace(t, chr(10), ''))) * 60 > length(t) then 'listing' when length(t) > 8000 then 'long' else 'prose' end as topic, (strlen(t) + 3) // 4 as tokens from d)""",

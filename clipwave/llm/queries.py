@@ -53,6 +53,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
+def op8_source_mixing_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document comes in a sample that meets the targets."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "topic", "tokens", F.round("rate", 6).alias("rate"), "copies")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = rules.apply(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
@@ -65,7 +71,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_histogram, op3_jaccard_join, op4_chat_windows, op5_quality_gam, op6_bpe_round_trip, op7_exact_top_k, op8_source_mixing, op9_quality_rules, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_histogram, op3_jaccard_join, op4_chat_windows, op5_quality_gam, op6_bpe_round_trip, op7_exact_top_k, op8_source_mixing, op8_source_mixing_copies, op9_quality_rules, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:

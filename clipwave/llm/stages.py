@@ -6,6 +6,7 @@ All but the last return the columns of ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, gam, jaccard, langid, mixing
 from .common import table
@@ -29,8 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens follow the calibrated weights."""
-    return mixing.mix(docs).where("kept").select(docs.columns)
+    """A sample whose tokens follow the calibrated weights: documents of cells that are wanted more than they have come several times."""
+    mixed = mixing.mix(docs).where("copies > 0")
+    return mixed.withColumn("copies", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

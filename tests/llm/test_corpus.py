@@ -193,6 +193,50 @@ def test_mixing_meets_the_targets(spark):
     assert abs(share["a"] / sum(share.values()) - 0.4) < 0.06
 
 
+def wanted(docs):
+    """Shares of tokens by side and value: the corpus' own to the power 1/2."""
+    out = {}
+    for side in ("source", "lang", "topic"):
+        sums = Counter()
+        for r in docs:
+            sums[r[side]] += r["tokens"]
+        whole = sum(math.sqrt(t) for t in sums.values() if t)
+        out |= {(side, v): math.sqrt(t) / whole for v, t in sums.items() if t}
+    return out
+
+
+def shares(docs, times):
+    out, whole = Counter(), sum(r["tokens"] * r[times] for r in docs)
+    for r in docs:
+        for side in ("source", "lang", "topic"):
+            out[side, r[side]] += r["tokens"] * r[times] / whole
+    return out
+
+
+def test_mixing_meets_the_targets_by_default(spark):
+    docs = queries.op8_source_mixing_copies(spark, f"{DATA}/sf0.01").collect()
+    found = shares(docs, "rate")
+    assert all(abs(found[k] / t - 1) < 1e-4 for k, t in wanted(docs).items())
+    assert all(r["copies"] in (math.floor(r["rate"]), math.ceil(r["rate"])) for r in docs)
+
+
+def test_mixing_stage_meets_the_targets_on_skewed_rows(spark):
+    rng = random.Random(5)  # a hot source, a rare language that mostly another source has
+    texts = {"prose": "w " * 600, "listing": "w\n" * 500, "short": "w " * 150}
+    sizes = {("hot", "en"): 4000, ("hot", "de"): 100, ("b", "en"): 150, ("b", "de"): 300, ("c", "en"): 200, ("c", "de"): 250}
+    kinds = [(source, lang, texts[t]) for (source, lang), n in sizes.items() for t, share in (("prose", 1), ("listing", 0.2), ("short", 0.5)) for _ in range(int(n * share))]
+    rng.shuffle(kinds)
+    docs = spark.createDataFrame([(i, text, lang, source, len(text)) for i, (source, lang, text) in enumerate(kinds)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = wanted([r.asDict() for r in mixing.mix(docs).select("source", "lang", "topic", "tokens").collect()])
+    out = stages.mix(spark, docs, DIR)
+    assert out.columns == docs.columns
+    got = [r.asDict() | {"n": 1} for r in out.select("source", "lang", mixing.topic_of().alias("topic"), mixing.tokens_of().alias("tokens")).collect()]
+    found = shares(got, "n")
+    assert all(abs(found[k] / t - 1) < 0.1 for k, t in want.items()), (found, want)
+    whole = sum((len(text) + 3) // 4 for _, _, text in kinds)
+    assert abs(sum(r["tokens"] for r in got) / whole - 1) < 0.05
+
+
 def test_mixing_edges(spark):
     odd = table(spark, [(0, None), (1, ""), (2, "word"), (2, "word"), (None, "x" * 100_000)])
     out = mixing.mix(odd).collect()
