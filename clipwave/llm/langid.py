@@ -16,6 +16,13 @@ of its texts, and turns the counts into one vector (bundling is linear, so that
 bundle of these texts). A task adds up its own vectors, Spark those of all tasks. Only one vector for each
 language reaches the driver; more than ``MOST_LANGUAGES`` is an error.
 
+Rejecting: cosines of texts in no learned language are small but seldom under 0. ``floors``
+finds, from the labelled texts that get their own language, the score and the margin that all
+but ``FLOOR_SHARE`` of them reach, for each class of length (short texts score low);
+``known`` says whether a text reaches both. Labelled junk counts as a labelled text, so
+more than that share of it lowers the floors; and a few random letters may score like a real
+text of a few letters. A class without such texts gets the floors of all classes.
+
 Edge cases: a text that is null, or has no letter, gets ``und`` and score 0. Rows with a
 null language don't train. Whole texts count, in blocks, so very long ones need no more
 memory. Equal cosines: the language that comes first in the alphabet. With no training
@@ -43,6 +50,10 @@ PLACES = 128
 MOST_LANGUAGES = 1000
 #: Characters that are looked at together.
 BLOCK = 1 << 20
+#: Share of correctly identified labelled texts that may fall under a floor; floors are whole steps of 1/STEPS.
+FLOOR_SHARE, STEPS = 0.001, 1000
+#: Characters at which the next class of length begins.
+LENGTHS = (100, 1000)
 
 
 @lru_cache(maxsize=1)
@@ -173,3 +184,42 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "lang_pred string", "score double", "margin double"])
     return map_slices(docs, work, schema, text, "langid")
+
+
+def length_class(text: str = "text") -> Column:
+    n = F.coalesce(F.length(text), F.lit(0))
+    return sum((F.when(n >= least, 1).otherwise(0) for least in LENGTHS), F.lit(0))
+
+
+def step_of(measure: str) -> Column:
+    return F.floor(F.col(measure) * STEPS)
+
+
+def floors(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> dict[str, list[int]]:
+    """Least steps of ``score`` and ``margin`` for each class of length. Only counts by step reach the driver."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.struct(F.col(lang).cast("string").alias("lang"), length_class(text).alias("size")).alias("own"), F.col(text).alias("text"))
+    right = identify(rows, profiles, "own").where(F.col("own.lang") == F.col("lang_pred"))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), step_of(m).alias("step")) for m in ("score", "margin")))).alias("m")
+    counts = right.select("own.size", each).groupBy("size", "m.measure", "m.step").count().collect()
+
+    def least(found: list) -> int | None:
+        total, seen = sum(r["count"] for r in found), 0
+        for r in sorted(found, key=lambda r: r["step"]):
+            seen += r["count"]
+            if seen > FLOOR_SHARE * total:
+                return r["step"]
+        return None
+
+    out = {}
+    for measure in ("score", "margin"):
+        mine = [r for r in counts if r["measure"] == measure]
+        every = least(mine) or 0
+        by_size = [least([r for r in mine if r["size"] == k]) for k in range(len(LENGTHS) + 1)]
+        out[measure] = [every if x is None else x for x in by_size]
+    return out
+
+
+def known(least: dict[str, list[int]], text: str = "text") -> Column:
+    """Whether an identified text is in a learned language; over the columns of ``identify``."""
+    reached = [step_of(m) >= F.element_at(F.array(*map(F.lit, steps)), length_class(text) + 1) for m, steps in least.items()]
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & reached[0] & reached[1]

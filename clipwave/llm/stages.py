@@ -19,9 +19,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that resemble some language: those without a letter, or with no cosine over 0, go."""
-    found = langid.identify(docs, langid.learn(docs), keep=True)
-    return found.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] > 0)).select(docs.columns)
+    """Texts in a learned language: those without a letter, or under the floors of labelled texts of their length, go."""
+    profiles = langid.learn(docs)
+    found = langid.identify(docs, profiles, keep=True)
+    return found.where(langid.known(langid.floors(docs, profiles))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

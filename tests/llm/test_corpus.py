@@ -1,5 +1,6 @@
 """Operators over many rows: against brute force."""
 
+import base64
 import hashlib
 import math
 import random
@@ -9,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -306,6 +308,22 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in mixing.mix(docs).where("kept").collect()}
 
 
+def test_language_stage_rejects_what_is_in_no_learned_language(spark):
+    rng = random.Random(1)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    junk = [letters(rng.randint(200, 3000)) for _ in range(60)]
+    junk += [" ".join(letters(rng.randint(2, 9)) for _ in range(rng.randint(40, 300))) for _ in range(60)]
+    junk += [base64.b64encode(rng.randbytes(rng.randint(200, 2000))).decode() for _ in range(60)]
+    junk += ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(rng.randint(100, 1000))) for _ in range(60)]
+    junk += ["Это обычное предложение на русском языке, которого модель никогда не видела и не должна узнавать."]
+    junk += ["Tämä on tavallinen suomenkielinen lause, jota malli ei ole koskaan nähnyt eikä sen pitäisi tunnistaa sitä."]
+    junk += ["Zażółć gęślą jaźń, to jest zwykłe zdanie w języku polskim, którego model nigdy nie widział ani nie zna."]
+    docs = common.table(spark, DIR, "documents")
+    planted = spark.createDataFrame([(10**9 + i, t, None, "planted", len(t)) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in stages.language(spark, docs.unionByName(planted.select([F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])), DIR).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
+
+
 def test_pipeline_runs(spark):
     docs = common.table(spark, DIR, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
