@@ -607,11 +607,24 @@ p as (select o_orderkey, cast(round(t0 * 500) as bigint) as s0, cast(round(t1 *
 select o_orderkey, k as first_sample, least(k + step, s1) - 1 as last_sample from (select *, unnest(range(s0, s1, step)) as k from p)"""
 )
 def chunk_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
-    r = o.select("o_orderkey", (1 + F.col("o_custkey") % 130).alias("channels"), (F.col("o_totalprice") / 1000).alias("start"), (F.col("o_totalprice") / 1000 + 600).alias("end"))
+    return plans(read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))
+
+
+def plans(orders: DataFrame) -> DataFrame:
+    r = orders.select("o_orderkey", (1 + F.col("o_custkey") % 130).alias("channels"), (F.col("o_totalprice") / 1000).alias("start"), (F.col("o_totalprice") / 1000 + 600).alias("end"))
     return T.plan_chunks(r, rate=500, key="o_orderkey", share=20).select("o_orderkey", "first_sample", "last_sample")
 
 
+@query(
+    """with o as (select o_orderkey, 1 + o_custkey % 130 as n_ch, o_totalprice / 1000 as t0, o_totalprice / 1000 + 600 as t1 from orders),
+p as (select o_orderkey, cast(round(t0 * 500) as bigint) as s0, cast(round(t1 * 500) as bigint) as s1, greatest(500, cast(floor(0.8 * 1.3e8 / n_ch) as bigint)) // 20 as step from o)
+select o_orderkey, k as first_sample, least(k + step, s1) - 1 as last_sample from (select *, unnest(range(s0, s1, step)) as k from p)"""
+)
+def chunk_planner_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans for every recording; ``chunk_planner`` has a tenth of them, as its SQL does."""
+    return plans(read(spark, sf_dir, "orders"))
+
+
 @query(
     """with m as (select vec_id, floor(list_min(embedding)::double * 8) as lo, ceil(list_max(embedding)::double * 8) as hi from embeddings)
 select vec_id, greatest(-9999999, least(9999999, lo)) as pmin, greatest(-9999999, least(9999999, case when hi <= lo then lo + 1 else hi end)) as pmax from m"""

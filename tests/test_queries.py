@@ -37,6 +37,19 @@ def test_same_rows(spark, duck, name):
     assert plain(map(tuple, df.select(*(f"`{c}`" for c in cols)).collect())) == plain(want)
 
 
+def test_every_recording_gets_a_plan(spark):
+    orders = {r["o_orderkey"]: r for r in spark.read.parquet(f"{DIR}/orders.parquet").collect()}
+    plan = {}
+    for r in catalogue.queries()["chunk_planner_all"](spark, DIR).collect():
+        plan.setdefault(r["o_orderkey"], []).append((r["first_sample"], r["last_sample"]))
+    assert set(plan) == set(orders)
+    for key, parts in plan.items():
+        parts.sort()
+        assert all(a[1] + 1 == b[0] for a, b in zip(parts, parts[1:]))
+        start = orders[key]["o_totalprice"] / 1000
+        assert (parts[0][0], parts[-1][1]) == (int(start * 500 + 0.5), int((start + 600) * 500 + 0.5) - 1)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
