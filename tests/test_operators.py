@@ -203,3 +203,20 @@ def test_span_join(spark):
     p = spark.createDataFrame([(1, float(t)) for t in (0, 17.0, 17.01, 40)], "rec int, t double")
     s = spark.createDataFrame([(1, 10.0, 17.0)], "rec int, a double, b double")
     assert [r["t"] for r in P.within(p, s, ("rec",), "t", "a", "b", 5.0).collect()] == [17.0]
+
+
+def hazen_by_hand(values, p):
+    s = sorted(values)
+    at = max(1.0, min(float(len(s)), p * len(s) + 0.5))
+    low, high = s[int(at) - 1], s[min(len(s), int(at) + 1) - 1]
+    return low + (high - low) * (at - int(at))
+
+
+@pytest.mark.parametrize("values", [[], [2.5], [1.0, -3.0], [0.0, 0.5, 0.5, 0.5, 9.0], [float(k * k % 97) for k in range(1001)], [1.0] * 500 + [-2.0] * 3])
+def test_onset_error(spark, values):
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "error double").repartition(3)
+    got = V.onset_error(df)
+    plan = got._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "median(" not in plan
+    want = tuple(hazen_by_hand(values, p) if values else None for p in (0.5, 0.25, 0.75))
+    assert tuple(got.select("n", "median", "q25", "q75").first()) == pytest.approx((len(values), *want))
