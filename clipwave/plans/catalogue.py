@@ -282,6 +282,16 @@ def leaky_highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "h", F.explode(ks).alias("k")).select("vec_id", "k", F.round(F.element_at("h", F.col("k")), 9).alias("high"))
 
 
+@query(
+    """select vec_id, k::integer as k, round(embedding[k]::double - list_sum(list_transform(range(1, k + 1), lambda j: 0.01 * pow(0.99, k - j) * embedding[j]::double)), 9) as high
+from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as k from embeddings)"""
+)
+def leaky_highpass_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples of every window; ``leaky_highpass`` has four of them, as its SQL does."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(G.leaky_highpass(F.col("embedding"))).alias("k", "high"))
+    return e.select("vec_id", (F.col("k") + 1).alias("k"), F.round("high", 9).alias("high"))
+
+
 BANDS = "b as (select vec_id, label, list_sum(list_transform(embedding[49:64], lambda x: x::double * x::double)) as hf, list_sum(list_transform(embedding[1:32], lambda x: x::double * x::double)) as inband from embeddings)"
 
 

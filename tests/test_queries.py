@@ -50,6 +50,17 @@ def test_every_recording_gets_a_plan(spark):
         assert (parts[0][0], parts[-1][1]) == (int(start * 500 + 0.5), int((start + 600) * 500 + 0.5) - 1)
 
 
+def test_every_sample_is_filtered(spark):
+    want = {}
+    for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect():
+        y = 0.0
+        for k, x in enumerate(r["embedding"], 1):
+            y = 0.99 * y + 0.01 * x
+            want[r["vec_id"], k] = x - y
+    got = {(r["vec_id"], r["k"]): r["high"] for r in catalogue.queries()["leaky_highpass_all"](spark, DIR).collect()}
+    assert got == pytest.approx(want, abs=1e-8)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
