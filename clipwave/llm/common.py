@@ -112,6 +112,9 @@ def fold(column: str, parts: int):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))
 
 
-def add_columns(df: DataFrame, wanted: dict, prefix: str = "") -> DataFrame:
-    """Attach result columns; an input column of the same name is replaced."""
-    return df.drop(*wanted).withColumns({f"{prefix}{k}": v for k, v in wanted.items()})
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -216,7 +216,7 @@ def shares(docs, times):
 
 
 def test_mixing_meets_the_targets_by_default(spark):
-    docs = queries.op8_source_mixing_copies(spark, f"{DATA}/sf0.01").collect()
+    docs = queries.op8_source_mixing(spark, f"{DATA}/sf0.01").collect()
     found = shares(docs, "rate")
     assert all(abs(found[k] / t - 1) < 1e-4 for k, t in wanted(docs).items())
     assert all(r["copies"] in (math.floor(r["rate"]), math.ceil(r["rate"])) for r in docs)
@@ -239,6 +239,23 @@ def test_mixing_stage_meets_the_targets_on_skewed_rows(spark):
     assert abs(sum(r["tokens"] for r in got) / whole - 1) < 0.05
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_raking_says_how_far_it_is(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    cells = spark.createDataFrame([("a", "en", "x", 60), ("a", "de", "x", 20), ("b", "en", "x", 20), ("b", "fr", "x", 5)], "source string, lang string, topic string, tokens long")
+    out = mixing.calibrate(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.6, "de": 0.2, "fr": 0.2}}).collect()
+    assert all(r["off"] <= mixing.TOLERANCE for r in out)
+    assert abs(sum(r["weight"] for r in out if r["source"] == "a") - 0.5) < 1e-4 and abs(sum(r["weight"] for r in out if r["lang"] == "en") - 0.6) < 1e-4
+    never = mixing.calibrate(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.1, "fr": 0.8}}, rounds=5).collect()
+    assert never[0]["off"] > 0.1
+
+
+def test_mixing_leaves_other_columns(spark):
+    docs = spark.createDataFrame([(1, "some text", "en", "s", "mine", "too", "there")], "doc_id long, text string, lang string, source string, m_source string, m_lang string, away string")
+    out = mixing.mix(docs).first()
+    assert (out["m_source"], out["m_lang"], out["away"]) == ("mine", "too", "there")
+
+
 def test_mixing_edges(spark):
     odd = table(spark, [(0, None), (1, ""), (2, "word"), (2, "word"), (None, "x" * 100_000)])
     out = mixing.mix(odd).collect()
