@@ -1,20 +1,24 @@
 """Sharding by k-d tree partitioning.
 
-Rows become points whose coordinates describe their text: its size (on a log scale), its
-share of multi-byte characters, and its checksum. A node of the tree stands for a number
-of shards; it is split along its widest dimension at the weighted median of bytes (at the
-matching quantile where its number of shards is odd), until each leaf is one shard, which
-then holds its share of all bytes.
-
-Coordinates are whole numbers of 63 bits: 24 of the dimension, 20 of the text's checksum
-and 19 of the key's hash. So rows of equal text stand together and a cut falls between
-texts; a group of copies of over a hundredth of a shard can be cut in itself, by key. A cut is found by histograms: bytes are summed over ``BINS`` bins of each node, the
-bin that holds the median is cut into bins again, until what it holds is under
-``TOLERANCE`` of a shard. Only the open nodes (fewer than the shards) and one bin of each
+Rows become points whose dimensions are metadata of their text: its size (on a log scale),
+and its shares of multi-byte characters, of line ends and of blanks. A node of the tree
+stands for a number of shards; it is split along its widest dimension at the weighted median
+of bytes (at the matching quantile where its number of shards is odd), until each leaf is
+one shard, which then holds its share of all bytes: the target bytes, where they are given.
+How wide a node is along a dimension is the spread of its bytes there (their standard
+deviation) as a part of the root's, so no unit makes a dimension wide.
+
+Coordinates are whole numbers of 63 bits: 24 of the dimension, then 20 of the text's checksum
+and 19 of the key's hash, which only order rows of one place. So rows of equal text stand
+together and a cut falls between texts; a group of copies of over ``COPIES`` of a shard can
+be cut in itself, by key. A cut is found by histograms: bytes are summed over ``BINS`` bins
+of each node, the bin that holds the median is cut into bins again, until what it holds is
+under ``TOLERANCE`` of a shard. Only the open nodes (fewer than the shards) and their bins
 ever reach the driver; rows are summed where they are.
 
 Slots are numbered without gaps in two levels, over fixed buckets of keys and within them,
-so no task sorts a whole shard.
+so no task sorts a whole shard. Rows of one key and text are numbered in parts by where they
+are read, so that many of them don't meet in one task.
 
 Edge cases: a null text has no bytes and the checksum of nothing; size counts 8 more bytes
 for each row, so such rows have weight too. Rows that are equal in key and text as well
@@ -32,24 +36,26 @@ from .common import materialize
 
 BINS = 1024
 #: Most bytes that lie on the wrong side of a cut, as a share of a shard's; and how many do to keep copies together.
-TOLERANCE, COPIES = 1e-4, 1e-2
+TOLERANCE, COPIES = 1e-4, 4e-3
 #: Coordinates of one text.
 TEXT = 1 << 19
 #: Rows of a bucket in which slots are numbered.
 BUCKET_ROWS = 20_000
-DIMENSIONS = ("by_size", "by_script", "by_text")
+DIMENSIONS = ("by_size", "by_script", "by_lines", "by_blanks")
 
 
 def points(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``size``, ``text_crc32`` and a coordinate for each of DIMENSIONS."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(key), F.octet_length(t).cast("long").alias("bytes"), F.length(t).cast("long").alias("chars"), F.crc32(t.cast("binary")).alias("text_crc32"))
+    count = lambda c: F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit("")))
+    base = docs.select(F.col(key), F.octet_length(t).cast("long").alias("bytes"), F.length(t).cast("long").alias("chars"), F.crc32(t.cast("binary")).alias("text_crc32"), count("\n").alias("lines"), count(" ").alias("blanks"))
     tie = F.shiftleft(F.col("text_crc32") % (1 << 20), 19) + F.pmod(F.xxhash64(key, "text_crc32"), F.lit(1 << 19))
     at = lambda share: F.shiftleft(F.least(F.lit((1 << 24) - 1), F.greatest(F.lit(0), F.floor(share * (1 << 24)))).cast("long"), 39) + tie
     coordinates = (
         at(F.log2(F.col("bytes") + 8.0) / 40),
         at((F.col("bytes") - F.col("chars")) / (F.col("bytes") + 1.0)),
-        at(F.col("text_crc32") / float(1 << 32)),
+        at(F.sqrt(F.col("lines") / (F.col("chars") + 1.0))),
+        at(F.col("blanks") / (F.col("chars") + 1.0)),
     )
     return base.select(key, (F.col("bytes") + 8).alias("size"), "text_crc32", *(c.alias(n) for c, n in zip(coordinates, DIMENSIONS, strict=True)))
 
@@ -64,15 +70,27 @@ def coordinate(nodes: list[dict]) -> Column:
     return F.element_at(F.array(*DIMENSIONS), of_node([n["axis"] + 1 for n in nodes], "int"))
 
 
-def cut_nodes(rows: DataFrame, nodes: list[dict]) -> None:
-    """Find the axis and the cut of each node that stands for more than one shard."""
-    bounds = [f(d).alias(f"{n}{i}") for i, d in enumerate(DIMENSIONS) for n, f in (("lo", F.min), ("hi", F.max))]
-    found = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("w"), *bounds).collect()}  # a row for each node
+def spread(r, d: int) -> float:  # noqa: ANN001
+    """Standard deviation of a node's bytes along dimension ``d``."""
+    mean = r[f"s{d}"] / r["w"]
+    return max(0.0, r[f"q{d}"] / r["w"] - mean * mean) ** 0.5
+
+
+def cut_nodes(rows: DataFrame, nodes: list[dict], root: list[float]) -> None:
+    """Find the axis and the cut of each node that stands for more than one shard. ``root``: the root's spreads, which the first call fills in."""
+    sums = []
+    for i, d in enumerate(DIMENSIONS):
+        x = F.shiftright(d, 39) / float(1 << 24)
+        sums += [F.min(d).alias(f"lo{i}"), F.max(d).alias(f"hi{i}"), F.sum(F.col("size") * x).alias(f"s{i}"), F.sum(F.col("size") * x * x).alias(f"q{i}")]
+    found = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("w"), *sums).collect()}  # a row for each node
+    if not root and found:
+        root += [spread(found[0], d) for d in range(len(DIMENSIONS))]
     for i, n in enumerate(nodes):
         n |= {"axis": 0, "cut": (1 << 63) - 1, "low": 0, "high": 1, "below": 0, "done": True}
         if (r := found.get(i)) and n["count"] > 1:
-            n["axis"] = max(range(len(DIMENSIONS)), key=lambda d, r=r: r[f"hi{d}"] - r[f"lo{d}"])
-            n |= {"low": r[f"lo{n['axis']}"] // TEXT * TEXT, "high": r[f"hi{n['axis']}"] + 1, "weight": r["w"], "want": r["w"] * (n["count"] // 2) / n["count"], "done": False}
+            wide = [spread(r, d) / root[d] if root[d] > 0 else 0.0 for d in range(len(DIMENSIONS))]
+            n["axis"] = max(range(len(DIMENSIONS)), key=lambda d, w=wide: round(w[d], 9))
+            n |= {"low": r[f"lo{n['axis']}"] // TEXT * TEXT, "high": r[f"hi{n['axis']}"] + 1, "weight": r["w"], "want": r["w"] * (n["count"] // 2) / n["count"], "wide": wide, "done": False}
     while not all(n["done"] for n in nodes):
         for n in nodes:
             width = n["high"] - n["low"]
@@ -96,11 +114,13 @@ def cut_nodes(rows: DataFrame, nodes: list[dict]) -> None:
                 upto += w
 
 
-def partition(rows: DataFrame, shards: int) -> DataFrame:
-    """``rows`` with ``shard``: level by level, all nodes of a level at once."""
-    rows, nodes = rows.withColumn("node", F.lit(0)), [{"first": 0, "count": shards}]
+def partition(rows: DataFrame, shards: int, tree: list[dict] | None = None) -> DataFrame:
+    """``rows`` with ``shard``: level by level, all nodes of a level at once. ``tree`` takes up the nodes that were split."""
+    rows, nodes, root = rows.withColumn("node", F.lit(0)), [{"first": 0, "count": shards}], []
     while any(n["count"] > 1 for n in nodes):
-        cut_nodes(rows, nodes)
+        cut_nodes(rows, nodes, root)
+        if tree is not None:
+            tree += [n for n in nodes if "wide" in n]
         below: list[dict] = []
         for n in nodes:
             half = n["count"] // 2
@@ -114,13 +134,17 @@ def partition(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("shard", of_node([n["first"] for n in nodes], "int"))
 
 
-def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row."""
+def shard(docs: DataFrame, shards: int | None = 24, key: str = "doc_id", text: str = "text", target_bytes: int | None = None, tree: list[dict] | None = None) -> DataFrame:
+    """``key``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row. With ``target_bytes`` there are as many shards as bring each under it, else ``shards``."""
     rows = materialize(points(docs, key, text), "shard-points")
-    placed = partition(rows, shards).select(key, "size", "text_crc32", "shard")
-    buckets = max(1, rows.count() // BUCKET_ROWS)
-    # Hashed with the text too: rows that repeat a key are spread as far as they differ.
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(key, "text_crc32"), F.lit(buckets)))
+    total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("w")).first()
+    if target_bytes:
+        shards = max(1, -(-(total["w"] or 0) // target_bytes))
+    placed = partition(rows, shards, tree).select(key, "size", "text_crc32", "shard")
+    buckets = max(1, total["n"] // BUCKET_ROWS)
+    # Hashed with the text too, and dealt by where they are read: rows that repeat a key are spread as well.
+    at = F.pmod(F.xxhash64(key, "text_crc32", F.shiftright(F.monotonically_increasing_id(), 33)), F.lit(buckets))
+    placed = materialize(placed.withColumn("bucket", at), "shard-placed")
     inside = Window.partitionBy("shard", "bucket").orderBy(key, "text_crc32")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

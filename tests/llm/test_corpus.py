@@ -170,6 +170,25 @@ def test_top_k(spark, monkeypatch, shard):
     assert got == brute_top(rows, lambda q: q % 50 == 0)
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(kdsearch, "SHARD_ROWS", 20)
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([1e6, -1e6, 3e38, -3e38, 1e18, 0.25, -0.7, 5e8]) for _ in range(4)]) for i in range(120)]
+    rows += [(200 + i, [rng.uniform(-2, 2) for _ in range(4)]) for i in range(60)] + [(300, [1e6, 0.0, -1e6, 2.0]), (301, [1e6, 0.0, 1e5, 2.0])]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    long = np.iinfo(np.int64)
+    want = {(q, r, i, min(max(s, long.min), long.max)) for q, r, i, s in brute_top(rows, lambda q: q % 10 == 0)}
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], VECTORS)
+    assert {tuple(r) for r in kdsearch.top_k(df, queries=F.col("vec_id") % 10 == 0).collect()} == want
+
+
+def test_top_k_of_doubles_at_the_end_of_their_range(spark):
+    rows = [(1, [1.7e308]), (2, [1.6e308]), (3, [-1.7e308]), (50, [1.5e308]), (100, [-3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in kdsearch.top_k(df, queries=F.col("vec_id") % 50 == 0).collect()}
+    assert got == {(50, 1, 1), (50, 2, 2), (50, 3, 100), (50, 4, 3), (100, 1, 3), (100, 2, 50), (100, 3, 2), (100, 4, 1)}
+
+
 def test_top_k_query_and_empty(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()]
     assert {tuple(r) for r in queries.op7_exact_top_k(spark, DIR).collect()} == brute_top(rows, lambda q: q % 50 == 0)
@@ -297,6 +316,46 @@ def test_copies_stay_together(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_shards_query(spark):
+    d = f"{DATA}/sf0.01"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    found = queries.op10_kd_shards(spark, d).collect()
+    sizes = check_shards(rows, found, 24)
+    assert {r["law"] for r in found} == {"bytes"} and {r["grown_shard"] for r in found} == {None} and len(sizes) == 24
+    longest, mean = max(r["size"] for r in found), sum(sizes.values()) / 24
+    assert all(abs(s - mean) <= 0.02 * mean + longest for s in sizes.values())
+
+
+def test_splits_are_on_metadata(spark):
+    tree = []
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
+    sizes = [r["sum(size)"] for r in sharding.shard(docs, 24, tree=tree).groupBy("shard").sum("size").collect()]
+    mean = sum(sizes) / 24
+    assert max(sizes) < 1.02 * mean and min(sizes) > 0.98 * mean  # one text is up to an eighth of a shard here
+    assert len(tree) == 23 and not any("crc" in d or "text" in d for d in sharding.DIMENSIONS)
+    used = {sharding.DIMENSIONS[n["axis"]] for n in tree}
+    assert len(used) >= 3, used
+    assert all(n["wide"][n["axis"]] >= max(n["wide"]) - 1e-9 for n in tree)
+
+
+def test_shards_of_target_bytes(spark):
+    rng = random.Random(8)
+    rows = [(i, "word " * rng.randint(0, 300)) for i in range(2000)]
+    found = sharding.shard(table(spark, rows), target_bytes=50_000).collect()
+    total = sum(r["size"] for r in found)
+    sizes = check_shards(rows, found, -(-total // 50_000))
+    assert len(sizes) == -(-total // 50_000) and max(sizes.values()) < 52_000
+
+
+def test_shard_of_a_very_long_text_and_many_copies(spark):
+    rows = [(i, "a b\n" * 50) for i in range(300)] + [(1, "same")] * 3000 + [(2000, "x" * 2_000_000)]
+    found = sharding.shard(table(spark, rows), 6).collect()
+    assert len(found) == len(rows)
+    for k in range(6):
+        slots = sorted(r["slot"] for r in found if r["shard"] == k)
+        assert slots == list(range(len(slots)))
+
+
 def test_shard_edges(spark):
     assert sharding.shard(table(spark, []), 24).count() == 0
     assert len(sharding.shard(table(spark, [(1, "a"), (1, "a"), (None, None)]), 24).collect()) == 3
