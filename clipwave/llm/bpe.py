@@ -13,6 +13,11 @@ replaying merges:
   where none is left it goes back one token. Places that were left behind are marked and
   never entered again, so a word costs time linear in its length.
 
+Words are cut by the file's pattern after its normalisation. Letters, digits and pairs of
+cases are those of the Unicode data of Python and ``regex``, which agree with the library for
+every code point that Python's version has assigned. A text with any other code point is
+normalised and cut by the library's own two parts for that, which know another version.
+
 This gives exactly the merges of the reference algorithm, as merge ranks are token ids here
 (checked when the file is loaded).
 
@@ -30,9 +35,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -63,6 +69,20 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Any code point that Python's Unicode version hasn't assigned."""
+    open_, spans = None, []
+    for c in range(0x110001):
+        free = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if free and open_ is None:
+            open_ = c
+        elif not free and open_ is not None:
+            spans.append(f"{chr(open_)}-{chr(c - 1)}")
+            open_ = None
+    return re.compile(f"[{''.join(spans)}]")
+
+
 @dataclass(eq=False)
 class Bpe:
     """Tables of one tokenizer file."""
@@ -207,9 +227,25 @@ class Bpe:
     def split(self, text: str) -> list[str]:
         """Normalise and pre-tokenise a text that holds no special token."""
         if not text.isascii():
+            if unassigned().search(text):
+                return self.split_by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing looks at one letter at a time
         return self.pieces.findall(text.lower())
 
+    @cached_property
+    def library_parts(self):  # noqa: ANN201
+        """Normaliser and pre-tokeniser of the file, without its vocabulary; and bytes by letter."""
+        from tokenizers import Tokenizer
+
+        spec = json.load(open(self.path, encoding="utf-8"))
+        spec |= {"model": spec["model"] | {"vocab": {}, "merges": []}, "added_tokens": []}
+        parts = Tokenizer.from_str(json.dumps(spec))
+        return parts.normalizer, parts.pre_tokenizer, {c: b for b, c in enumerate(self.letters)}
+
+    def split_by_library(self, text: str) -> list[str]:
+        normal, cut, byte = self.library_parts
+        return [bytes(byte[c] for c in piece).decode() for piece, _ in cut.pre_tokenize_str(normal.normalize_str(text))]
+
     def encode_plain(self, text: str) -> bytes:
         known, out = self.words, []
         for w in self.split(text):

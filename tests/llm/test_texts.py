@@ -49,6 +49,27 @@ def test_bpe_like_the_library(library):
         assert encoder.decode(got).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_every_code_point(library):
+    encoder = bpe.load(bpe.default_path())
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for k in range(0, len(every), 50_000):
+        texts = [f"a{c}1" for c in every[k : k + 50_000]]
+        for t, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert encoder.encode(t).tolist() == want.ids, ascii(t)
+    encoder.words, encoder.older = {}, {}
+
+
+def test_bpe_of_random_code_points(library):
+    rng = random.Random(11)
+    points = [c for c in range(0x20, 0x30000) if not 0xD800 <= c <= 0xDFFF]
+    encoder = bpe.load(bpe.default_path())
+    for _ in range(1500):
+        t = "".join(chr(rng.choice(points)) if rng.random() < 0.7 else rng.choice("ab 1'\n<|") for _ in range(rng.randint(1, 40)))
+        want = library.encode(t, add_special_tokens=False).ids
+        assert encoder.encode(t).tolist() == want, ascii(t)
+        assert encoder.decode(encoder.encode(t)).decode() == library.decode(want, skip_special_tokens=False)
+
+
 def test_cleared_tables_are_freed():
     b = bpe.load(bpe.default_path())
     b.encode("some words, to fill the tables of pairs")
