@@ -94,14 +94,15 @@ def windows(conversations: DataFrame, stride: int = STRIDE, history: int = HISTO
     led = F.when(F.col("system").isNull() | (F.col("items")[0]["place"] == 1), F.col("items")).otherwise(F.concat(F.array("system"), F.col("items")))
     full = near.select("conv_id", "window", led.alias("items"))
     text = lambda i: F.concat(i["head"], i["body"], F.lit(END + "\n"))
-    sizes = F.transform("items", lambda i: F.length(text(i)))
-    at = lambda k: F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda a, x: a + x)
-    spans = F.transform("items", lambda i, k: F.struct((at(k) + F.length(i["head"])).alias("start"), F.length(i["body"]).alias("length"), (i["own"] & (i["role"] == "assistant")).alias("learn")))
+    span = lambda at, i: F.struct((at + F.length(i["head"])).alias("start"), F.length(i["body"]).alias("length"))
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    learnt = lambda a, i: F.when(i["own"] & (i["role"] == "assistant"), F.concat(a["spans"], F.array(span(a["at"], i)))).otherwise(a["spans"])
+    mask = F.aggregate("items", nothing, lambda a, i: F.struct((a["at"] + F.length(text(i))).alias("at"), learnt(a, i).alias("spans")), lambda a: a["spans"])
     return full.select(
         "conv_id",
         "window",
         F.array_join(F.transform("items", text), "").alias("formatted"),
-        F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["length"])).alias("loss"),
+        mask.alias("loss"),
         F.size(F.filter("items", lambda i: ~i["own"])).alias("context"),
         F.size(F.filter("items", lambda i: i["own"])).alias("n_turns"),
         F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["tokens"]).alias("tokens"),

@@ -25,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the one that
-    was set on the context. Only where neither is set (tests on one machine) a new one is
-    made."""
+    was set on the context. Where neither is set, a new one on one machine (tests), an error
+    on a cluster."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -92,7 +94,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 
 def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", operator: str = "") -> DataFrame:
-    """``mapInArrow`` with ``work`` applied to slices of bounded size."""
+    """``mapInArrow`` with ``work`` applied to slices of bounded size.
+
+    Arrow's batches keep ARROW_ROWS rows for the rest of the session: plans are lazy, so the
+    setting can't be taken back here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin(operator)
@@ -107,6 +112,16 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def training_rows(found: DataFrame, most: int, name: str) -> pa.Table:
+    """The distinct rows of features and label, about ``most`` of them if there are more (by
+    their hash): the one table of a fit that reaches the driver, whatever repeats."""
+    rows = materialize(found.distinct(), name)
+    share = most / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return rows.toArrow()
+
+
 def fold(column: str, parts: int):
     """crc32 of the column as text, modulo ``parts``."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))

@@ -8,12 +8,13 @@ are boosted in the same way over their bin grids. Scoring a slice of texts is a
 vectorised additions of table entries.
 
 The model is fitted on the driver with at most about ``MOST_TRAINING_ROWS`` labelled rows
-(features only, never texts), drawn by a hash of the key; scoring covers all rows.
+(features only, never texts): labels are drawn by a hash of the key, and of what they bring,
+however often a key repeats, distinct rows of features by their hash. Scoring covers all rows.
 
 Edge cases: a null text is an empty one and has a score as any other. Repeated labels of a
 document count as their mean; null labels don't count. Without any label the score is 0.5,
-with labels of one class only it is near that class. Repeated documents train and are
-scored as often as they occur. Only the named columns of the input are read, so clashing
+with labels of one class only it is near that class. Rows that are equal in
+features and label train once; every row is scored. Only the named columns of the input are read, so clashing
 extra columns do no harm.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_slices, training_rows
 from .textstats import FIELDS, measure
 
 #: About the most labelled rows that a fit looks at.
@@ -169,10 +170,10 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column | None = None, key:
         x = features(part.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), part.column("label")], names=[*NAMES, "label"])
 
-    found = map_slices(known, work, ", ".join(f"{n} double" for n in (*NAMES, "label")), "text", "gam").toArrow()
+    found = training_rows(map_slices(known, work, ", ".join(f"{n} double" for n in (*NAMES, "label")), "text", "gam"), most_rows, "gam-training")
     x = np.column_stack([found.column(n).to_numpy() for n in NAMES])
     y = (found.column("label").to_numpy() >= 0.5).astype(np.float64)
-    order = np.lexsort(x.T)  # the order in which tasks ended doesn't matter
+    order = np.lexsort((y, *x.T))  # the order in which tasks ended doesn't matter
     return fit(x[order], y[order])
 
 

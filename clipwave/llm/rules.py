@@ -4,7 +4,7 @@ Sequential covering in the manner of RIPPER: a rule is a conjunction of threshol
 whole-number features. It is *grown* on one part of the labelled rows, adding the
 threshold with the highest information gain until it covers no good text; *pruned* on the
 rest, dropping last thresholds as long as that makes it no worse; and kept if it is
-precise on both. The bad texts that it covers are taken away and the next rule is grown.
+precise over all of them together. The bad texts that it covers are taken away and the next rule is grown.
 The list is emitted as one ordered Spark conditional expression (``verdict``), so applying
 it needs no Python beyond the counting of words and lines.
 
@@ -13,7 +13,9 @@ for learning and for applying.
 
 Edge cases: a null text is an empty one: all counts 0, so it fails the base rules. Without
 labels, or without labels of both classes, the list is empty and keeps all that passes the
-base rules. Repeated labels of a document count as their mean, null labels don't. Ties
+base rules. Repeated labels of a document count as their mean, null labels don't. Rows that
+are equal in features and label train once, and at most about ``MOST_TRAINING_ROWS`` train,
+however often a key repeats. Ties
 between thresholds: the first feature, then the smallest threshold. Only the named columns
 of the input are read.
 """
@@ -26,6 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import training_rows
 from .textstats import measure_documents
 
 #: About the most labelled rows that learning looks at.
@@ -169,7 +172,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if part < 1:
         rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(part * (1 << 20)))
     known = measure_documents(docs.select(key, text).join(F.broadcast(rows), key), key, text, ("label",)).where(~base_failed())
-    table = known.select("label", (F.pmod(F.crc32(F.col(key).cast("string")), F.lit(3)) != 0).alias("growing"), *(share(n).alias(n) for n in SHARES)).toArrow()
+    rows = known.select("label", (F.pmod(F.crc32(F.col(key).cast("string")), F.lit(3)) != 0).alias("growing"), *(share(n).alias(n) for n in SHARES))
+    table = training_rows(rows, most_rows, "rules-training")
     x = {n: table.column(n).to_numpy() for n in SHARES}
     return fit(x, table.column("label").to_numpy() < 0.5, table.column("growing").to_numpy(zero_copy_only=False).astype(bool))
 

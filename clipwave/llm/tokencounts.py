@@ -65,13 +65,15 @@ def histogram(counted: DataFrame, length: str = "n_tokens") -> DataFrame:
 
 
 def for_limits(bars: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: ``n_docs``, ``total_tokens``, ``docs_over``, ``tokens_cut``; any limit, whether a length or not."""
-    sums = []
-    for i, n in enumerate(limits):
-        over = F.col("n_tokens") > n
-        sums += [F.coalesce(F.sum(F.when(over, F.col("n_docs"))), F.lit(0)).alias(f"over{i}"), F.coalesce(F.sum(F.least("n_tokens", F.lit(n).cast("long")) * F.col("n_docs")), F.lit(0)).alias(f"cut{i}")]
-    one = bars.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum(F.col("n_tokens") * F.col("n_docs")), F.lit(0)).alias("total_tokens"), *sums)
-    each = F.array(*(F.struct(F.lit(n).cast("long").alias("limit"), F.col(f"over{i}").alias("docs_over"), F.col(f"cut{i}").alias("tokens_cut")) for i, n in enumerate(limits)))
+    """For each context limit: ``n_docs``, ``total_tokens``, ``docs_over``, ``tokens_cut``; any limit, whether a length or not.
+
+    Each is read off the suffix sums of the shortest length over the limit."""
+    sums = F.struct("docs_from", "tokens_from")
+    first = [F.min_by(sums, F.when(F.col("n_tokens") > n, F.col("n_tokens"))).alias(f"x{i}") for i, n in enumerate(limits)]
+    one = bars.agg(F.coalesce(F.max("docs_from"), F.lit(0)).alias("n_docs"), F.coalesce(F.max("tokens_from"), F.lit(0)).alias("total_tokens"), *first)
+    over = lambda i, c: F.coalesce(F.col(f"x{i}.{c}"), F.lit(0))
+    cut = lambda i, n: F.col("total_tokens") - over(i, "tokens_from") + F.lit(n).cast("long") * over(i, "docs_from")
+    each = F.array(*(F.struct(F.lit(n).cast("long").alias("limit"), over(i, "docs_from").alias("docs_over"), cut(i, n).alias("tokens_cut")) for i, n in enumerate(limits)))
     return one.select("n_docs", "total_tokens", F.explode(each).alias("x")).select("x.limit", "n_docs", "total_tokens", "x.docs_over", "x.tokens_cut")
 
 

@@ -384,6 +384,37 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in mixing.mix(docs).where("kept").collect()}
 
 
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    docs = common.table(spark, DIR, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    long = "the house by the river was old and the people who lived there liked to walk along it each day " * 3000
+    odd = [(None, None, None, None, None), (10**9, None, None, None, 0), (10**9 + 1, "", None, "s", 0), (10**9 + 2, " \n\t", "en", None, 3), (10**9 + 3, long, None, "s", len(long)), (10**9 + 4, "tie tie", "en", "s", 7), (10**9 + 4, "tie tie", "en", "s", 7)]
+    clash = ("score", "lang_pred", "margin", "topic", "tokens", "rate", "copies", "kept", "m_source", "component_id", "n", "c")
+    both = docs.unionByName(spark.createDataFrame(odd, kinds)).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in clash})
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.materialize(stage(spark, both, DIR), "odd-rows")
+        if name == "bpe round trip":
+            assert out.count() == docs.count() + len(odd)
+            continue
+        assert out.columns == both.columns
+        rows = out.collect()
+        assert rows and all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in rows for c in clash), name
+        if name == "language id":
+            assert all(r["lang"] is not None for r in rows) and not {10**9, 10**9 + 1, 10**9 + 2} & {r["doc_id"] for r in rows}
+            assert {r["lang"] for r in rows if r["doc_id"] == 10**9 + 3} == {"en"}
+
+
+def test_repeated_keys_do_not_grow_the_training_table(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"word {k} of many " * (k % 40)) for k in range(3000)] + [(2, "the same text")] * 2000, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    fit = gam.fit
+    monkeypatch.setattr(gam, "fit", lambda x, y: seen.append(len(y)) or fit(x, y))
+    model = gam.learn(docs, labels, most_rows=20)
+    assert seen[0] <= 60
+    assert gam.score(docs, model).count() == 5000
+
+
 def test_language_stage_rejects_what_is_in_no_learned_language(spark):
     rng = random.Random(1)
     letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
