@@ -7,6 +7,8 @@ would not. Band energy is a one-sided Hamming periodogram summed over the bins o
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -34,19 +36,35 @@ def butter_band(order: int, low: float, high: float, rate: float, stop: bool = F
     return rows
 
 
+BLOCK = 64
+
+
+def block_form(section: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """A section over ``n`` samples at once: output and next state as matrices of input and state."""
+    b0, b1, b2, a1, a2 = section
+    step, gain, out = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0]), np.array([1.0, 0.0])
+    powers = [np.eye(2)]
+    for _ in range(n):
+        powers.append(powers[-1] @ step)
+    response = np.array([b0, *(out @ p @ gain for p in powers[: n - 1])])
+    at = np.arange(n)[:, None] - np.arange(n)[None, :]
+    direct = np.where(at >= 0, response[np.maximum(at, 0)], 0.0)
+    from_state = np.array([out @ p for p in powers[:n]])
+    to_state = np.array([p @ gain for p in powers[:n]])[::-1].T
+    return direct, from_state, to_state, powers[n]
+
+
 def run_sections(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Causal filtering along the first axis from silence; columns are channels."""
+    """Causal filtering along the first axis from silence; columns are channels, all filtered at once, block by block."""
     y = np.array(x, dtype=np.float64)
-    for c in range(y.shape[1]):
-        column = y[:, c].tolist()  # plain numbers: a step is far cheaper than one on an array
-        for b0, b1, b2, a1, a2 in sections.tolist():
-            s1 = s2 = 0.0
-            for i, v in enumerate(column):
-                out = b0 * v + s1
-                s1 = b1 * v - a1 * out + s2
-                s2 = b2 * v - a2 * out
-                column[i] = out
-        y[:, c] = column
+    for section in sections:
+        state, forms = np.zeros((2, y.shape[1])), {}
+        for k in range(0, len(y), BLOCK):
+            part = y[k : k + BLOCK]
+            if len(part) not in forms:
+                forms[len(part)] = block_form(section, len(part))
+            direct, from_state, to_state, over = forms[len(part)]
+            y[k : k + BLOCK], state = direct @ part + from_state @ state, over @ state + to_state @ part
     return y
 
 
@@ -60,13 +78,18 @@ def band_energy(x: np.ndarray, rate: float, low: float, high: float) -> np.ndarr
     return density[(f >= low) & (f <= high)].sum(axis=0) * rate / n
 
 
+@lru_cache(maxsize=16)
+def leaky_form(n: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Leaky means of ``n`` samples: what each sample and the mean before them weigh in each."""
+    at = np.arange(n)[:, None] - np.arange(n)[None, :]
+    return np.where(at >= 0, (1 - alpha) * alpha ** np.maximum(at, 0), 0.0), alpha ** np.arange(1, n + 1)
+
+
 def leaky_highpass(x: np.ndarray, alpha: float, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Samples less a one-pole leaky mean that goes on from ``mean``; and the mean to go on from."""
-    out = np.empty_like(x)
-    for i, v in enumerate(x):
-        mean = alpha * mean + (1 - alpha) * v
-        out[i] = v - mean
-    return out, mean
+    inside, before = leaky_form(len(x), alpha)
+    means = inside @ x + before[:, None] * mean
+    return x - means, means[-1]
 
 
 def filled(x: np.ndarray) -> np.ndarray:

@@ -53,8 +53,8 @@ def contact(c: Column) -> Column:
 
 
 def pair_string(a: Column, b: Column) -> Column:
-    """Both labels in lexicographic order, joined by a hyphen."""
-    return F.array_join(F.array_sort(F.array(a, b)), "-")
+    """Both labels in lexicographic order, joined by a hyphen; a missing one is left out."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.concat(F.least(a, b), F.lit("-"), F.greatest(a, b))).otherwise(F.coalesce(a, b, F.lit("")))
 
 
 def group_id(c: Column, pattern: str) -> Column:

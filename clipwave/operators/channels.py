@@ -45,7 +45,9 @@ def eligible(contacts: DataFrame, stim: tuple[str, str], most: int | Column = 11
 
 
 def clip_channels(contacts: DataFrame, stim: tuple[str, str], mode: str = "electrode") -> DataFrame:
-    """Contacts that a clip holds: the whole electrode in order, or the pair and its neighbours."""
+    """Contacts that a clip holds: the whole electrode in order, or the pair and its neighbours. The pair must be on one electrode."""
+    if "".join(filter(str.isalpha, stim[0])) != "".join(filter(str.isalpha, stim[1])):
+        raise ValueError(f"{stim[0]} and {stim[1]} aren't on one electrode")
     p = parsed(contacts).where(F.col("label").rlike("^[A-Za-z]+[0-9]+$"))
     same = p.where(F.col("electrode") == electrode(F.lit(stim[0])))
     if mode == "electrode":
@@ -55,9 +57,9 @@ def clip_channels(contacts: DataFrame, stim: tuple[str, str], mode: str = "elect
     return same.where((F.col("number") >= 1) & F.col("number").isin(low - 1, low, high, high + 1)).select("label", "number").distinct()
 
 
-def candidates(pairs_: DataFrame, stims: DataFrame, k: int = 2) -> DataFrame:
-    """For each stimulation (``stim_id``, ``electrode``, ``a``, ``b``: contact numbers) the k nearest pairs of its electrode that share no contact with it."""
-    j = pairs_.join(stims, "electrode")
+def candidates(pairs_: DataFrame, stims: DataFrame, k: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """For each stimulation (``stim_id``, ``electrode``, ``a``, ``b``: contact numbers) the k nearest pairs of its electrode that share no contact with it. ``keys`` name the recording."""
+    j = pairs_.join(stims, [*keys, "electrode"])
     low, high = F.col("number"), F.col("number") + 1
     free = j.where(~low.isin(F.col("a"), F.col("b")) & ~high.isin(F.col("a"), F.col("b")))
     away = F.abs((low + high) / 2 - (F.col("a") + F.col("b")) / 2)
@@ -73,6 +75,14 @@ def montage(samples: DataFrame, alt: DataFrame, keys: tuple[str, ...], channel:
     return diff.select(*keys, channel, (F.col("d") - mean).alias("bipolar"))
 
 
+def clicked_channels(clicks: DataFrame, baselines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``channels``: those that clicks (``keys``, ``click_id``, ``y``) fall on, each once, in order of the clicks, joined by a semicolon."""
+    named = nearest_channels(clicks, baselines).join(clicks.select("click_id", *keys), "click_id")
+    first = named.groupBy(*keys, "chan").agg(F.min("click_id").alias("at"))
+    listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "chan"))).alias("c"))  # at most the channels of a display
+    return listed.select(*keys, F.array_join(F.transform("c", lambda x: x["chan"]), ";").alias("channels"))
+
+
 def nearest_channels(clicks: DataFrame, baselines: DataFrame, most: int = 4096) -> DataFrame:
     """Each click (``click_id``, ``y``) to the channel whose baseline is nearest.
 

@@ -7,6 +7,8 @@ single task orders all clips.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +16,8 @@ from pyspark.sql.window import Window
 from ..functions.scalars import true_if
 
 RANGES = 64
+#: Scores that are looked at together in one range: rows of counts for all groups.
+CHUNK = 256
 
 
 def confusion(rows: DataFrame, truth: Column, predicted: Column, by: tuple[str, ...] = (), empty: str = "null") -> DataFrame:
@@ -32,11 +36,15 @@ def histogram(rows: DataFrame, label: Column, score: Column, by: tuple[str, ...]
     return rows.groupBy(*by, held.alias("score")).agg(F.sum(label.cast("long")).alias("pos"), F.sum((~label).cast("long")).alias("neg"))
 
 
+def range_of(hist: DataFrame) -> Column:
+    """The range that a score falls into: at most RANGES of about equal numbers of rows."""
+    cuts = sorted(set(hist.approxQuantile("score", [i / RANGES for i in range(1, RANGES)], 0.005)))
+    return F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c <= F.col("score"))) if cuts else F.lit(0)
+
+
 def totals_above(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``pos_above`` and ``neg_above``: clips with a higher score; ``pos_all`` and ``neg_all``."""
-    cuts = sorted(set(hist.approxQuantile("score", [i / RANGES for i in range(1, RANGES)], 0.005)))
-    bucket = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c <= F.col("score"))) if cuts else F.lit(0)
-    h = hist.withColumn("bucket_", bucket)
+    h = hist.withColumn("bucket_", range_of(hist))
     before = Window.partitionBy(*by).orderBy(F.desc("bucket_")).rowsBetween(Window.unboundedPreceding, -1)
     sums = h.groupBy(*by, "bucket_").agg(F.sum("pos").alias("p_"), F.sum("neg").alias("n_"))
     whole = Window.partitionBy(*by)
@@ -82,15 +90,58 @@ def roc_auc(hist: DataFrame) -> DataFrame:
 def leave_one_out(rows: DataFrame, label: Column, score: Column, group: str, default: float) -> DataFrame:
     """For each group the threshold that the other groups choose; ``default`` where they lack a class.
 
-    Each value of a score counts in the folds of all other groups; groups are patients, a bounded number."""
-    hist = histogram(rows, label, score, (group,))
-    groups = [r[0] for r in hist.select(group).distinct().orderBy(group).limit(10_001).collect()]
-    if len(groups) > 10_000:
-        raise ValueError("too many groups for folds")
-    others = F.filter(F.array(*(F.lit(g) for g in groups)), lambda g: g != F.col(group))
-    train = hist.withColumn("fold", F.explode(others)).groupBy("fold", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = best_threshold(train, ("fold",)).select(F.col("fold").alias(group), "threshold")
-    return hist.select(group).distinct().join(found, group, "left").select(group, F.coalesce("threshold", F.lit(default)).alias("threshold"))
+    No fold is copied out: in each range of scores running counts of all groups are kept at
+    once, and a fold's counts are the sums over all groups less its own. Groups are patients,
+    so a row of counts for all of them is small."""
+    hist = histogram(rows, label, score, (group,)).withColumnRenamed(group, "group_")
+    ranged = hist.withColumn("range_", range_of(hist))
+    part = ranged.groupBy("group_", "range_").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    whole = part.groupBy("group_").agg(F.collect_list(F.struct("range_", "p", "n")).alias("x"))  # at most RANGES for each group
+    above = lambda c: F.aggregate(F.filter("x", lambda y: y["range_"] > F.col("range_")), F.lit(0).cast("long"), lambda a, y: a + y[c])
+    all_of = lambda c: F.aggregate("x", F.lit(0).cast("long"), lambda a, y: a + y[c])
+    base = whole.withColumn("range_", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1)))).select(F.col("group_").alias("fold_"), F.col("range_").alias("at_"), above("p").alias("p0"), above("n").alias("n0"), all_of("p").alias("p_all"), all_of("n").alias("n_all"))
+    kind = hist.schema["group_"].dataType.simpleString()
+
+    def choose(table: pa.Table, before: pa.Table) -> pa.Table:
+        """Each fold's best threshold among the scores of one range that other groups have."""
+        names = before.column("fold_").to_pylist()
+        place = {g: i for i, g in enumerate(names)}
+        p0, n0, p_all, n_all = (before.column(c).to_numpy().astype(np.float64) for c in ("p0", "n0", "p_all", "n_all"))
+        a, b = p_all.sum() - p_all, n_all.sum() - n_all
+        score, owner = table.column("score").to_numpy(), np.array([place[g] for g in table.column("group_").to_pylist()], dtype=np.int64)
+        counts = [table.column(c).to_numpy() for c in ("pos", "neg")]
+        best, at = np.full(len(names), -np.inf), np.full(len(names), np.nan)
+        values = np.unique(score)[::-1]
+        for k in range(0, len(values), CHUNK):
+            some = values[k : k + CHUNK]
+            rows_ = np.flatnonzero((score <= some[0]) & (score >= some[-1]))
+            line = np.searchsorted(-some, -score[rows_])
+            own = np.zeros((2, len(some), len(names)))
+            for c in (0, 1):
+                np.add.at(own[c], (line, owner[rows_]), counts[c][rows_])
+            mine = own.cumsum(axis=1) - own + np.stack([p0, n0])[:, None, :]  # with a higher score
+            others = mine.sum(axis=2, keepdims=True) - mine
+            has = (own.sum(axis=2, keepdims=True) - own).sum(axis=0) > 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                j = np.where(has & (a > 0) & (b > 0), np.round(others[0] / a + (b - others[1]) / b - 1, 12), -np.inf)
+            top = len(some) - 1 - j[::-1].argmax(axis=0)  # the lowest threshold of the best
+            found = j[top, np.arange(len(names))]
+            won = (found >= best) & (found > -np.inf)
+            best, at = np.where(won, found, best), np.where(won, some[top], at)
+            p0, n0 = p0 + own[0].sum(axis=0), n0 + own[1].sum(axis=0)
+        keep = np.flatnonzero(best > -np.inf)
+        return pa.table({"group_": before.column("fold_").take(pa.array(keep)), "j": pa.array(best[keep]), "threshold": pa.array(at[keep])})
+
+    best = ranged.groupBy("range_").cogroup(base.groupBy("at_")).applyInArrow(choose, f"group_ {kind}, j double, threshold double")
+    lowest = hist.groupBy("group_").agg(F.min("score").alias("m")).orderBy("m").limit(2).collect()
+    if len(lowest) > 1:
+        other = F.when(F.col("group_").eqNullSafe(F.lit(lowest[0]["group_"])), F.lit(lowest[1]["m"])).otherwise(F.lit(lowest[0]["m"]))
+        classes = hist.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+        both = whole.where((all_of("p") < classes["p"]) & (all_of("n") < classes["n"]))
+        best = best.union(both.select("group_", F.lit(0.0), other - 1))
+    found = best.groupBy("group_").agg(F.max_by("threshold", F.struct("j", -F.col("threshold"))).alias("threshold"))
+    none = whole.select("group_", F.lit(None).cast("double").alias("threshold"))
+    return found.union(none).groupBy(F.col("group_").alias(group)).agg(F.coalesce(F.max("threshold"), F.lit(default)).alias("threshold"))
 
 
 def evaluable(truth: Column, onset: Column, offset: Column, stim_on: Column, ongoing: Column, least: float = 3.0) -> Column:

@@ -82,9 +82,10 @@ def baseline_ratio(rows: DataFrame, power: str, keys: tuple[str, ...], order: st
 
 
 def first_per(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("r_", F.row_number().over(w)).where("r_ = 1").drop("r_")
+    """The first row of each key; ties by the other columns. Aggregated, so a hot key sends one row for each task."""
+    others = [c for c in rows.columns if c not in keys and c not in order]
+    first = F.min(F.struct(*order, *others)).alias("x")
+    return rows.groupBy(*keys).agg(first).select(*(F.col(c if c in keys else f"x.{c}") for c in rows.columns))
 
 
 def schmitt(rows: DataFrame, power: str, on: float, off: float, keys: tuple[str, ...], order: str) -> DataFrame:

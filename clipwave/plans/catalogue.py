@@ -19,6 +19,7 @@ from ..operators import evaluation as V
 from ..operators import patterns as P
 from ..operators import signal as G
 from ..sources import tables as T
+from . import clips as clips_of
 from . import studies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,22 +273,12 @@ def decay_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.decaying_energy(w, ("chan",), "win", "s").select("chan", "win", F.round(F.sqrt("energy"), 6).alias("amplitude"))
 
 
-@query(
-    """select vec_id, k::integer as k, round(embedding[k]::double - list_sum(list_transform(range(1, k + 1), lambda j: 0.01 * pow(0.99, k - j) * embedding[j]::double)), 9) as high
-from (select vec_id, embedding, unnest([1, 2, 32, 64]) as k from embeddings)"""
-)
-def leaky_highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select("vec_id", G.leaky_highpass(F.col("embedding")).alias("h"))
-    ks = F.array(*(F.lit(k) for k in (1, 2, 32, 64)))
-    return e.select("vec_id", "h", F.explode(ks).alias("k")).select("vec_id", "k", F.round(F.element_at("h", F.col("k")), 9).alias("high"))
-
-
 @query(
     """select vec_id, k::integer as k, round(embedding[k]::double - list_sum(list_transform(range(1, k + 1), lambda j: 0.01 * pow(0.99, k - j) * embedding[j]::double)), 9) as high
 from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as k from embeddings)"""
 )
-def leaky_highpass_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All samples of every window; ``leaky_highpass`` has four of them, as its SQL does."""
+def leaky_highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples of every window."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(G.leaky_highpass(F.col("embedding"))).alias("k", "high"))
     return e.select("vec_id", (F.col("k") + 1).alias("k"), F.round("high", 9).alias("high"))
 
@@ -342,6 +333,59 @@ def clip_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.detect(P.run_score(z_rows(spark, sf_dir), 3), 1.0).withColumn("score", F.round("score", 6))
 
 
+STUDY = WIN + """, l as (
+  select chan % 10 as clip, chan, win, sum(step) as ll, max(x) * max(x) as hf, sum(x * x) as inband, sum(case when event_type = 'error' then x * x else 0 end) as line
+  from (select *, coalesce(abs(x - lag(x) over (partition by chan, win order by i)), 0) as step from w) group by 1, 2, 3),
+b as (select *, row_number() over (partition by chan order by ll) as r, count(*) over (partition by chan) as n from l where win < 6 and clip <> 7),
+m1 as (select chan, median(ll) as med from b where r <= greatest(1, floor(n * 0.8 + 1e-9)) group by 1),
+m2 as (select b.chan, median(abs(ll - med)) as mad from b join m1 using (chan) where r <= greatest(1, floor(n * 0.8 + 1e-9)) group by 1),
+h1 as (select chan, median(hf) as hmed from b group by 1), h2 as (select chan, median(abs(hf - hmed)) as hmad from b join h1 using (chan) group by 1),
+c as (select clip, chan, sum(line) as line, sum(inband) as whole from l group by 1, 2),
+e as (select c.*, coalesce(med, 0) as med, coalesce(mad, 0) as mad, coalesce(hmed, 0) as hmed, coalesce(hmad, 0) as hmad, hmed is not null as based from c left join m1 using (chan) left join m2 using (chan) left join h1 using (chan) left join h2 using (chan)),
+g as (select clip, median(med) as gmed from e group by 1),
+z as (select l.clip, l.chan, l.win - 6 as win, (l.ll - med) / (greatest(1.4826 * mad, 0.25 * gmed) + {eps}) as z,
+  l.hf / (l.inband + {eps}) >= 0.3 and ((based and (l.hf - hmed) / (1.4826 * hmad + {eps}) >= 3) or l.hf / (l.inband + {eps}) > 0.8) as hf_bad,
+  e.line / (e.whole + {eps}) > 0.4 as line_bad, l.clip % 3 = 0 and l.win - 6 >= 8 + l.clip - 0.5 as cap_bad
+  from l join e using (clip, chan) join g on g.clip = l.clip where l.win >= 6 and l.clip <> 8)""".replace("{eps}", str(S.EPS))
+STUDIED = clips_of.ClipParams(n=2, hf_spare=0.3, hf_z=3.0, hf_ratio=0.8, line_ratio=0.4, threshold=1.0)
+
+
+def studied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as features of 12 clips: the first six windows of a channel come before the
+    stimulation. Clip 7 has none before it, clip 8 none after it, clips 10 and 11 no channel."""
+    w = windowed(spark, sf_dir)
+    each = G.line_length(w).join(w.groupBy("chan", "win").agg(F.max("x").alias("hf"), F.sum(F.col("x") * F.col("x")).alias("inband"), F.sum(F.when(F.col("event_type") == "error", F.col("x") * F.col("x")).otherwise(0.0)).alias("line")), ["chan", "win"])
+    each = each.withColumns({"clip": (F.col("chan") % 10).cast("string"), "hf": F.col("hf") * F.col("hf"), "k": (F.col("win") - 6).cast("int")})
+    before = F.when((F.col("k") < 0) & (F.col("clip") != "7"), F.struct("ll", "hf"))
+    after = F.when((F.col("k") >= 0) & (F.col("clip") != "8"), F.struct(F.col("k").alias("win"), F.col("k").cast("double").alias("t"), "ll", "hf", "inband"))
+    found = each.groupBy("clip", F.col("chan").cast("int").alias("chan")).agg(F.collect_list(before).alias("base"), F.collect_list(after).alias("post"), F.sum("line").alias("line"), F.sum("inband").alias("whole"))
+    id_ = F.col("id")
+    listed = spark.range(12).select(id_.cast("string").alias("clip"), F.lit(0.0).alias("stim_off"), F.when((id_ < 10) & (id_ % 3 == 0), 8.0 + id_).alias("next_stim_on"), F.array().cast("array<string>").alias("candidates"))
+    return found, listed
+
+
+@query(f"with {STUDY} select clip, chan::integer as chan, win::integer as win, case when abs(z) < 1e9 then round(z, 6) end as z, hf_bad, line_bad, cap_bad, not (hf_bad or line_bad or cap_bad) as valid from z")
+def clip_study_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything of the clip detector behind its filters: baselines, scores of windows, vetoes."""
+    w = clips_of.windows(*studied(spark, sf_dir), STUDIED)
+    return w.select(F.col("clip").cast("long").alias("clip"), "chan", "win", F.when(F.abs("z") < 1e9, F.round("z", 6)).alias("z"), "hf_bad", "line_bad", "cap_bad", "valid")
+
+
+@query(
+    f"""with {STUDY}, v as (select *, not (hf_bad or line_bad or cap_bad) as valid from z),
+r as (select clip, chan, win, case when n = 2 then low else -'inf'::double end as run_min from (
+  select clip, chan, win, min(case when valid then z else -'inf'::double end) over f as low, count(*) over f as n from v window f as (partition by clip, chan order by win rows between current row and 1 following))),
+s as (select clip, run_min as score, win from (select *, row_number() over (partition by clip order by run_min desc, chan, win) as o from r) where o = 1)
+select k as clip, case when score > 1e9 then null when score is null then -'inf'::double else round(score, 6) end as score, coalesce(score > 1.0, false) as detected, case when score > -'inf'::double then win::double end as onset
+from range(12) as u(k) left join s on s.clip = k"""
+)
+def clip_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all clips, those without any window too."""
+    found, listed = studied(spark, sf_dir)
+    s = clips_of.scores(clips_of.windows(found, listed, STUDIED), listed, STUDIED)
+    return s.select(F.col("clip").cast("long").alias("clip"), F.when(F.col("score") <= 1e9, F.round("score", 6)).alias("score"), "detected", "onset")
+
+
 ABOVE = ZED + """, a as (select clip, chan, win, win - row_number() over (partition by clip, chan order by win) as island from z where valid and z > 0.8),
 u as (select clip, chan, min(win) as start, max(win) as stop, count(*) as length from a group by clip, chan, island)"""
 
@@ -599,27 +643,31 @@ def classify_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips(spark, sf_dir).select("doc_id", P.classify(F.col("truth"), F.col("score") > 1500, ok).alias("cls"))
 
 
-@query(f"with {CLIPS} select b::bigint as block_ms, count(*) filter (where truth and score > b * 4) as hits, count(*) filter (where not truth and score > b * 4) as false_hits, max(score % b) as max_rest, median(score / b) as median_factor from c, unnest([100, 250, 500, 1000]) as u(b) group by b")
+@query(
+    f"""with {STIM}, s as (select chan, event, case when event % 3 = 0 then 'u' when event % 3 = 1 then 'y' else 'n' end as ad, on_, on_ + 3600 as off_ from q where kind = 'error'),
+a as (select chan, t from ev where x > 45),
+d as (select b, s.*, (select min(t) from a where a.chan = s.chan and a.t >= on_ and a.t <= off_ + 86400) as det from s, unnest([100, 250, 500, 1000]) as u(b)),
+n as (select b, count(*) filter (where ad = 'y' and det is not null) as tp, count(*) filter (where ad = 'y' and det is null) as fn, count(*) filter (where ad = 'n' and det is not null) as fp, count(*) filter (where ad = 'n' and det is null) as tn,
+  sum((off_ + 86400 - on_) / 60) as minutes, median(det - (on_ + 60)) filter (where ad = 'y') as onset_median from d group by b)
+select b::integer as block_ms, tp, fn, fp, tn, round(tp / nullif(tp + fn, 0), 9) as sens, round(tn / nullif(tn + fp, 0), 9) as spec, round(tp / nullif(tp + fp, 0), 9) as ppv, round(fp / nullif(fp + tn, 0), 9) as fpr,
+  round((tp + tn) / nullif(tp + fn + fp + tn, 0), 9) as acc, round(onset_median, 4) as onset_median, round(fp / minutes, 9) as fp_per_min from n"""
+)
 def block_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass for all block sizes: each clip once for each of the four."""
-    sizes = F.array(*(F.lit(b).cast("long") for b in (100, 250, 500, 1000)))
-    c = clips(spark, sf_dir).withColumn("block_ms", F.explode(sizes))
-    count = lambda t: F.sum((t & (F.col("score") > F.col("block_ms") * 4)).cast("long"))
-    return c.groupBy("block_ms").agg(count(F.col("truth")).alias("hits"), count(~F.col("truth")).alias("false_hits"), F.max(F.col("score") % F.col("block_ms")).alias("max_rest"), F.median(F.col("score") / F.col("block_ms")).alias("median_factor"))
+    """Evaluation of event logs of four block sizes: one row of metrics for each. Loud events are the log, and the same for all sizes, as a detector's is (``replay_sweep`` replays one)."""
+    s = stims(spark, sf_dir).where("kind = 'error'").select("chan", F.col("event").alias("clip"), "on", (F.col("on") + 3600).alias("off"))
+    told = F.when(F.col("clip") % 3 == 0, "u").when(F.col("clip") % 3 == 1, "y").otherwise("n")
+    marks = s.select("clip", told.alias("AD"), (F.col("on") + 60).alias("AD_onset"), F.col("on").alias("stimOn"), F.col("off").alias("stimOff"))
+    loud = samples(spark, sf_dir).where("x > 45").select("chan", "t")
+    near = P.within(loud, s.select("chan", "clip", "on", (F.col("off") + 86400).alias("until")), ("chan",), "t", "on", "until", 86400.0).select("clip", "t")
+    log = near.union(s.select("clip", F.lit(None).cast("double")))  # clips without an event were replayed too
+    sized = log.withColumn("block_ms", F.explode(F.array(*(F.lit(b) for b in (100, 250, 500, 1000)))))
+    m = studies.evaluate(sized, marks, ("block_ms",), post=86400.0)[1]
+    return rounded(m).select("block_ms", "tp", "fn", "fp", "tn", "sens", "spec", "ppv", "fpr", "acc", F.round("onset_median", 4).alias("onset_median"), F.round("fp_per_min", 9).alias("fp_per_min"))
 
 
 # Sources and sinks
 
 
-@query(
-    """with o as (select o_orderkey, 1 + o_custkey % 130 as n_ch, o_totalprice / 1000 as t0, o_totalprice / 1000 + 600 as t1 from orders where o_orderkey % 10 = 0),
-p as (select o_orderkey, cast(round(t0 * 500) as bigint) as s0, cast(round(t1 * 500) as bigint) as s1, greatest(500, cast(floor(0.8 * 1.3e8 / n_ch) as bigint)) // 20 as step from o)
-select o_orderkey, k as first_sample, least(k + step, s1) - 1 as last_sample from (select *, unnest(range(s0, s1, step)) as k from p)"""
-)
-def chunk_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans(read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))
-
-
 def plans(orders: DataFrame) -> DataFrame:
     r = orders.select("o_orderkey", (1 + F.col("o_custkey") % 130).alias("channels"), (F.col("o_totalprice") / 1000).alias("start"), (F.col("o_totalprice") / 1000 + 600).alias("end"))
     return T.plan_chunks(r, rate=500, key="o_orderkey", share=20).select("o_orderkey", "first_sample", "last_sample")
@@ -630,8 +678,8 @@ def plans(orders: DataFrame) -> DataFrame:
 p as (select o_orderkey, cast(round(t0 * 500) as bigint) as s0, cast(round(t1 * 500) as bigint) as s1, greatest(500, cast(floor(0.8 * 1.3e8 / n_ch) as bigint)) // 20 as step from o)
 select o_orderkey, k as first_sample, least(k + step, s1) - 1 as last_sample from (select *, unnest(range(s0, s1, step)) as k from p)"""
 )
-def chunk_planner_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans for every recording; ``chunk_planner`` has a tenth of them, as its SQL does."""
+def chunk_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans for every recording."""
     return plans(read(spark, sf_dir, "orders"))
 
 
@@ -759,3 +807,44 @@ def channel_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remote_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, folder = studies.split_remote(F.col("url"))
     return read(spark, sf_dir, "pages").select("page_id", host.alias("host"), folder.alias("folder"))
+
+
+@query("select c_custkey, c_name || '_' || c_nationkey as tag from customer")
+def session_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", S.session_tag(F.col("c_name"), F.col("c_nationkey")).alias("tag"))
+
+
+@query(
+    """with d as (select o_orderkey, case when o_orderstatus = 'F' then 'y' when o_orderstatus = 'O' then 'n' end as "AD", case when o_orderkey % 5 = 0 then 1.0::double else 0.0::double end as stim_problem, case when o_orderkey % 7 = 0 then 'seen' end as notes from orders)
+select * from d where "AD" in ('y', 'n', 'u') or stim_problem <> 0 or coalesce(notes, '') <> ''"""
+)
+def decided_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions worth keeping of an annotation log."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    d = read(spark, sf_dir, "orders").select("o_orderkey", F.when(status == "F", "y").when(status == "O", "n").alias("AD"), F.when(k % 5 == 0, 1.0).otherwise(0.0).alias("stim_problem"), F.when(k % 7 == 0, "seen").alias("notes"))
+    return T.decided(d)
+
+
+@query(
+    """with b as (select distinct s_nationkey * 10.0 as base, 'N' || s_nationkey as chan from supplier),
+n as (select c_nationkey, c_custkey, chan from (select c_nationkey, c_custkey, chan, row_number() over (partition by c_custkey order by abs(c_acctbal / 30.0 - base), chan) as r from customer, b) where r = 1),
+f as (select c_nationkey, chan, min(c_custkey) as click from n group by 1, 2)
+select c_nationkey, string_agg(chan, ';' order by click, chan) as channels from f group by 1"""
+)
+def clicked_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels that several clicks name, each once, in the order of the clicks."""
+    base = read(spark, sf_dir, "supplier").select((F.col("s_nationkey") * 10.0).alias("base"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("chan")).distinct()
+    return C.clicked_channels(read(spark, sf_dir, "customer").select("c_nationkey", F.col("c_custkey").alias("click_id"), (F.col("c_acctbal") / 30.0).alias("y")), base, ("c_nationkey",))
+
+
+@query(
+    """with m as (select vec_id, floor(list_min(embedding)::double * 8) as lo, ceil(list_max(embedding)::double * 8) as hi, embedding from embeddings),
+p as (select vec_id, lo, case when hi <= lo then lo + 1 else hi end as hi, embedding from m)
+select vec_id, list_sum(list_transform(embedding, lambda x: greatest(-32768, least(32767, round((x::double * 8 - lo) / (hi - lo) * 65535 - 32768)))))::bigint as total from p"""
+)
+def edf_digital(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples as the whole numbers of a file; their sum stands for them."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 8).alias("samples"))
+    lo, hi = T.physical_range(F.col("samples"))
+    d = T.digital(F.col("samples"), lo, hi)
+    return e.select("vec_id", F.aggregate(d, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("total"))

@@ -35,14 +35,43 @@ def cut_clips(segments: DataFrame, index: DataFrame, bucket: float = 60.0) -> Da
 
 
 def export_clips(segments: DataFrame, done: DataFrame | None = None, pre: float = 10.0, post: float = 10.0, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """From recordings to clips: find stimulations, index them, leave out clips that are written already, cut the rest. Returns index and samples."""
+    """From recordings to clips: find stimulations, index them, leave out clips that are written already, cut the contacts of the stimulated electrode. Returns index and samples."""
     stims = jobs.session_stimulations(segments).select(F.col("clip").alias("session"), "pair", "on", "off")
     index = clip_index(stims, pre=pre, post=post)
     if done is not None:
         index = T.not_yet_written(index, done, "clip")
     if most is not None:
         index = index.orderBy("session", "event").limit(most)
-    return index, cut_clips(segments.withColumnRenamed("clip", "session"), index)
+    cut = cut_clips(segments.withColumnRenamed("clip", "session"), index)
+    of_clip = index.select("clip", S.electrode(F.substring_index("pair", "-", 1)).alias("electrode"))
+    return index, cut.join(of_clip, "clip").where(S.electrode(F.col("label")) == F.col("electrode")).drop("electrode")
+
+
+def write_clips(index: DataFrame, cut: DataFrame, path: str) -> None:
+    """Append clips to the folder ``path``: samples by session, one row for each contact, with the clip's metadata; and the index, whose rows a later run leaves out (``export_clips(done=...)``)."""
+    named = index.select("clip", "session", F.col("pair").alias("stim_pair"), "event", "on", "off", "clip_start", "clip_end", "next_stim_on")
+    cut.join(named, "clip").write.mode("append").partitionBy("session").parquet(f"{path}/clips")
+    named.write.mode("append").parquet(f"{path}/index")
+
+
+def evaluate(detections: DataFrame, annotations: DataFrame, by: tuple[str, ...] = (), post: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """Detected discharges against annotations: one row for each replayed clip, and one of metrics for each of ``by``.
+
+    ``detections``: ``by``, ``clip``, ``t``; a clip that was replayed without a detection has
+    a row with null ``t``, one that wasn't replayed has none and is left out. ``annotations``: ``clip``,
+    ``AD`` (y, n or other: not scored, but its time counts), ``AD_onset``, ``stimOn``, ``stimOff``.
+    A detection counts from the stimulation to ``post`` seconds after its end."""
+    inside = (F.col("t") >= F.col("stimOn")) & (F.col("t") <= F.col("stimOff") + post)
+    near = detections.groupBy(*by, "clip", "t").agg(F.lit(1).alias("x_")).join(annotations, "clip")
+    each = near.groupBy(*by, "clip").agg(F.first("AD").alias("AD"), F.first("AD_onset").alias("gt_onset"), F.min(F.when(inside, F.col("t"))).alias("det_onset"), F.first((F.col("stimOff") + post - F.col("stimOn")) / 60).alias("minutes"))
+    each = each.withColumn("detected", F.col("det_onset").isNotNull())
+    scored = each.where("AD in ('y', 'n')")
+    counts = V.confusion(scored, F.col("AD") == "y", F.col("detected"), by)
+    minutes = each.groupBy(*by).agg(F.sum("minutes").alias("minutes"))
+    wrong = F.when((F.col("AD") == "y") & F.col("detected"), F.col("det_onset") - F.col("gt_onset"))
+    errors = scored.groupBy(*by).agg(F.median(wrong).alias("onset_median"))
+    joined = counts.join(minutes, list(by)).join(errors, list(by)) if by else counts.withColumn("o_", F.lit(1)).join(minutes.withColumn("o_", F.lit(1)), "o_").join(errors.withColumn("o_", F.lit(1)), "o_").drop("o_")
+    return each, joined.withColumn("fp_per_min", F.col("fp") / F.greatest(F.col("minutes"), F.lit(S.EPS)))
 
 
 def compare_with_relays(stims: DataFrame, relays: DataFrame, keys: tuple[str, ...], low: float = -10.0, high: float = 3.0) -> DataFrame:

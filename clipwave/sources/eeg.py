@@ -77,11 +77,31 @@ def read_eeg(spark: SparkSession, **options) -> DataFrame:  # noqa: ANN003
 
 
 def blocks(segments: DataFrame, samples: int) -> DataFrame:
-    """Segments of single channels as blocks of all channels: ``clip``, ``labels``, ``rate``, ``seq`` and ``block`` (samples x channels)."""
-    s = segments.select("clip", "chan", "label", "rate", "first_sample", F.posexplode("samples").alias("k", "x")).withColumn("at", F.col("first_sample") + F.col("k"))
-    rows = s.groupBy("clip", "rate", "at").agg(F.array_sort(F.collect_list(F.struct("chan", "x", "label"))).alias("r"))
-    rows = rows.select("clip", "rate", F.floor(F.col("at") / samples).alias("seq"), "at", F.col("r.x").alias("row"), F.col("r.label").alias("labels"))
-    return rows.groupBy("clip", "rate", "seq").agg(F.first("labels").alias("labels"), F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda v: v["row"]).alias("block"))
+    """Segments of single channels as blocks of all channels: ``clip``, ``labels``, ``rate``, ``seq`` and ``block`` (for each channel its samples).
+
+    Arrays are cut, never exploded into samples, and dealt once by clip and block."""
+    last = F.col("first_sample") + F.size("samples") - 1
+    s = segments.where(F.size("samples") > 0).withColumn("seq", F.explode(F.sequence(F.floor(F.col("first_sample") / samples), F.floor(last / samples))))
+    start = F.greatest(F.col("seq") * samples, F.col("first_sample"))
+    stop = F.least((F.col("seq") + 1) * samples, last + 1)
+    part = s.select("clip", "rate", "seq", "chan", "label", start.alias("start"), F.slice("samples", (start - F.col("first_sample") + 1).cast("int"), (stop - start).cast("int")).alias("x")).repartition("clip", "rate", "seq")
+    one = part.groupBy("clip", "rate", "seq", "chan").agg(F.min("label").alias("label"), F.array_sort(F.collect_list(F.struct("start", "x"))).alias("p"))
+    joined = one.select("clip", "rate", "seq", F.struct("chan", "label", F.flatten(F.transform("p", lambda v: v["x"])).alias("x")).alias("c"))
+    every = joined.groupBy("clip", "rate", "seq").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return every.select("clip", "rate", "seq", F.col("c.label").alias("labels"), F.col("c.x").alias("block"))
+
+
+def edf_labels(labels: list[str]) -> list[str]:
+    """Labels of at most 16 printable ASCII characters, each once: another of the same gets a number."""
+    out: list[str] = []
+    for name in labels:
+        plain = "".join(c if 32 <= ord(c) < 127 else "_" for c in name).strip()[:16] or "chan"
+        unique, k = plain, 2
+        while unique in out:
+            tail = f"_{k}"
+            unique, k = plain[: 16 - len(tail)] + tail, k + 1
+        out.append(unique)
+    return out
 
 
 def edf_bytes(labels: list[str], rate: float, x: np.ndarray) -> bytes:
@@ -93,7 +113,7 @@ def edf_bytes(labels: list[str], rate: float, x: np.ndarray) -> bytes:
     low, high = np.clip(low, -9999999, 9999999), np.clip(high, -9999999, 9999999)
     text = lambda v, width: str(v)[:width].ljust(width)
     head = text(0, 8) + text("X X X X", 80) + text("Startdate X X X X", 80) + "01.01.85" + "00.00.00" + text(256 * (m + 1), 8) + text("", 44) + text(1, 8) + text(f"{n / rate:.8g}", 8) + text(m, 4)
-    for values, width in ((labels, 16), ([""] * m, 80), (["uV"] * m, 8), ([f"{v:.0f}" for v in low], 8), ([f"{v:.0f}" for v in high], 8), ([-32768] * m, 8), ([32767] * m, 8), ([""] * m, 80), ([n] * m, 8), ([""] * m, 32)):
+    for values, width in ((edf_labels(labels), 16), ([""] * m, 80), (["uV"] * m, 8), ([f"{v:.0f}" for v in low], 8), ([f"{v:.0f}" for v in high], 8), ([-32768] * m, 8), ([32767] * m, 8), ([""] * m, 80), ([n] * m, 8), ([""] * m, 32)):
         head += "".join(text(v, width) for v in values)
     body = np.clip(np.floor((x - low) / (high - low) * 65535 - 32768 + 0.5), -32768, 32767).astype("<i2")
     return head.encode("ascii", "replace") + body.T.tobytes()
@@ -105,8 +125,9 @@ def to_edf(clips: DataFrame) -> DataFrame:
     def work(table):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        rows = sorted(table.to_pylist(), key=lambda r: r["chan"])
-        x = np.array([[np.nan if v is None else v for v in r["samples"]] for r in rows], dtype=np.float64).T
-        return pa.table({"clip": [rows[0]["clip"]], "edf": pa.array([edf_bytes([r["label"] for r in rows], rows[0]["rate"], x)], pa.binary())})
+        from ..streaming.jobs import first_of, matrix
+
+        labels, x = matrix(table)
+        return pa.table({"clip": [first_of(table, "clip")], "edf": pa.array([edf_bytes(labels, first_of(table, "rate"), x)], pa.binary())})
 
     return clips.select("clip", "chan", "label", "rate", "samples").groupBy("clip").applyInArrow(work, "clip string, edf binary")

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; only where that is unset (one machine), in a temporary folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    """A new path in spark.checkpoint.dir; where that is unset, in a temporary folder on one machine, an error on a cluster."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

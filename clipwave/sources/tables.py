@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from ..operators.patterns import first_per
 
 #: The columns of the session list and of the annotation table.
 SESSIONS = T.StructType([T.StructField(n, k) for n, k in (("ieeg_name", T.StringType()), ("Modifier", T.IntegerType()), ("start", T.DoubleType()), ("end", T.DoubleType()), ("obv_sz", T.StringType()), ("obv_ad", T.StringType()), ("notes", T.StringType()))])
@@ -86,15 +87,8 @@ def decided(decisions: DataFrame) -> DataFrame:
 
 def stable_unique(rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
     """The first row of each key, by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("r_", F.row_number().over(w)).where("r_ = 1").drop("r_")
+    return first_per(rows, keys, (order,))
 
 
 def not_yet_written(rows: DataFrame, written: DataFrame, key: str) -> DataFrame:
     return rows.join(written.select(key).distinct(), key, "left_anti")
-
-
-def next_onsets_of_index(index: DataFrame) -> DataFrame:
-    """``next_stim_on`` of a clip: the onset of its session's next row, else infinite."""
-    w = Window.partitionBy("session").orderBy("stimOn", "event")
-    return index.withColumn("next_stim_on", F.coalesce(F.lead("stimOn").over(w), F.lit(float("inf"))))

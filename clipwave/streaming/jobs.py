@@ -1,9 +1,10 @@
-"""Spark jobs around the detectors: stim search by pieces, clip features, replay in batch and as a stream."""
+"""Spark jobs around the streaming detector: stim search by pieces, replay in batch and as a stream."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -11,29 +12,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
-from ..functions import dsp
 from ..operators.patterns import merge_events
+from ..plans.clips import lists
 from ..sources.shared import new_path
 from .detectors import Detector, find_stimulations
 
 EVENT = "clip string, kind string, channel string, t double"
+#: Blocks of a clip that wait for an earlier one; with more of them, that one is given up and counts as missing samples.
+MOST_WAITING = 64
+#: A clip of which nothing came for so long is over.
+TIMEOUT_MS = 60_000
 
 
-def matrix(rows: list[dict]) -> tuple[list[str], np.ndarray]:
-    rows = sorted(rows, key=lambda r: r["chan"])
-    return [r["label"] for r in rows], np.array([[np.nan if v is None else v for v in r["samples"]] for r in rows], dtype=np.float64).T
+def matrix(table: pa.Table) -> tuple[list[str], np.ndarray]:
+    """Labels and samples x channels of one piece, whose rows are channels."""
+    labels, samples = table.column("label").to_pylist(), lists(table.column("samples"))
+    order = np.argsort(table.column("chan").to_numpy(), kind="stable")
+    return [labels[i] for i in order], np.stack([samples[i] for i in order], axis=1)
+
+
+def first_of(table: pa.Table, name: str):  # noqa: ANN201
+    return table.column(name)[0].as_py()
 
 
 def session_stimulations(segments: DataFrame, gap: float = 3.0) -> DataFrame:
     """Stimulations of each recording. Each stretch of time is searched on its own, so they run in parallel; events cut by a boundary are merged."""
 
     def work(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        labels, x = matrix(rows)
-        rate, first = rows[0]["rate"], rows[0]["first_sample"]
+        labels, x = matrix(table)
+        clip, rate, first = (first_of(table, c) for c in ("clip", "rate", "first_sample"))
         found = find_stimulations(x, labels, rate, first / rate, (first + len(x)) / rate)
-        cols = list(zip(*[(rows[0]["clip"], "-".join(sorted((labels[a], labels[b]))), on, off, int(on * 1e6)) for a, b, on, off in found], strict=True)) or [()] * 5
+        cols = list(zip(*[(clip, "-".join(sorted((labels[a], labels[b]))), on, off, int(on * 1e6)) for a, b, on, off in found], strict=True)) or [()] * 5
         kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["clip", "pair", "on", "off", "event"])
 
@@ -41,69 +52,72 @@ def session_stimulations(segments: DataFrame, gap: float = 3.0) -> DataFrame:
     return merge_events(found, gap, ("clip",), "pair")
 
 
-def clip_windows(clips: DataFrame, window: float = 1.0, band: tuple[float, float] = (1.0, 50.0)) -> DataFrame:
-    """Features of clips (rows of clip, channel pair, ``rate``, ``samples``, ``stim_on``, ``stim_off``): for
-    each window its line length after band-pass and notch, and the energies that the vetoes read.
-
-    Windows before the stimulation begin at the clip's start, those after it at its end."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                rate, raw = r["rate"], np.nan_to_num(np.array(r["samples"], dtype=np.float64))
-                x = dsp.run_sections(dsp.butter_band(4, *band, rate), raw[:, None])[:, 0]
-                if rate / 2 > 62:
-                    x = dsp.run_sections(dsp.butter_band(2, 58, 62, rate, stop=True), x[:, None])[:, 0]
-                n = int(np.floor(window * rate + 0.5))
-                on, off = (max(0, int(np.floor(r[k] * rate + 0.5))) for k in ("stim_on", "stim_off"))
-                top = min(120.0, np.floor(rate / 2) - 5)
-                whole = float(dsp.band_energy(raw, rate, 59, 61)), float(dsp.band_energy(raw, rate, *band))
-                for post, starts in ((False, range(0, on - n, n)), (True, range(off, len(x) - n + 1, n))):
-                    for k, s in enumerate(starts):
-                        w = raw[s : s + n]
-                        hf = float(dsp.band_energy(w, rate, 70, top)) if top > 75 else 0.0
-                        out.append((r["clip"], r["chan"], r["pair"], post, k, s / rate, float(np.abs(np.diff(x[s : s + n])).sum()), hf, float(dsp.band_energy(w, rate, *band)), *whole))
-            if out:
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), *[pa.float64()] * 6)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["clip", "chan", "pair", "post", "win", "win_t", "ll", "hf", "inband", "line", "whole"])
-
-    return clips.select("clip", "chan", "pair", "rate", "samples", "stim_on", "stim_off").mapInArrow(work, "clip string, chan int, pair string, post boolean, win int, win_t double, ll double, hf double, inband double, line double, whole double")
+def blocks_of(table: pa.Table) -> Iterator[np.ndarray]:
+    """Blocks (samples x channels) of one clip in order."""
+    column, n = table.column("block").combine_chunks(), len(first_of(table, "labels"))
+    ends = column.offsets.to_numpy()
+    channels = column.values
+    flat, inner = channels.values.to_numpy(zero_copy_only=False).astype(np.float64), channels.offsets.to_numpy()
+    for i in np.argsort(table.column("seq").to_numpy(), kind="stable"):
+        a, b = inner[ends[i]], inner[ends[i + 1]]
+        yield flat[a:b].reshape(n, -1).T
+
+
+def events_table(found: list[tuple]) -> pa.Table:
+    cols = list(zip(*found, strict=True)) or [()] * 4
+    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], names=["clip", "kind", "channel", "t"])
 
 
 def replay(blocks: DataFrame) -> DataFrame:
     """Batch twin of the stream: each clip's blocks in order through one detector."""
 
     def work(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["seq"])
-        d = Detector(rows[0]["labels"], rows[0]["rate"])
-        found = [(rows[0]["clip"], *e) for r in rows for e in d.feed(np.array(r["block"], dtype=np.float64))]
-        cols = list(zip(*found, strict=True)) or [()] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], names=["clip", "kind", "channel", "t"])
+        d, clip = Detector(first_of(table, "labels"), first_of(table, "rate")), first_of(table, "clip")
+        return events_table([(clip, *e) for b in blocks_of(table) for e in d.feed(b)])
 
     return blocks.groupBy("clip").applyInArrow(work, EVENT)
 
 
+def replay_by_size(segments: DataFrame, sizes_ms: tuple[int, ...] = (100, 250, 500, 1000)) -> DataFrame:
+    """The event logs of whole clips, replayed in blocks of each size: ``block_ms`` and EVENT. ``segments``: channels of clips.
+
+    One task for each clip and size; the clip's samples are joined once and cut inside it."""
+
+    def work(table: pa.Table) -> pa.Table:
+        clip, rate, ms = (first_of(table, c) for c in ("clip", "rate", "block_ms"))
+        pieces: dict[int, list] = {}
+        for chan, first, label, x in zip(*(table.column(c).to_pylist() for c in ("chan", "first_sample", "label")), lists(table.column("samples")), strict=True):
+            pieces.setdefault(chan, []).append((first, label, x))
+        x = np.stack([np.concatenate([x for *_, x in sorted(p, key=lambda q: q[0])]) for _, p in sorted(pieces.items())], axis=1)
+        d, size = Detector([p[0][1] for _, p in sorted(pieces.items())], rate), max(1, int(np.floor(ms / 1000 * rate + 0.5)))
+        out = events_table([(clip, *e) for k in range(0, len(x), size) for e in d.feed(x[k : k + size])])
+        return out.append_column("block_ms", pa.array([ms] * out.num_rows, pa.int32()))
+
+    sized = segments.withColumn("block_ms", F.explode(F.array(*(F.lit(m) for m in sizes_ms))))
+    return sized.groupBy("clip", "block_ms").applyInArrow(work, f"{EVENT}, block_ms int")
+
+
 def timing(blocks: DataFrame) -> DataFrame:
     """``clip``, ``max_block_ms`` and ``real_time_factor`` of the detector's steps."""
 
     def work(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["seq"])
-        d, spent, samples = Detector(rows[0]["labels"], rows[0]["rate"]), [], 0
-        for r in rows:
-            block = np.array(r["block"], dtype=np.float64)
+        rate = first_of(table, "rate")
+        d, spent, samples = Detector(first_of(table, "labels"), rate), [], 0
+        for block in blocks_of(table):
             t = time.perf_counter()
             d.feed(block)
             spent.append(time.perf_counter() - t)
             samples += len(block)
-        return pa.table({"clip": [rows[0]["clip"]], "max_block_ms": [1000 * max(spent)], "real_time_factor": [samples / rows[0]["rate"] / sum(spent)]})
+        return pa.table({"clip": [first_of(table, "clip")], "max_block_ms": [1000 * max(spent)], "real_time_factor": [samples / rate / sum(spent)]})
 
     return blocks.groupBy("clip").applyInArrow(work, "clip string, max_block_ms double, real_time_factor double")
 
 
-def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One micro-batch of one clip. Blocks that come before their turn wait in the state; ones that were seen are dropped."""
-    detector, turn, early = (None, 0, {})
+def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timeout: bool = False) -> Iterator[pd.DataFrame]:
+    """One micro-batch of one clip. Blocks that come before their turn wait in the state; ones
+    that were seen are dropped. When MOST_WAITING wait, or nothing comes any more, a block that
+    is lost counts as missing samples; a clip that timed out leaves no state."""
+    detector, turn, early = None, 0, {}
     if state.exists:
         raw, turn, waiting = state.get
         detector = Detector.from_bytes(bytes(raw))
@@ -111,22 +125,31 @@ def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
     for f in frames:
         for r in f.itertuples():
             if r.seq >= turn:
-                early[r.seq] = np.array([np.asarray(x, dtype=np.float64) for x in r.block])
+                early[r.seq] = np.array([np.asarray(x, dtype=np.float64) for x in r.block]).T
             if detector is None:
                 detector = Detector(list(r.labels), r.rate)
     out = []
-    while turn in early:
-        out += [(key[0], *e) for e in detector.feed(early.pop(turn))]
+    while early and (turn in early or len(early) > MOST_WAITING or state.hasTimedOut):
+        block = early.pop(turn, None)
+        if block is None:
+            block = np.full_like(early[min(early)], np.nan)
+        out += [(key[0], *e) for e in detector.feed(block)]
         turn += 1
-    import pickle
-
-    state.update((detector.to_bytes(), turn, pickle.dumps(early)))
+    if state.hasTimedOut:
+        state.remove()
+    else:
+        import pickle
+
+        state.update((detector.to_bytes(), turn, pickle.dumps(early)))
+        if timeout:
+            state.setTimeoutDuration(TIMEOUT_MS)
     yield pd.DataFrame(out, columns=["clip", "kind", "channel", "t"])
 
 
-def detect_stream(blocks: DataFrame) -> DataFrame:
-    """Events of a stream of blocks (``clip``, ``rate``, ``labels``, ``seq``, ``block``); append mode."""
-    return blocks.groupBy("clip").applyInPandasWithState(step, EVENT, "detector binary, turn long, waiting binary", "append", GroupStateTimeout.NoTimeout)
+def detect_stream(blocks: DataFrame, timeout: bool = True) -> DataFrame:
+    """Events of a stream of blocks (``clip``, ``rate``, ``labels``, ``seq``, ``block``); append mode. A query with timeouts never ends by itself."""
+    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
+    return blocks.groupBy("clip").applyInPandasWithState(partial(step, timeout=timeout), EVENT, "detector binary, turn long, waiting binary", "append", kind)
 
 
 def run_stream(blocks: DataFrame, files: int = 3) -> DataFrame:
@@ -135,14 +158,15 @@ def run_stream(blocks: DataFrame, files: int = 3) -> DataFrame:
     src, log, checkpoint = (new_path(spark, n) for n in ("blocks", "event-log", "stream-state"))
     blocks.repartition(files, "seq").write.parquet(src)
     stream = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    detect_stream(stream).writeStream.format("parquet").option("path", log).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    detect_stream(stream, timeout=False).writeStream.format("parquet").option("path", log).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(EVENT).parquet(log)
 
 
 def event_table(log: DataFrame) -> DataFrame:
-    """Stimulation rows with their ends (null while open) and discharges, from an event log."""
-    on = log.where("kind = 'stim_on'").select("clip", "channel", F.col("t").alias("on_time"))
-    off = log.where("kind = 'stim_off'").select("clip", "channel", F.col("t").alias("off_t"))
-    stim = on.join(off, ["clip", "channel"], "left").groupBy("clip", "channel", "on_time").agg(F.min(F.when(F.col("off_t") > F.col("on_time"), F.col("off_t"))).alias("off_time")).withColumn("kind", F.lit("stim"))
-    ad = log.where("kind = 'ad'").select("clip", "channel", F.col("t").alias("on_time"), F.lit(None).cast("double").alias("off_time"), F.lit("AD").alias("kind"))
-    return stim.unionByName(ad).select("clip", "kind", "channel", "on_time", "off_time")
+    """Stimulation rows with their ends (null while open) and discharges, from an event log. An end belongs to the last onset before it: one sort of both, no join."""
+    later = Window.partitionBy("clip", "channel").orderBy("t").rowsBetween(1, Window.unboundedFollowing)
+    ends = F.min(F.when(F.col("kind") == "stim_off", F.col("t"))).over(later)
+    stim = log.where("kind in ('stim_on', 'stim_off')").withColumn("off_time", ends).where("kind = 'stim_on'")
+    stim = stim.select("clip", F.lit("stim").alias("kind"), "channel", F.col("t").alias("on_time"), "off_time")
+    ad = log.where("kind = 'ad'").select("clip", F.lit("AD").alias("kind"), "channel", F.col("t").alias("on_time"), F.lit(None).cast("double").alias("off_time"))
+    return stim.union(ad)

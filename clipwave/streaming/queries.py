@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import patterns as P
-from ..operators import signal as G
+from ..plans import clips, studies
 from ..plans.catalogue import query
 from ..sources import eeg
 from . import jobs
@@ -34,28 +33,28 @@ def rt_sim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.max("max_block_ms").alias("max_block_ms"), F.median("real_time_factor").alias("median_real_time_factor"))
 
 
-def pairs_of_clips(spark: SparkSession, clips: int, rate: float = 500) -> DataFrame:
-    """Bipolar channels of synthetic clips, the candidates for the pair LA3-LA4."""
+def recorded_clips(spark: SparkSession, clips: int, rate: float = 500) -> tuple[DataFrame, DataFrame]:
+    """Contacts of synthetic clips and their list; in odd clips a discharge follows the stimulation."""
     s = eeg.read_eeg(spark, clips=clips, seconds=22, rate=rate, piece_seconds=22)
-    other = s.select("clip", (F.col("chan") - 1).alias("chan"), F.col("samples").alias("next"), F.col("label").alias("second"))
-    both = s.join(other, ["clip", "chan"]).where(F.col("chan").isin(0, 4))
-    diff = F.zip_with("samples", "next", lambda a, b: F.coalesce(a - b, F.lit(0.0)))
-    return both.select("clip", "chan", F.concat_ws("-", "label", "second").alias("pair"), "rate", diff.alias("samples"), F.lit(eeg.ON).alias("stim_on"), F.lit(eeg.OFF).alias("stim_off"))
+    listed = s.select("clip").distinct().select("clip", F.lit("LA3-LA4").alias("stim_pair"), F.lit(eeg.ON).alias("stim_on"), F.lit(eeg.OFF).alias("stim_off"), F.lit(None).cast("double").alias("next_stim_on"))
+    return s.select("clip", "label", "rate", "samples"), listed
 
 
-def clip_scores(features: DataFrame, threshold: float = 4.0, n: int = 3) -> DataFrame:
-    """Score, onset and channel of each clip from its windows: baseline, vetoes, run rule."""
-    base = G.robust_baseline(features.where("not post"), keys=("clip",))
-    hf = G.robust_baseline(features.where("not post"), value="hf", trim=0.0, keys=("clip",)).select("clip", "chan", F.col("med").alias("hf_med"), F.col("mad").alias("hf_mad"))
-    z = G.z_scores(features.where("post"), base).join(hf, ["clip", "chan"], "left")
-    z_hf = (F.col("hf") - F.col("hf_med")) / (1.4826 * F.col("hf_mad") + 2.220446049250313e-16)
-    bad = G.hf_veto(F.col("hf"), F.col("inband"), z_hf) | G.line_noise_veto(F.col("line"), F.col("whole"))
-    return P.detect(P.run_score(z.withColumn("valid", ~bad), n), threshold)
+@query()
+def bandpass_linelength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detector B on clips from their samples to scores."""
+    return clips.detect(*recorded_clips(spark, 4))
 
 
 @query()
-def bandpass_linelength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clip_scores(jobs.clip_windows(pairs_of_clips(spark, 4)))
+def replay_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay in blocks of four sizes, then evaluation: one row of metrics for each size."""
+    s = eeg.read_eeg(spark, clips=4, seconds=20, rate=1000)
+    found = jobs.replay_by_size(s)
+    told = s.select("clip").distinct().withColumn("k", F.regexp_extract("clip", "_ev([0-9]+)", 1).cast("int") % 2)
+    marks = told.select("clip", F.when(F.col("k") == 1, "y").otherwise("n").alias("AD"), F.when(F.col("k") == 1, eeg.OFF).alias("AD_onset"), F.lit(eeg.ON).alias("stimOn"), F.lit(eeg.OFF).alias("stimOff"))
+    log = found.select("block_ms", "clip", F.when(F.col("kind") == "ad", F.col("t")).alias("t"))
+    return studies.evaluate(log, marks, ("block_ms",))[1]
 
 
 @query()
@@ -67,8 +66,6 @@ def edf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def export_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From recordings in stretches to trimmed clips of the channels."""
-    from ..plans import studies
-
     index, cut = studies.export_clips(eeg.read_eeg(spark, clips=2, seconds=30, rate=500, piece_seconds=11), pre=5, post=5)
     sizes = cut.groupBy("clip").agg(F.count("*").alias("channels"), F.min("first_sample").alias("first_sample"), F.min(F.size("samples")).alias("least"), F.max(F.size("samples")).alias("most"))
     return index.select("clip", "event", F.round("clip_start", 6).alias("clip_start"), F.round("clip_end", 6).alias("clip_end")).join(sizes, "clip")

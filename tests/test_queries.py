@@ -40,7 +40,7 @@ def test_same_rows(spark, duck, name):
 def test_every_recording_gets_a_plan(spark):
     orders = {r["o_orderkey"]: r for r in spark.read.parquet(f"{DIR}/orders.parquet").collect()}
     plan = {}
-    for r in catalogue.queries()["chunk_planner_all"](spark, DIR).collect():
+    for r in catalogue.queries()["chunk_planner"](spark, DIR).collect():
         plan.setdefault(r["o_orderkey"], []).append((r["first_sample"], r["last_sample"]))
     assert set(plan) == set(orders)
     for key, parts in plan.items():
@@ -57,7 +57,7 @@ def test_every_sample_is_filtered(spark):
         for k, x in enumerate(r["embedding"], 1):
             y = 0.99 * y + 0.01 * x
             want[r["vec_id"], k] = x - y
-    got = {(r["vec_id"], r["k"]): r["high"] for r in catalogue.queries()["leaky_highpass_all"](spark, DIR).collect()}
+    got = {(r["vec_id"], r["k"]): r["high"] for r in catalogue.queries()["leaky_highpass"](spark, DIR).collect()}
     assert got == pytest.approx(want, abs=1e-8)
 
 
