@@ -145,20 +145,27 @@ def saturation_from(contacts: DataFrame, clips: DataFrame, p: ClipParams) -> Dat
     return G.saturation_cut(windows, over, ("clip",), "win").where("cut").groupBy("clip").agg(F.min("win").alias("cut"))
 
 
-def centre_and_scale(values: Column, trim: float) -> tuple[Column, Column]:
-    """Median and MAD of the lowest values (without the upper ``trim``); 0 without any."""
-    s = F.array_sort(values)
-    kept = F.slice(s, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(s) * (1 - trim) + 1e-9)).cast("int"))
-    med = F.coalesce(S.hazen(kept, 0.5), F.lit(0.0))
-    return med, F.coalesce(S.hazen(F.transform(kept, lambda x: F.abs(x - med)), 0.5), F.lit(0.0))
+def middle(values: Column) -> Column:
+    """Median of a sorted array; 0 without values."""
+    n = F.size(values)
+    at = lambda k: F.get(values, F.floor(k).cast("int"))
+    return F.coalesce((at((n - 1) / 2) + at(n / 2)) / 2, F.lit(0.0))
+
+
+def with_baselines(found: DataFrame, p: ClipParams) -> DataFrame:
+    """``med`` and ``mad`` of the lowest line lengths before the stimulation (without the upper ``trim``), ``hf_med`` and ``hf_mad`` of all high-frequency energies there. Each step is a column of its own, so nothing is sorted twice."""
+    sorted_ = lambda c: F.array_sort(F.transform("base", lambda b: b[c]))
+    f = found.withColumns({"ll_": sorted_("ll"), "hf_": sorted_("hf"), "n_base": F.size("base")})
+    f = f.withColumn("ll_", F.slice("ll_", F.lit(1), F.greatest(F.lit(1), F.floor(F.size("ll_") * (1 - p.trim) + 1e-9)).cast("int")))
+    f = f.withColumns({"med": middle(F.col("ll_")), "hf_med": middle(F.col("hf_"))})
+    away = lambda values, centre: F.array_sort(F.transform(values, lambda x: F.abs(x - F.col(centre))))
+    f = f.withColumns({"ll_": away("ll_", "med"), "hf_": away("hf_", "hf_med")})
+    return f.withColumns({"mad": middle(F.col("ll_")), "hf_mad": middle(F.col("hf_"))}).drop("ll_", "hf_")
 
 
 def windows(found: DataFrame, clips: DataFrame, p: ClipParams = ClipParams(), cuts: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """``clip``, ``chan``, ``win``, ``t``, ``z`` and ``valid`` of every window after the stimulation, with what vetoed it: ``hf_bad``, ``line_bad``, ``cap_bad``."""
-    of = lambda c: F.transform("base", lambda b: b[c])
-    med, mad = centre_and_scale(of("ll"), p.trim)
-    hf_med, hf_mad = centre_and_scale(of("hf"), 0.0)
-    f = found.withColumns({"med": med, "mad": mad, "hf_med": hf_med, "hf_mad": hf_mad, "n_base": F.size("base")})
+    f = with_baselines(found, p)
     f = f.withColumn("gmed", F.median("med").over(Window.partitionBy("clip")))
     w = f.select("clip", "chan", "med", "mad", "gmed", "hf_med", "hf_mad", "n_base", "line", "whole", F.explode("post").alias("w")).select("*", "w.*")
     scale = F.greatest(1.4826 * F.col("mad"), p.scale_floor * F.col("gmed")) + S.EPS
