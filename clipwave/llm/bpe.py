@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import unicodedata
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
@@ -69,18 +68,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+#: Under this code point all are assigned.
+ALL_ASSIGNED = 0x378
+
+
 @lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Any code point that Python's Unicode version hasn't assigned."""
-    open_, spans = None, []
-    for c in range(0x110001):
-        free = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if free and open_ is None:
-            open_ = c
-        elif not free and open_ is not None:
-            spans.append(f"{chr(open_)}-{chr(c - 1)}")
-            open_ = None
-    return re.compile(f"[{''.join(spans)}]")
+def unassigned() -> np.ndarray:
+    """For each code point whether Python's Unicode version hasn't assigned it."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
+def holds_unassigned(text: str) -> bool:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return bool(codes.max() >= ALL_ASSIGNED and unassigned()[codes].any())
 
 
 @dataclass(eq=False)
@@ -227,7 +227,7 @@ class Bpe:
     def split(self, text: str) -> list[str]:
         """Normalise and pre-tokenise a text that holds no special token."""
         if not text.isascii():
-            if unassigned().search(text):
+            if holds_unassigned(text):
                 return self.split_by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing looks at one letter at a time
         return self.pieces.findall(text.lower())
