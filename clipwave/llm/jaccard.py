@@ -18,8 +18,8 @@ Spark deals the work so that nothing but possible partners ever meets:
     by a heap, candidates that occur in enough of them are looked up in the long ones by
     binary search, as long as they can still reach T. Queries start with the smallest
     component and end when all that is left lies in one, as only components are asked for.
-    A group that is too large for a task is dealt into pairs of blocks, which together
-    hold every pair.
+    A group that is too large for a task is dealt into blocks, whose trees are joined by
+    representatives; only what then isn't in the group's largest component meets all blocks.
 5.  The links that join components (never all pairs) give the connected components.
 
 Every step is exact: bounds only rule out what can't link, hashes of 64 bits stand for
@@ -52,8 +52,10 @@ from .components import components
 WORDS = 5
 #: Part of the hash range in which shingles of all documents are compared first.
 PART = 0.3
-#: Shingles in one bucket of that comparison, and in one task of the search.
-BUCKET, TASK = 400_000, 1_000_000
+#: Shingles in one bucket of that comparison, and in one block of the search; rows in one block.
+BUCKET, TASK, ROWS = 400_000, 400_000, 128
+#: Most times that representatives are dealt anew (any number is exact).
+MOST_DEALS = 8
 #: Rounds of peeling among the survivors (any number is exact).
 PEELS = 2
 #: Most keys that are broadcast; more are joined by a shuffle.
@@ -296,12 +298,20 @@ class DivideSkip:
                 yield other
 
 
-def links(sets: list[np.ndarray], percent: int = 80) -> list[tuple[int, int]]:
-    """Links that join the components of the sets (given in order of size); no link within a component."""
+def links(sets: list[np.ndarray], percent: int = 80, labels: list | None = None, sides: list | None = None) -> list[tuple[int, int]]:
+    """Links that join the components of the sets (given in order of size); no link within a component.
+
+    ``labels``: sets of one label are joined from the start. ``sides``: sets of one side aren't compared with each other."""
     search, forest, out = DivideSkip(sets, percent), Forest(len(sets)), []
-    waiting = {i: [i] for i in range(len(sets))}  # of each root, the sets that weren't queries yet
-    heap = [(1, i) for i in range(len(sets))]
+    firsts: dict = {}
+    for i, name in enumerate(labels or ()):
+        forest.join(firsts.setdefault(name, i), i)
+    waiting: dict[int, list[int]] = {}  # of each root, the sets that weren't queries yet
+    for i in range(len(sets)):
+        waiting.setdefault(forest.root(i), []).append(i)
+    heap = [(forest.size[r], r) for r in waiting]
     heapq.heapify(heap)
+    skip = lambda q: lambda x: forest.root(x) == forest.root(q) or (sides is not None and sides[x] == sides[q])
     while heap and len(waiting) > 1:
         size, r = heapq.heappop(heap)
         if r not in waiting or forest.size[r] != size:
@@ -309,7 +319,7 @@ def links(sets: list[np.ndarray], percent: int = 80) -> list[tuple[int, int]]:
         q = waiting[r].pop()
         if not waiting[r]:
             del waiting[r]
-        for other in search.partners(q, lambda x: forest.root(x) == forest.root(q)):
+        for other in search.partners(q, skip(q)):
             a, b = forest.root(q), forest.root(other)
             forest.join(a, b)
             out.append((q, other))
@@ -322,23 +332,89 @@ def links(sets: list[np.ndarray], percent: int = 80) -> list[tuple[int, int]]:
     return out
 
 
-def search(sets: DataFrame, grouped: DataFrame, percent: int = 80) -> DataFrame:
-    """Edges (a, b) between nodes, enough to join each component."""
-    held = sets.join(grouped, "node")
-    weight = held.groupBy("component").agg(F.ceil(F.sum("n") / TASK).cast("int").alias("blocks"))
-    dealt = held.join(weight, "component").withColumn("own", F.pmod(F.xxhash64("node", "c"), F.col("blocks")).cast("int"))
-    with_ = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = dealt.withColumn("other", F.explode(with_)).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "s")
+def links_in(rows: DataFrame, keys: tuple[str, ...], percent: int) -> DataFrame:
+    """Links (a, b) inside each group of ``keys``, enough to join its components. Rows have ``node``, ``s``, ``lab`` (rows of one label
+    are joined already) and ``side`` (null: compare with all; else with rows of another side only)."""
 
     def work(table: pa.Table) -> pa.Table:
+        begin("jaccard")
         nodes, column = table.column("node").to_numpy(), table.column("s").combine_chunks()
         flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
         sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         order = np.lexsort((nodes, [len(s) for s in sets]))
-        found = links([sets[i] for i in order], percent)
+        labels, sides = (table.column(c).take(pa.array(order)).to_pylist() for c in ("lab", "side"))
+        found = links([sets[i] for i in order], percent, labels, None if None in sides else sides)
         return pa.table({"a": pa.array([int(nodes[order[x]]) for x, _ in found], pa.int64()), "b": pa.array([int(nodes[order[y]]) for _, y in found], pa.int64())})
 
-    return dealt.groupBy("component", "i", "j").applyInArrow(work, "a long, b long")
+    return rows.select(*keys, "node", "s", "lab", "side").groupBy(*keys).applyInArrow(work, "a long, b long")
+
+
+def blocks_of(rows: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """How many blocks of at most about TASK shingles and ROWS rows each group of ``keys`` makes."""
+    size = F.greatest(F.ceil(F.sum("n") / TASK), F.ceil(F.count("*") / ROWS)).cast("int")
+    return rows.groupBy(*keys).agg(size.alias(name))
+
+
+def dealt(rows: DataFrame, salt: int) -> DataFrame:
+    """``blocks`` of each row's component and the ``block`` that it is dealt into."""
+    sized = rows.join(blocks_of(rows, ("component",), "blocks"), "component")
+    return sized.withColumn("block", F.pmod(F.xxhash64("node", "c", F.lit(salt)), F.col("blocks")).cast("int"))
+
+
+def named(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` after ``edges`` between their representatives: a label gives way to the smallest that edges lead it to directly."""
+    ends = edges.select(F.greatest("a", "b").alias("lab"), F.least("a", "b").alias("to")).groupBy("lab").agg(F.min("to").alias("to"))
+    return labels.join(ends, "lab", "left").select("component", "node", F.coalesce("to", "lab").alias("lab"))
+
+
+def search(sets: DataFrame, grouped: DataFrame, percent: int = 80) -> DataFrame:
+    """Edges (a, b) between nodes, enough to join each component.
+
+    Rows are dealt into blocks. Inside a block all is compared. A component of several blocks
+    goes on with one representative for each tree that was found, dealt anew, until they fit one
+    block or hardly any still link. Then its rows have labels; what has the commonest one
+    needs no more comparison with its like, only with the rest: blocks of the rest meet
+    blocks of all. Where all rows have one label, nothing is left to do."""
+    spark = sets.sparkSession
+    plain = (F.col("node").alias("lab"), F.lit(None).cast("int").alias("side"))
+    first = dealt(sets.join(grouped, "node"), 0)
+    large = materialize(first.where("blocks > 1").select("component", "node", "c", "n", "s"), "large-groups")
+    edges = [materialize(links_in(first.select("*", *plain), ("component", "block"), percent), "links")]
+    if large.isEmpty():
+        return edges[0]
+    labels = large.select("component", "node", F.col("node").alias("lab")).distinct()
+    fresh = components(edges[0].join(large.select(F.col("node").alias("a")).distinct(), "a", "left_semi"))
+    labels = materialize(labels.join(fresh.select("node", F.col("component").alias("to")), "node", "left").select("component", "node", F.coalesce("to", "lab").alias("lab")), "labels")
+    for salt in range(1, MOST_DEALS):
+        chosen = labels.where("node = lab").select("component", "node")
+        deal = dealt(large.join(chosen, ["component", "node"]), salt)
+        edges.append(materialize(links_in(deal.select("*", *plain), ("component", "block"), percent), "links"))
+        seen = deal.agg(F.count("*").alias("rows"), F.max("blocks").alias("blocks")).first()
+        moved = edges[-1].count()
+        if moved:
+            joined = components(edges[-1]).select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = materialize(named(labels, joined.where("a != b")), "labels")
+        if seen["blocks"] == 1 or 4 * moved < seen["rows"]:
+            break
+    counts = labels.groupBy("component", "lab").agg(F.count("*").alias("k"))
+    main = counts.groupBy("component").agg(F.max(F.struct("k", "lab"))["lab"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    rows = large.join(labels, ["component", "node"]).join(main.select("component", "main"), "component").withColumn("rest", F.col("lab") != F.col("main"))
+    rest, most = blocks_of(rows.where("rest"), ("component",), "r"), blocks_of(rows.where("not rest"), ("component",), "m")
+    sized = rows.join(rest, "component").join(most, "component")
+    own = F.pmod(F.xxhash64("node", "c", F.lit(-1)), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m"))).cast("int")
+    sized = sized.withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    mine = F.col("own")
+    against_main = F.transform(upto("m"), lambda j: place("main", mine, j, F.lit(0)))
+    among_rest = F.transform(upto("r"), lambda k: place("rest", F.least(mine, k), F.greatest(mine, k), F.when(mine != k, mine > k)))
+    from_main = F.transform(upto("r"), lambda i: place("main", i, mine, F.lit(1)))
+    placed = sized.withColumn("at", F.explode(F.when(F.col("rest"), F.concat(against_main, among_rest)).otherwise(from_main)))
+    edges.append(links_in(placed.select("component", "at.*", "node", "s", "lab"), ("component", "kind", "i", "j"), percent))
+    out = spark.createDataFrame([], "a long, b long")
+    for e in edges:
+        out = out.unionByName(e)
+    return out
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

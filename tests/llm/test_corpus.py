@@ -104,6 +104,29 @@ def test_join_in_blocks(spark, monkeypatch):
     check_join(spark, [*enumerate(texts)])
 
 
+def test_search_of_one_large_group(spark, monkeypatch):
+    """Chains, clusters and lone sets in one group of many blocks: what representatives don't show, the rest finds; every edge is right."""
+    monkeypatch.setattr(jaccard, "ROWS", 7)
+    rng = np.random.default_rng(3)
+    sets = []
+    for chain in range(5):
+        now = rng.choice(10_000, 40, replace=False) + 10_000 * chain
+        for _ in range((40, 12, 6, 2, 1)[chain]):
+            now = now.copy()
+            now[rng.integers(0, 40, 4)] = rng.integers(100_000, 1_000_000, 4)
+            sets.append(sorted({int(x) for x in now}))
+    rows = [(k, k + 1, len(s), s) for k, s in enumerate(sets)]
+    held = spark.createDataFrame(rows, "node long, c long, n long, s array<long>")
+    edges = [tuple(r) for r in jaccard.search(held, held.select("node", F.lit(0).cast("long").alias("component"))).collect()]
+    want = brute_components([(k, set(s)) for k, s in enumerate(sets)])
+    assert len(set(want.values())) == 5
+    found = {k: k for k in range(len(sets))}
+    for _ in sets:
+        for a, b in edges:
+            found[a] = found[b] = min(found[a], found[b])
+    assert found == want
+
+
 def test_join_empty(spark):
     assert jaccard.join(table(spark, [])).count() == 0
 
