@@ -19,7 +19,7 @@ MOST_ROUNDS = 60
 
 def stars(edges: DataFrame) -> DataFrame:
     """One round: large-star, then small-star; edges are (a, b)."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     large = both.join(least, "a").where("b > a and b != m").select(F.col("m").alias("b"), F.col("b").alias("a"))
     large = large.union(least.where("a != m").select(F.col("m").alias("b"), "a")).distinct()
@@ -41,4 +41,5 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(stars(now), "edges")
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    member = lambda x: F.struct(F.col(x).alias("node"), F.col("b").alias("component"))
+    return now.select(F.inline(F.array(member("a"), member("b")))).distinct()

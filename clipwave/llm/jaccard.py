@@ -20,7 +20,7 @@ Spark deals the work so that nothing but possible partners ever meets:
     component and end when all that is left lies in one, as only components are asked for.
     A group that is too large for a task is dealt into blocks, whose trees are joined by
     representatives; only what then isn't in the group's largest component meets all blocks.
-5.  The links that join components (never all pairs) give the connected components.
+5.  The trees that links make (never all pairs) give the connected components.
 
 Every step is exact: bounds only rule out what can't link, hashes of 64 bits stand for
 shingles, and of 64 bits and the size for sets.
@@ -332,9 +332,21 @@ def links(sets: list[np.ndarray], percent: int = 80, labels: list | None = None,
     return out
 
 
+def trees(found: list[tuple[int, int]], nodes: list[int]) -> list[tuple[int, int]]:
+    """Each node that ``found`` (pairs of places in ``nodes``) joins to a smaller one, with the smallest of its tree. A node at
+    several places may be in several trees."""
+    forest = Forest(len(nodes))
+    for x, y in found:
+        forest.join(x, y)
+    least: dict[int, int] = {}
+    joined = sorted({i for pair in found for i in pair}, key=nodes.__getitem__)
+    pairs = {(nodes[i], least.setdefault(forest.root(i), nodes[i])) for i in joined}
+    return sorted((node, top) for node, top in pairs if node != top)
+
+
 def links_in(rows: DataFrame, keys: tuple[str, ...], percent: int) -> DataFrame:
-    """Links (a, b) inside each group of ``keys``, enough to join its components. Rows have ``node``, ``s``, ``lab`` (rows of one label
-    are joined already) and ``side`` (null: compare with all; else with rows of another side only)."""
+    """The trees that links make inside each group of ``keys``: ``a`` hangs from ``b``, the smallest node of its tree. Rows have ``node``,
+    ``s``, ``lab`` (rows of one label are joined already) and ``side`` (null: compare with all; else with rows of another side only)."""
 
     def work(table: pa.Table) -> pa.Table:
         begin("jaccard")
@@ -344,7 +356,8 @@ def links_in(rows: DataFrame, keys: tuple[str, ...], percent: int) -> DataFrame:
         order = np.lexsort((nodes, [len(s) for s in sets]))
         labels, sides = (table.column(c).take(pa.array(order)).to_pylist() for c in ("lab", "side"))
         found = links([sets[i] for i in order], percent, labels, None if None in sides else sides)
-        return pa.table({"a": pa.array([int(nodes[order[x]]) for x, _ in found], pa.int64()), "b": pa.array([int(nodes[order[y]]) for _, y in found], pa.int64())})
+        up = trees(found, nodes[order].tolist())
+        return pa.table({"a": pa.array([a for a, _ in up], pa.int64()), "b": pa.array([b for _, b in up], pa.int64())})
 
     return rows.select(*keys, "node", "s", "lab", "side").groupBy(*keys).applyInArrow(work, "a long, b long")
 
@@ -362,8 +375,8 @@ def dealt(rows: DataFrame, salt: int) -> DataFrame:
 
 
 def named(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """``labels`` after ``edges`` between their representatives: a label gives way to the smallest that edges lead it to directly."""
-    ends = edges.select(F.greatest("a", "b").alias("lab"), F.least("a", "b").alias("to")).groupBy("lab").agg(F.min("to").alias("to"))
+    """``labels`` after ``edges``, the trees of their representatives: a label gives way to the smallest of its tree."""
+    ends = edges.groupBy(F.col("a").alias("lab")).agg(F.min("b").alias("to"))
     return labels.join(ends, "lab", "left").select("component", "node", F.coalesce("to", "lab").alias("lab"))
 
 
@@ -383,8 +396,7 @@ def search(sets: DataFrame, grouped: DataFrame, percent: int = 80) -> DataFrame:
     if large.isEmpty():
         return edges[0]
     labels = large.select("component", "node", F.col("node").alias("lab")).distinct()
-    fresh = components(edges[0].join(large.select(F.col("node").alias("a")).distinct(), "a", "left_semi"))
-    labels = materialize(labels.join(fresh.select("node", F.col("component").alias("to")), "node", "left").select("component", "node", F.coalesce("to", "lab").alias("lab")), "labels")
+    labels = materialize(named(labels, edges[0]), "labels")
     for salt in range(1, MOST_DEALS):
         chosen = labels.where("node = lab").select("component", "node")
         deal = dealt(large.join(chosen, ["component", "node"]), salt)
@@ -392,8 +404,7 @@ def search(sets: DataFrame, grouped: DataFrame, percent: int = 80) -> DataFrame:
         seen = deal.agg(F.count("*").alias("rows"), F.max("blocks").alias("blocks")).first()
         moved = edges[-1].count()
         if moved:
-            joined = components(edges[-1]).select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = materialize(named(labels, joined.where("a != b")), "labels")
+            labels = materialize(named(labels, edges[-1]), "labels")
         if seen["blocks"] == 1 or 4 * moved < seen["rows"]:
             break
     counts = labels.groupBy("component", "lab").agg(F.count("*").alias("k"))

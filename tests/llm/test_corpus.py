@@ -127,6 +127,27 @@ def test_search_of_one_large_group(spark, monkeypatch):
     assert found == want
 
 
+def test_trees_join_what_links_join():
+    """Also where a node has several places, and so may be in several trees."""
+    assert jaccard.trees([], [3, 1]) == []
+    assert jaccard.trees([(0, 1), (2, 3)], [5, 1, 5, 2]) == [(5, 1), (5, 2)]
+    rng = random.Random(4)
+
+    def joined(pairs):
+        up = {k: k for k in range(9)}
+        for _ in range(9):
+            for a, b in pairs:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    for _ in range(300):
+        nodes = [rng.randrange(9) for _ in range(rng.randint(1, 9))]
+        links = [(rng.randrange(len(nodes)), rng.randrange(len(nodes))) for _ in range(rng.randint(0, 8))]
+        found = jaccard.trees(links, nodes)
+        assert all(a > b for a, b in found)
+        assert joined(found) == joined([(nodes[x], nodes[y]) for x, y in links])
+
+
 def test_join_empty(spark):
     assert jaccard.join(table(spark, [])).count() == 0
 
