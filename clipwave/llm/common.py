@@ -70,6 +70,13 @@ def begin(operator: str) -> None:
     give_back()
 
 
+def finish(operator: str) -> None:
+    """A task of ``operator`` is at its end."""
+    if operator in _end:
+        _end[operator]()
+    give_back()
+
+
 def give_back() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -104,9 +111,7 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
         for part in slices(batches, text):
             if (out := work(part)) is not None:
                 yield out
-        if operator in _end:
-            _end[operator]()
-        give_back()
+        finish(operator)
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.mapInArrow(run, schema)

@@ -139,9 +139,9 @@ def beyond(score: int) -> str | None:
     return text if score > 0 else "".join(str(9 - int(c)) for c in text) + "~"
 
 
-def whole_numbers(df: DataFrame, scale: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def whole_numbers(df: DataFrame, scale: int, key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id`` and ``v`` of the rows that take part: floor(scale * x) / scale, which doubles hold
-    exactly as ``scale`` is a power of two; and ``wide``: whether a component is over MOST."""
+    exactly as ``scale`` is a power of two; and ``wide``: whether a component is over MOST. Columns of ``keep`` stay."""
     if scale & (scale - 1):
         raise ValueError("the scale must be a power of two")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -149,7 +149,7 @@ def whole_numbers(df: DataFrame, scale: int, key: str = "vec_id", vector: str =
     v = F.transform(vector, lambda x: x.cast("double"))
     # From 2^44 on a double is whole after scaling by any power of two that is allowed here.
     low = F.transform(v, lambda x: F.when(F.abs(x) < 2.0**44, F.floor(x * scale) / float(scale)).otherwise(x) + 0.0)
-    return part.select(F.col(key).cast("long").alias("id"), low.alias("v"), F.exists(low, lambda x: F.abs(x) > MOST / scale).alias("wide"))
+    return part.select(F.col(key).cast("long").alias("id"), low.alias("v"), F.exists(low, lambda x: F.abs(x) > MOST / scale).alias("wide"), *keep)
 
 
 def top_k(df: DataFrame, queries: Column, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gam, jaccard, kdsearch, langid, mixing, rules, sharding, tokencounts
+from . import bpe, chat, gam, jaccard, kdsearch, langid, mixing, negatives, packing, rules, sharding, tokencounts, variants
 from .common import fold, table
 
 
@@ -65,9 +65,29 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), anchors=F.col("vec_id") % 50 == 0)
+
+
+def op13_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+OPERATORS = (
+    op1_language_id, op2_token_histogram, op3_jaccard_join, op4_chat_windows, op5_quality_gam, op6_bpe_round_trip, op7_exact_top_k, op8_source_mixing, op9_quality_rules, op10_kd_shards,
+    op11_spelling_variants, op12_hard_negatives, op13_sum_of_squares_packing,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_histogram, op3_jaccard_join, op4_chat_windows, op5_quality_gam, op6_bpe_round_trip, op7_exact_top_k, op8_source_mixing, op9_quality_rules, op10_kd_shards)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_windows": chat.ORACLE_SQL, "op8_source_mixing": mixing.oracle()}
+    return {"op4_chat_windows": chat.ORACLE_SQL, "op8_source_mixing": mixing.oracle(), "op12_hard_negatives": negatives.ORACLE_SQL}
