@@ -35,7 +35,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+from array import array
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 
@@ -49,9 +51,11 @@ from .common import begin, map_slices, tables_of
 
 #: Words whose tokens a worker remembers at most twice over: a full table becomes the
 #: older one, which is looked up after the new one and then let go.
-REMEMBERED = 60_000
+REMEMBERED = 150_000
 #: Stands for the end-of-word suffix inside the automaton: no byte-level letter is NUL.
 END = "\0"
+#: Fixed value: the pattern of words for which there is a faster one for ASCII.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_path() -> str:
@@ -127,6 +131,8 @@ class Bpe:
         self.within: dict[tuple[int, int], bool] = {}
         self.letters = byte_letters()
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        #: The same for texts of ASCII alone, where the standard library's classes do; None for another pattern than these.
+        self.ascii_pieces = re.compile(self.pieces.pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", "[^a-z0-9 \t-\r]")) if self.pieces.pattern == WORDS else None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         text = [""] * size
@@ -165,36 +171,39 @@ class Bpe:
 
     def encode_word(self, word: str) -> bytes:
         """Token ids of one pre-tokenised word, as int32 bytes."""
-        s = "".join([self.letters[b] for b in word.encode()]) + END
+        s = (word if word.isascii() and word.isprintable() and " " not in word else "".join([self.letters[b] for b in word.encode()])) + END
         whole = self.ids.get(s)
         if whole is not None and self.alone(whole):
             return np.int32(whole).tobytes()
-        longest: dict[int, int] = {}
+        n, length, shorter, compatible = len(s), self.length, self.shorter, self.compatible
+        # Matches come by where they end, so of those that start at one place the longest comes last.
+        longest = [-1] * n
         for end, i in self.automaton.iter(s):
-            start = end + 1 - self.length[i]
-            if start not in longest or self.length[longest[start]] < self.length[i]:
-                longest[start] = i
+            longest[end + 1 - length[i]] = i
         out: list[int] = []
-        place, n, left_behind = 0, len(s), set()
-        choice = longest.get(0, -1)
+        place, left_behind, choice = 0, set(), longest[0]
         while place < n:
             while choice >= 0:
-                after = place + self.length[choice]
-                if after not in left_behind and (after >= n or after in longest) and (not out or self.pair_holds(out[-1], choice)):
-                    break
-                choice = self.shorter[choice]
+                after = place + length[choice]
+                if (after >= n or longest[after] >= 0) and after not in left_behind:
+                    if not out:
+                        break
+                    holds = compatible.get((out[-1], choice))
+                    if self.pair_holds(out[-1], choice) if holds is None else holds:
+                        break
+                choice = shorter[choice]
             if choice >= 0:
                 out.append(choice)
-                place += self.length[choice]
-                choice = longest.get(place, -1)
+                place += length[choice]
+                choice = longest[place] if place < n else -1
             else:
                 if not out:
                     raise ValueError("the vocabulary can't spell this word")
                 left_behind.add(place)
                 choice = out.pop()
-                place -= self.length[choice]
-                choice = self.shorter[choice]
-        return np.array(out, dtype=np.int32).tobytes()
+                place -= length[choice]
+                choice = shorter[choice]
+        return array("i", out).tobytes()
 
     def alone(self, token: int) -> bool:
         """Whether the token's own text is encoded as the token: it is what its merge parts give."""
@@ -226,7 +235,10 @@ class Bpe:
 
     def split(self, text: str) -> list[str]:
         """Normalise and pre-tokenise a text that holds no special token."""
-        if not text.isascii():
+        if text.isascii():
+            if self.ascii_pieces:
+                return self.ascii_pieces.findall(text.lower())
+        else:
             if holds_unassigned(text):
                 return self.split_by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing looks at one letter at a time

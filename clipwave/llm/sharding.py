@@ -9,12 +9,13 @@ How wide a node is along a dimension is the spread of its bytes there (their sta
 deviation) as a part of the root's, so no unit makes a dimension wide.
 
 Coordinates are whole numbers of 63 bits: 24 of the dimension, then 20 of the text's checksum
-and 19 of the key's hash, which only order rows of one place. So rows of equal text stand
-together and a cut falls between texts; a group of copies of over ``COPIES`` of a shard can
-be cut in itself, by key. A cut is found by histograms: bytes are summed over ``BINS`` bins
-of each node, the bin that holds the median is cut into bins again, until what it holds is
-under ``TOLERANCE`` of a shard. Only the open nodes (fewer than the shards) and their bins
-ever reach the driver; rows are summed where they are.
+and 19 of the key's hash, which only order rows of one place. Rows of equal text stand
+together, and a cut always falls between texts, at the nearer edge of the text that holds the
+median; so all rows of a text are in one shard. A text whose rows outweigh a shard gets
+one of its own, and the others share what is left evenly. A cut is found by histograms: bytes
+are summed over ``BINS`` bins of each node, the bin that holds the median is cut into bins
+again, until it holds one text, or under ``TOLERANCE`` of a shard. Only the open nodes (fewer than the
+shards), their bins and texts that outweigh a shard ever reach the driver; rows are summed where they are.
 
 Slots are numbered without gaps in two levels, over fixed buckets of keys and within them,
 so no task sorts a whole shard. Rows of one key and text are numbered in parts by where they
@@ -22,8 +23,7 @@ are read, so that many of them don't meet in one task.
 
 Edge cases: a null text has no bytes and the checksum of nothing; size counts 8 more bytes
 for each row, so such rows have weight too. Rows that are equal in key and text as well
-share all coordinates and can't be cut apart: they stay in one shard. An empty table gives
-no rows. Clashing columns of the input are not read.
+share all coordinates: they stay in one shard. An empty table gives no rows. Clashing columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 BINS = 1024
-#: Most bytes that lie on the wrong side of a cut, as a share of a shard's; and how many do to keep copies together.
-TOLERANCE, COPIES = 1e-4, 4e-3
+#: Most bytes that lie on the wrong side of a cut, as a share of a shard's, apart from those of a text that isn't cut.
+TOLERANCE = 1e-4
 #: Coordinates of one text.
 TEXT = 1 << 19
 #: Rows of a bucket in which slots are numbered.
@@ -94,7 +94,7 @@ def cut_nodes(rows: DataFrame, nodes: list[dict], root: list[float]) -> None:
     while not all(n["done"] for n in nodes):
         for n in nodes:
             width = n["high"] - n["low"]
-            n["step"] = -(-width // BINS // TEXT) * TEXT if width > TEXT else max(1, -(-width // BINS))
+            n["step"] = max(1, -(-width // BINS // TEXT)) * TEXT
         value = rows.where(of_node([not n["done"] for n in nodes], "boolean")).select("node", "size", coordinate(nodes).alias("value"), *(of_node([n[x] for n in nodes]).alias(x) for x in ("low", "high", "step")))
         bins = value.where("value >= low and value < high").groupBy("node", F.expr("(value - low) div step").alias("bin")).agg(F.sum("size").alias("w"))
         held: dict[int, list] = {}
@@ -105,8 +105,7 @@ def cut_nodes(rows: DataFrame, nodes: list[dict], root: list[float]) -> None:
             for k, w in sorted(bars):
                 if upto + w >= n["want"]:
                     left, right = n["low"] + k * n["step"], n["low"] + (k + 1) * n["step"]
-                    one_text = n["step"] == TEXT and w <= COPIES * n["weight"] / n["count"]
-                    if n["step"] == 1 or one_text or w <= TOLERANCE * n["weight"] / n["count"]:
+                    if n["step"] == TEXT or w <= TOLERANCE * n["weight"] / n["count"]:
                         n |= {"cut": right if upto + w - n["want"] <= n["want"] - upto else left, "done": True}
                     else:
                         n |= {"low": left, "high": min(n["high"], right), "below": upto}
@@ -114,8 +113,36 @@ def cut_nodes(rows: DataFrame, nodes: list[dict], root: list[float]) -> None:
                 upto += w
 
 
+def heavy_texts(rows: DataFrame, shards: int) -> DataFrame | None:
+    """Texts that outweigh an even share of what is left beside heavier ones, with ``own``: a shard for each, the last ones. None if there is no such text."""
+    at = [F.shiftright(d, 19).alias(f"at_{d}") for d in DIMENSIONS]
+    texts = materialize(rows.groupBy("text_crc32", *at).agg(F.sum("size").alias("w")), "shard-texts")
+    total, found = texts.agg(F.sum("w")).first()[0] or 0, []
+    while len(found) < shards - 1:
+        share = (total - sum(r["w"] for r in found)) / (shards - len(found))
+        # The share only shrinks as they go, so who was over it stays so: fewer than the shards.
+        over = texts.where(F.col("w") > share).orderBy(F.desc("w"), *texts.columns[:-1]).limit(shards - 1).collect()
+        if len(over) == len(found):
+            break
+        found = over
+    if not found:
+        return None
+    return rows.sparkSession.createDataFrame([(*r[:-1], shards - 1 - i) for i, r in enumerate(found)], ", ".join([*(f"{c} long" for c in texts.columns[:-1]), "own int"]))
+
+
 def partition(rows: DataFrame, shards: int, tree: list[dict] | None = None) -> DataFrame:
-    """``rows`` with ``shard``: level by level, all nodes of a level at once. ``tree`` takes up the nodes that were split."""
+    """``rows`` with ``shard``: a shard each for heavy texts, the others level by level, all nodes of a level at once. ``tree`` takes up the nodes that were split."""
+    heavy = heavy_texts(rows, shards)
+    if heavy is None:
+        return split(rows, shards, tree)
+    at = {f"at_{d}": F.shiftright(d, 19) for d in DIMENSIONS}
+    marked = materialize(rows.withColumns(at).join(heavy, ["text_crc32", *at], "left").select(*rows.columns, "own"), "shard-heavy")
+    light = split(marked.where("own is null").select(*rows.columns), shards - heavy.count(), tree)
+    return light.select(*rows.columns, "shard").unionByName(marked.where("own is not null").select(*rows.columns, F.col("own").alias("shard")))
+
+
+def split(rows: DataFrame, shards: int, tree: list[dict] | None = None) -> DataFrame:
+    """``rows`` with ``shard``, from a tree of cuts."""
     rows, nodes, root = rows.withColumn("node", F.lit(0)), [{"first": 0, "count": shards}], []
     while any(n["count"] > 1 for n in nodes):
         cut_nodes(rows, nodes, root)
