@@ -15,8 +15,9 @@ replaying merges:
 
 Words are cut by the file's pattern after its normalisation. Letters, digits and pairs of
 cases are those of the Unicode data of Python and ``regex``, which agree with the library for
-every code point that Python's version has assigned. A text with any other code point is
-normalised and cut by the library's own two parts for that, which know another version.
+every code point that Python's version has assigned. A text with any other code point, or
+with a mark that came after version 3.2, is normalised and cut by the library's own two parts
+for that, which know another version.
 
 This gives exactly the merges of the reference algorithm, as merge ranks are token ids here
 (checked when the file is loaded).
@@ -54,7 +55,10 @@ from .common import begin, map_slices, tables_of
 REMEMBERED = 150_000
 #: Stands for the end-of-word suffix inside the automaton: no byte-level letter is NUL.
 END = "\0"
-#: Fixed value: the pattern of words for which there is a faster one for ASCII.
+#: From this code point on a text isn't plain Latin. All under it are assigned.
+LATIN = 0x250
+BEYOND_LATIN = re.compile(f"[^\0-{chr(LATIN - 1)}]")
+#: Fixed value: the pattern of words for which there is a faster one for Latin.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -64,6 +68,13 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def latin_words() -> str:
+    """WORDS for the standard library, with letters, digits and blanks under ``LATIN`` spelled out."""
+    group = {k: "".join(re.escape(chr(c)) for c in range(LATIN) if regex.match(k, chr(c))) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    inside = lambda m: "".join(group.get(part, part) for part in re.split(r"(\\p\{[LN]\}|\\s)", m[0]))
+    return re.sub(r"\[[^]]*\]", inside, WORDS)
+
+
 def byte_letters() -> list[str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others
     for the code points from 256 on, in order."""
@@ -78,8 +89,10 @@ ALL_ASSIGNED = 0x378
 
 @lru_cache(maxsize=1)
 def unassigned() -> np.ndarray:
-    """For each code point whether Python's Unicode version hasn't assigned it."""
-    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    """For each code point whether Python's Unicode version hasn't assigned it, or whether versions disagree how it is composed (as marks that came after version 3.2, which normalisers of another version may not reorder)."""
+    old = unicodedata.ucd_3_2_0
+    chars = map(chr, range(0x110000))
+    return np.array([unicodedata.category(c) == "Cn" or unicodedata.combining(c) != old.combining(c) or unicodedata.decomposition(c) != old.decomposition(c) for c in chars])
 
 
 def holds_unassigned(text: str) -> bool:
@@ -131,8 +144,8 @@ class Bpe:
         self.within: dict[tuple[int, int], bool] = {}
         self.letters = byte_letters()
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        #: The same for texts of ASCII alone, where the standard library's classes do; None for another pattern than these.
-        self.ascii_pieces = re.compile(self.pieces.pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", "[^a-z0-9 \t-\r]")) if self.pieces.pattern == WORDS else None
+        #: The same for texts without code points from ``LATIN`` on; None for another pattern.
+        self.latin_pieces = re.compile(latin_words()) if self.pieces.pattern == WORDS else None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         text = [""] * size
@@ -164,7 +177,7 @@ class Bpe:
                 before, a = a, pa_[1]
             else:
                 before, b = b + 1, pb[0]
-        if len(self.compatible) > 100_000:
+        if len(self.compatible) > 200_000:
             self.compatible.clear()
         self.compatible[left, right] = holds
         return holds
@@ -177,15 +190,13 @@ class Bpe:
             return np.int32(whole).tobytes()
         n, length, shorter, compatible = len(s), self.length, self.shorter, self.compatible
         # Matches come by where they end, so of those that start at one place the longest comes last.
-        longest = [-1] * n
-        for end, i in self.automaton.iter(s):
-            longest[end + 1 - length[i]] = i
+        longest = {end - length[i]: i for end, i in self.automaton.iter(s)}  # by the place before
         out: list[int] = []
-        place, left_behind, choice = 0, set(), longest[0]
+        place, left_behind, choice = 0, set(), longest.get(-1, -1)
         while place < n:
             while choice >= 0:
                 after = place + length[choice]
-                if (after >= n or longest[after] >= 0) and after not in left_behind:
+                if (after >= n or after - 1 in longest) and after not in left_behind:
                     if not out:
                         break
                     holds = compatible.get((out[-1], choice))
@@ -195,7 +206,7 @@ class Bpe:
             if choice >= 0:
                 out.append(choice)
                 place += length[choice]
-                choice = longest[place] if place < n else -1
+                choice = longest.get(place - 1, -1)
             else:
                 if not out:
                     raise ValueError("the vocabulary can't spell this word")
@@ -235,14 +246,14 @@ class Bpe:
 
     def split(self, text: str) -> list[str]:
         """Normalise and pre-tokenise a text that holds no special token."""
-        if text.isascii():
-            if self.ascii_pieces:
-                return self.ascii_pieces.findall(text.lower())
-        else:
-            if holds_unassigned(text):
+        if not text.isascii():
+            if BEYOND_LATIN.search(text) and holds_unassigned(text):
                 return self.split_by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing looks at one letter at a time
-        return self.pieces.findall(text.lower())
+        text = text.lower()
+        if self.latin_pieces and not BEYOND_LATIN.search(text):
+            return self.latin_pieces.findall(text)
+        return self.pieces.findall(text)
 
     @cached_property
     def library_parts(self):  # noqa: ANN201
