@@ -25,10 +25,12 @@ def butter_band(order: int, low: float, high: float, rate: float, stop: bool = F
     bilinear = lambda s: (fast + s) / (fast - s)
     z, p = bilinear(zeros.astype(complex)), bilinear(poles)
     z = z if stop else np.concatenate([z, -np.ones(order)])
-    upper = p[p.imag > 0]
+    # A wide band of odd order has two real poles, which share a section; all others are conjugate pairs.
+    real = np.sort(p[np.abs(p.imag) < 1e-12].real)
+    upper = p[p.imag >= 1e-12]
     upper = upper[np.argsort(np.abs(upper))]
     top = np.poly(z[:2]).real if stop else np.array([1.0, 0.0, -1.0])
-    rows = np.array([[*top, -2 * q.real, abs(q) ** 2] for q in upper])
+    rows = np.array([*([*top, -a - b, a * b] for a, b in zip(real[::2], real[1::2], strict=True)), *([*top, -2 * q.real, abs(q) ** 2] for q in upper)])
     # Gain 1 in the middle of the pass band (band-stop: at 0 Hz).
     at = 1.0 if stop else np.exp(2j * np.arctan(np.sqrt(centre) / fast))
     gain = np.prod([np.polyval(r[:3], at) / np.polyval([1, r[3], r[4]], at) for r in rows])
@@ -97,3 +99,19 @@ def filled(x: np.ndarray) -> np.ndarray:
     known = ~np.isnan(x)
     mean = np.where(known, x, 0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
     return np.where(known, x, mean) - mean
+
+
+def parallel_form(sections: np.ndarray) -> tuple[float, list[complex], list[complex]]:
+    """A cascade of sections as direct * x + the sum of weight / (1 - pole / z): direct, poles and weights.
+
+    Of two conjugate poles the upper one is given; the lower one's term is its conjugate."""
+    poles = [complex(p) for s in sections for p in np.roots([1.0, s[3], s[4]])]
+    direct = float(np.prod([s[2] / s[4] for s in sections]))
+    upper = [p for p in poles if p.imag >= 0]
+    weights = []
+    for p in upper:
+        above = np.prod([s[0] + s[1] / p + s[2] / p**2 for s in sections])
+        others = list(poles)
+        others.remove(p)
+        weights.append(complex(above / np.prod([1 - q / p for q in others])))
+    return direct, upper, weights

@@ -6,6 +6,8 @@ works on any partitioning of the samples by channel; nothing is ordered across c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,29 +54,37 @@ def energy_of(samples: Column) -> Column:
     return F.aggregate(F.transform(samples, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
 
 
-def leaky_highpass(samples: Column, alpha: float = 0.99) -> Column:
-    """Samples less a one-pole leaky mean that begins at 0. For short arrays; signals use the Arrow operators."""
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("out"))
+def let(value: Column, then) -> Column:  # noqa: ANN001
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def bin_power(samples: Column, k: Column, n: Column) -> Column:
+    """Squared size of the k-th bin of the discrete Fourier transform of ``n`` samples, by Goertzel's recurrence."""
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+
+    def of(turn: Column) -> Column:
+        step = lambda s, x: F.struct((x + turn * s["a"] - s["b"]).alias("a"), s["a"].alias("b"))
+        return F.aggregate(samples, start, step, lambda s: s["a"] * s["a"] + s["b"] * s["b"] - turn * s["a"] * s["b"])
 
-    def step(a: Column, x: Column) -> Column:
-        y = alpha * a["y"] + (1 - alpha) * x.cast("double")
-        return F.struct(y.alias("y"), F.concat(a["out"], F.array(x.cast("double") - y)).alias("out"))
+    return let(2 * F.cos(F.lit(2 * math.pi) * k / n), of)
 
-    return F.aggregate(samples, start, step, lambda a: a["out"])
 
+def band_energy_of(samples: Column, rate: float, low: float, high: float) -> Column:
+    """Power of an array of samples in a band: one-sided Hamming periodogram, bins from ``low`` to ``high`` times their width. Null samples count as 0; null for fewer than two samples."""
+    n = F.size(samples)
+    weights = F.transform(F.sequence(F.lit(0), n - 1), lambda i: 0.54 - 0.46 * F.cos(F.lit(2 * math.pi) * i / (n - 1)))
+    first = F.ceil(F.lit(float(low)) * n / rate - 1e-9).cast("int")
+    last = F.least(F.floor(F.lit(float(high)) * n / rate + 1e-9), F.floor(n / 2)).cast("int")
+    sided = lambda k: F.when((k == 0) | (2 * k == n), 1.0).otherwise(2.0)
+    bins = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
-def decaying_energy(windows: DataFrame, keys: tuple[str, ...], order: str, samples: str, decay: float = 0.3, depth: int = 34) -> DataFrame:
-    """Energy of a buffer that decays by ``decay`` from window to window and adds each window's samples.
+    def of(w: Column) -> Column:
+        weighted = F.zip_with(samples, w, lambda x, v: F.coalesce(x.cast("double"), F.lit(0.0)) * v)
+        total = let(weighted, lambda x: F.aggregate(bins, F.lit(0.0), lambda a, k: a + sided(k) * bin_power(x, k, n)))
+        return total / (F.aggregate(w, F.lit(0.0), lambda a, v: a + v * v) * n)
 
-    The recurrence is a weighted sum of the windows before; past ``depth`` windows a weight
-    is under the precision of a double, so a frame of that many rows is enough."""
-    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(depth - 1), 0)
-    held = F.collect_list(samples).over(frame)
-    n = F.size(F.col(samples))
-    weight = lambda k: F.pow(F.lit(decay), (F.size("held_") - 1 - k).cast("double"))
-    at = lambda j: F.aggregate(F.transform("held_", lambda w, k: F.get(w, j).cast("double") * weight(k)), F.lit(0.0), lambda a, x: a + x)
-    out = windows.withColumn("held_", held).withColumn("buffer_", F.transform(F.sequence(F.lit(0), n - 1), at))
-    return out.withColumn("energy", energy_of(F.col("buffer_"))).drop("held_", "buffer_")
+    return F.when(n > 1, let(weights, of))
 
 
 # Baseline statistics and vetoes of the clip detector

@@ -7,18 +7,24 @@ contact labels, labelled documents are annotated clips whose score is their leng
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from ..functions.dsp import butter_band, run_sections
 from ..operators import channels as C
 from ..operators import evaluation as V
 from ..operators import patterns as P
+from ..operators import recurrence as R
 from ..operators import signal as G
+from ..operators import stimulation as D
 from ..sources import tables as T
+from ..sources.shared import written
 from . import clips as clips_of
 from . import studies
 
@@ -269,18 +275,118 @@ b as (select n.chan, n.win, n.j, sum(o.x * pow(0.3, n.win - o.win)) as b from a
 select chan, win, round(sqrt(sum(b * b)), 6) as amplitude from b group by 1, 2"""
 )
 def decay_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = windowed(spark, sf_dir).groupBy("chan", "win").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("s"))
-    return G.decaying_energy(w, ("chan",), "win", "s").select("chan", "win", F.round(F.sqrt("energy"), 6).alias("amplitude"))
+    w = windowed(spark, sf_dir).withColumn("place", F.col("i") % 5)
+    return R.decaying_energy(w, ("chan",), "win", "place", "x").select("chan", "win", F.round(F.sqrt("energy"), 6).alias("amplitude"))
 
 
-@query(
-    """select vec_id, k::integer as k, round(embedding[k]::double - list_sum(list_transform(range(1, k + 1), lambda j: 0.01 * pow(0.99, k - j) * embedding[j]::double)), 9) as high
-from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as k from embeddings)"""
-)
+def vector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of embeddings as samples: ``vec_id``, ``i`` (from 0) and ``x``."""
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+
+
+PLACES = "(select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as k from embeddings)"
+
+
+@query(f"select vec_id, k::integer as k, round(embedding[k]::double - list_sum(list_transform(range(1, k + 1), lambda j: 0.01 * pow(0.99, k - j) * embedding[j]::double)), 9) as high from {PLACES}")
 def leaky_highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All samples of every window."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(G.leaky_highpass(F.col("embedding"))).alias("k", "high"))
-    return e.select("vec_id", (F.col("k") + 1).alias("k"), F.round("high", 9).alias("high"))
+    high = R.leaky_mean(vector_samples(spark, sf_dir), 0.99, ("vec_id",), "i", "x")
+    return high.select("vec_id", (F.col("i") + 1).alias("k"), F.round("high", 9).alias("high"))
+
+
+@query(f"with {EV} select a.event_id, round(any_value(a.x) - sum(0.01 * pow(0.99, a.i - b.i) * b.x), 6) as high from ev a join ev b on a.chan = b.chan and b.i <= a.i group by 1")
+def leaky_highpass_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole channels, whose filter state goes from block to block."""
+    high = R.leaky_mean(samples(spark, sf_dir), 0.99, ("chan",), "i", "x", block=16)
+    return high.select("event_id", F.round("high", 6).alias("high"))
+
+
+#: Band-pass and notch of the clip detector, for samples taken 200 times a second; and what they answer to a single 1.
+RATE = 200.0
+BAND_PASS, NOTCH = butter_band(4, 1, 50, RATE), butter_band(2, 58, 62, RATE, stop=True)
+BOTH = np.concatenate([BAND_PASS, NOTCH])
+
+
+def response(sections: np.ndarray, n: int) -> str:
+    return "[" + ", ".join(repr(float(y)) for y in run_sections(sections, np.eye(n, 1)[:, 0:1])[:, 0]) + "]"
+
+
+def convolved(sections: np.ndarray) -> str:
+    return f"with h as (select {response(sections, 64)}::double[] as h) select vec_id, k::integer as k, round(list_sum(list_transform(range(1, k + 1), lambda j: h[k - j + 1] * embedding[j]::double)), 6) as y from {PLACES}, h"
+
+
+def filtered_vectors(spark: SparkSession, sf_dir: str, sections: np.ndarray) -> DataFrame:
+    y = R.filtered(vector_samples(spark, sf_dir), sections, ("vec_id",), "i", "x")
+    return y.select("vec_id", (F.col("i") + 1).alias("k"), F.round("filtered", 6).alias("y"))
+
+
+@query(convolved(BAND_PASS))
+def bandpass_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band-pass of every vector as a window of samples."""
+    return filtered_vectors(spark, sf_dir, BAND_PASS)
+
+
+@query(convolved(NOTCH))
+def notch_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notch of every vector as a window of samples."""
+    return filtered_vectors(spark, sf_dir, NOTCH)
+
+
+@query(f"with {EV}, h as (select {response(BOTH, 256)}::double[] as h) select a.event_id, round(sum(h[a.i - b.i + 1] * b.x), 3) as y from ev a join ev b on a.chan = b.chan and b.i <= a.i, h group by 1")
+def filtered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band-pass and notch of whole channels in one scan, whose state goes from block to block."""
+    return R.filtered(samples(spark, sf_dir), BOTH, ("chan",), "i", "x", block=16).select("event_id", F.round("filtered", 3).alias("y"))
+
+
+#: Vectors as windows of half a second: bins are 2 Hz wide.
+SECOND = 128.0
+SPECTRUM = {"inband": (1, 30), "hf": (40, 62), "line": (49, 51)}
+
+
+def power_sql(low: float, high: float) -> str:
+    """Sum over the bins of a band of the squared Fourier sums, by the definition."""
+    part = lambda f: f"pow(list_sum(list_transform(range(0, 64), lambda n: wx[n + 1] * {f}(2 * pi() * k * n / 64))), 2)"
+    return f"list_sum(list_transform(range({math.ceil(low / 2)}, {math.floor(high / 2)} + 1), lambda k: case when k in (0, 32) then 1 else 2 end * ({part('cos')} + {part('sin')}))) / (64 * ww)"
+
+
+SPECTRA = f"""v as (select vec_id, label, list_transform(range(0, 64), lambda n: embedding[n + 1]::double * (0.54 - 0.46 * cos(2 * pi() * n / 63))) as wx,
+  list_sum(list_transform(range(0, 64), lambda n: pow(0.54 - 0.46 * cos(2 * pi() * n / 63), 2))) as ww from embeddings),
+b as (select vec_id, label, {", ".join(f"{power_sql(*f)} as {name}" for name, f in SPECTRUM.items())} from v)"""
+
+
+def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", *(G.band_energy_of(F.col("embedding"), SECOND, *f).alias(name) for name, f in SPECTRUM.items()))
+
+
+@query(f"with {SPECTRA} select vec_id, round(inband, 9) as inband, round(hf, 9) as hf, round(line, 9) as line from b")
+def band_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra(spark, sf_dir).select("vec_id", *(F.round(c, 9).alias(c) for c in SPECTRUM))
+
+
+@query(
+    f"""with {SPECTRA}, m as (select label, median(hf) as med from b group by 1), d as (select b.label, median(abs(hf - med)) as mad from b join m using (label) group by 1),
+z as (select vec_id, hf / (inband + {S.EPS}) as share, (hf - med) / (1.4826 * mad + {S.EPS}) as z, line / (inband + {S.EPS}) > 0.1 as line_bad from b join m using (label) join d using (label))
+select vec_id, share >= 0.2 and (z >= 2 or share > 0.6) as hf_bad, line_bad from z"""
+)
+def spectral_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both vetoes of the clip detector on band powers; a label is a channel."""
+    b = spectra(spark, sf_dir)
+    m = b.groupBy("label").agg(F.median("hf").alias("med"))
+    d = b.join(m, "label").groupBy("label").agg(F.median(F.abs(F.col("hf") - F.col("med"))).alias("mad"))
+    z = b.join(m, "label").join(d, "label").withColumn("z", (F.col("hf") - F.col("med")) / (1.4826 * F.col("mad") + S.EPS))
+    return z.select("vec_id", G.hf_veto(F.col("hf"), F.col("inband"), F.col("z"), 0.2, 2.0, 0.6).alias("hf_bad"), G.line_noise_veto(F.col("line"), F.col("inband"), 0.1).alias("line_bad"))
+
+
+@query(
+    f"""with recursive {EV}, w as (select chan, i // 2 as win, count(*) filter (where x > 80) as over from ev group by 1, 2),
+r as (select chan, win, over as counter from w where win = 0
+  union all select w.chan, w.win, greatest(0, r.counter - case when (w.win + 1) % 6 = 0 then 2 else 0 end) + w.over from r join w on w.chan = r.chan and w.win = r.win + 1)
+select chan, win, counter::bigint as counter from r"""
+)
+def bad_channel_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loud samples of each channel, counted by windows of two; every sixth window takes two back."""
+    w = samples(spark, sf_dir).groupBy("chan", F.floor(F.col("i") / 2).alias("win")).agg(F.count_if(F.col("x") > 80).alias("over"))
+    return R.bad_counter(w, "over", ("chan",), "win", every=6, less=2, block=8).select("chan", "win", F.col("counter").cast("long").alias("counter"))
 
 
 BANDS = "b as (select vec_id, label, list_sum(list_transform(embedding[49:64], lambda x: x::double * x::double)) as hf, list_sum(list_transform(embedding[1:32], lambda x: x::double * x::double)) as inband from embeddings)"
@@ -386,6 +492,41 @@ def clip_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("clip").cast("long").alias("clip"), F.when(F.col("score") <= 1e9, F.round("score", 6)).alias("score"), "detected", "onset")
 
 
+#: The whole clip detector on events as samples of 200 Hz: windows of 5 samples, six before the stimulation, 3 s of it, then all others.
+DETECTED = clips_of.ClipParams(window=0.025, n=2, hf_band=(70.0, 95.0), hf_spare=0.3, hf_z=3.0, hf_ratio=0.8, line_ratio=0.2, threshold=1.0, margin=0.012)
+DETECT = f"h as (select {response(BOTH, 256)}::double[] as h), " + EV + """, y as (
+  select a.chan, a.i, any_value(a.x) as x, sum(h[a.i - b.i + 1] * b.x) as y from ev a join ev b on a.chan = b.chan and b.i <= a.i, h group by 1, 2),
+n as (select chan, count(*) as n from ev group by 1),
+w as (select y.*, n, case when i < 30 then i // 5 else (i - 33) // 5 + 6 end as win, case when i < 30 then i % 5 else (i - 33) % 5 end as j from y join n using (chan)
+  where i < 30 or (i >= 33 and 33 + ((i - 33) // 5 + 1) * 5 <= n)),
+wh as (select sum(pow(0.54 - 0.46 * cos(2 * pi() * j / 4), 2)) * 5 as ww from range(5) as u(j)),
+f as (select chan, win, k, 2 * (pow(sum(x * (0.54 - 0.46 * cos(2 * pi() * j / 4)) * cos(2 * pi() * k * j / 5)), 2) + pow(sum(x * (0.54 - 0.46 * cos(2 * pi() * j / 4)) * sin(2 * pi() * k * j / 5)), 2)) as e
+  from w, range(1, 3) as v(k) group by 1, 2, 3),
+l as (select chan % 10 as clip, chan, win, ll, hf, inband from (select chan, win, sum(step) as ll from (select *, coalesce(abs(y - lag(y) over (partition by chan, win order by i)), 0) as step from w) group by 1, 2)
+  join (select chan, win, max(case when k = 2 then e end) / any_value(ww) as hf, max(case when k = 1 then e end) / any_value(ww) as inband from f, wh group by 1, 2) using (chan, win)),
+cn as (select chan, n, sum(pow(0.54 - 0.46 * cos(2 * pi() * i / (n - 1)), 2)) * n as ww from ev join n using (chan) group by 1, 2),
+cf as (select ev.chan, k, n, case when 2 * k = n then 1 else 2 end * (pow(sum(x * (0.54 - 0.46 * cos(2 * pi() * i / (n - 1))) * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * (0.54 - 0.46 * cos(2 * pi() * i / (n - 1))) * sin(2 * pi() * k * i / n)), 2)) / any_value(ww) as e
+  from ev join cn using (chan), range(1, 51) as v(k) where k <= n / 2 and k * 200.0 / n <= 61 group by 1, 2, 3),
+c as (select chan % 10 as clip, chan, coalesce(sum(e) filter (where k * 200.0 / n between 59 and 61), 0) as line, coalesce(sum(e) filter (where k * 200.0 / n between 1 and 50), 0) as whole from cf group by 1, 2),
+""" + STUDY[STUDY.index("b as (select *, row_number()") : STUDY.index("c as (select clip, chan, sum(line)")].replace(" and clip <> 7", "") + STUDY[STUDY.index("e as (select c.*") :].replace(">= 0.3 and", ">= 0.3 and").replace("e.line / (e.whole", "e.line / (e.whole").replace("> 0.4 as line_bad", "> 0.2 as line_bad").replace("l.clip % 3 = 0 and l.win - 6 >= 8 + l.clip - 0.5 as cap_bad", "l.clip % 3 = 0 and 0.165 + (l.win - 6) * 0.025 >= 0.3 + l.clip / 100.0 - 0.012 as cap_bad").replace(" and l.clip <> 8", "")
+
+
+def detected_clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Windows of the clips, judged; and the clips."""
+    rows = samples(spark, sf_dir).select((F.col("chan") % 10).cast("string").alias("clip"), "chan", "i", "x")
+    id_ = F.col("id")
+    listed = spark.range(10).select(id_.cast("string").alias("clip"), F.lit(0.15).alias("stim_on"), F.lit(0.165).alias("stim_off"), F.when(id_ % 3 == 0, 0.3 + id_ / 100).alias("next_stim_on"), F.array().cast("array<string>").alias("candidates"))
+    found = clips_of.sample_features(rows, listed, RATE, DETECTED)
+    return clips_of.windows(found, listed, DETECTED), listed
+
+
+@query(f"with {DETECT} select clip, chan::integer as chan, win::integer as win, case when abs(z) < 1e6 then round(z, 4) end as z, hf_bad, line_bad, cap_bad from z")
+def clip_detector_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clip detector from samples on: filters, line lengths, band powers, baselines, scores and vetoes of all windows."""
+    w, _ = detected_clips(spark, sf_dir)
+    return w.select(F.col("clip").cast("long").alias("clip"), "chan", "win", F.when(F.abs("z") < 1e6, F.round("z", 4)).alias("z"), "hf_bad", "line_bad", "cap_bad")
+
+
 ABOVE = ZED + """, a as (select clip, chan, win, win - row_number() over (partition by clip, chan order by win) as island from z where valid and z > 0.8),
 u as (select clip, chan, min(win) as start, max(win) as stop, count(*) as length from a group by clip, chan, island)"""
 
@@ -455,6 +596,60 @@ def schmitt_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.schmitt(samples(spark, sf_dir), "x", 40, 10, ("chan",), "i").select("event_id", F.col("on").alias("on_state"))
 
 
+#: The detector on events as windows: seconds are hours and days, and thresholds suit values of about 50.
+RULE = D.Rule(on=40.0, off=12.0, vote_rows=5, vote_least=3, separation_seconds=6 * HOUR, baseline_rows=10, baseline_kept=5, look_seconds=5 * 24 * HOUR, ratio=1.2345, saturation=6.0, cool_seconds=2 * HOUR, history_rows=8, history_least=2)
+#: The same as a state machine that takes one row after the other.
+MACHINE = f"""recursive {EV}, r as (
+  select chan, -1::bigint as i, 0.0::double as t, false as is_on, []::boolean[] as v, null::double as last_on, null::double as last_off, 0 as stim, list_transform(range({RULE.baseline_rows}), lambda k: 0.0::double) as quiet,
+    null::double as base, null::double as sat, []::boolean[] as hist, false as told, false as begins, false as ends, false as ad from (select distinct chan from ev)
+  union all
+  select chan, i, t, begins or (is_on and not ends), case when begins then [] else v end, case when begins then t else last_on end, case when ends then t else last_off end, stim, case when is_on then quiet else list_append(quiet[2:], x) end,
+    base, sat, hist, told or ad, begins, ends, ad from (
+   select *, look and len(list_filter(hist, lambda b: b)) >= {RULE.history_least} and not told as ad from (
+    select * exclude (hist, stim, told), stim + begins::int as stim, told and not begins as told,
+      case when look then list_append(hist, ratio > {RULE.ratio} and ratio < {RULE.saturation} and not coalesce(t - sat < {RULE.cool_seconds}, false))[-{RULE.history_rows}:] else [] end as hist from (
+     select * exclude (sat), case when ratio > {RULE.saturation} then t else sat end as sat from (
+      select *, case when is_on or look then case when base = 0 and x > 0 then 'inf'::double when base = 0 then null else x / base end end as ratio from (
+       select * exclude (base), case when begins then list_sum(quiet[1:{RULE.baseline_kept}]) / {RULE.baseline_kept} else base end as base from (
+        select *, not is_on and len(list_filter(v, lambda b: b)) >= {RULE.vote_least} and (last_on is null or t > last_on + {RULE.separation_seconds}) as begins, is_on and x < {RULE.off} as ends from (
+         select ev.chan, ev.i, ev.t, ev.x, r.is_on, r.last_on, r.last_off, r.stim, r.quiet, r.base, r.sat, r.hist, r.told,
+           case when r.is_on then r.v else list_append(r.v, ev.x > {RULE.on})[-{RULE.vote_rows}:] end as v,
+           not r.is_on and r.last_off is not null and not ev.t > r.last_off + {RULE.look_seconds} as look
+         from r join ev on ev.chan = r.chan and ev.i = r.i + 1))))))))"""
+
+
+def powers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir).select("chan", "i", "t", F.col("x").alias("power"))
+
+
+@query(f"with {MACHINE} select chan, i as on_i, end_i as off_i, round(t, 3) as on_t, round(end_t, 3) as off_t from (select *, lead(i) over w as end_i, lead(t) over w as end_t from r where begins or ends window w as (partition by chan order by i)) where begins")
+def stim_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stimulations of every channel: votes, hysteresis and a least separation."""
+    found = D.stimulations(powers(spark, sf_dir), RULE)
+    return found.select("chan", "on_i", "off_i", F.round("on", 3).alias("on_t"), F.round("off", 3).alias("off_t"))
+
+
+EVENT_LOG_SQL = f"with {MACHINE} select chan, kind, i, round(t, 3) as t, stim from (select *, unnest([case when begins then 'stim_on' end, case when ends then 'stim_off' end, case when ad then 'ad' end]) as kind from r) where kind is not null"
+
+
+@query(EVENT_LOG_SQL)
+def rt_detector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector's log: stimulations, and the first window of each that looks like a discharge."""
+    return D.event_log(powers(spark, sf_dir), RULE).select("chan", "kind", "i", F.round("t", 3).alias("t"), "stim")
+
+
+@query(f"with {MACHINE} select chan, i, is_on, stim, round(base, 6) as baseline, len(list_filter(hist, lambda b: b)) as votes from r where i >= 0")
+def detector_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State behind every window: whether the channel is on, its frozen baseline, its votes since the latest reset."""
+    rows = powers(spark, sf_dir)
+    found = written(D.stimulations(rows, RULE), "stimulations")
+    states = D.detector_rows(rows, found, RULE)
+    later = F.coalesce(F.lead("is_on").over(Window.partitionBy("chan").orderBy("i")), F.lit(None))
+    last = states.withColumn("later", later).join(found.select("chan", F.col("on_i").alias("i"), F.lit(True).alias("begins")), ["chan", "i"], "left").join(found.select("chan", F.col("off_i").alias("i"), F.lit(True).alias("ends")), ["chan", "i"], "left")
+    is_on = F.coalesce("later", S.true_if(F.col("begins")) | (F.col("is_on") & ~S.true_if(F.col("ends"))))
+    return last.select("chan", "i", is_on.alias("is_on"), "stim", F.round("baseline", 6).alias("baseline"), F.col("votes").cast("long").alias("votes"))
+
+
 # Events
 
 

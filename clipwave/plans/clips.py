@@ -25,6 +25,7 @@ from ..functions import scalars as S
 from ..operators import channels as C
 from ..operators import evaluation as V
 from ..operators import patterns as P
+from ..operators import recurrence as R
 from ..operators import signal as G
 
 
@@ -123,6 +124,38 @@ def features(channels: DataFrame, clips: DataFrame, p: ClipParams = ClipParams()
     return timed.select("clip", "chan", "rate", "samples", "stim_on", "stim_off").mapInArrow(work, FEATURES)
 
 
+def sample_features(rows: DataFrame, clips: DataFrame, rate: float, p: ClipParams = ClipParams()) -> DataFrame:  # noqa: B008
+    """FEATURES as ``features`` gives them, without Python: filters as scans, band powers as sums of bins. ``rows``: ``clip``, ``chan``, ``i`` (from 0) and ``x``, null counts as 0; ``clips``: ``clip``, ``stim_on``, ``stim_off`` in seconds from the clip's start.
+
+    A channel is dealt by blocks while it is filtered, then by windows; only a channel's own features, and its raw samples for the line noise of the whole clip, come together in a row."""
+    n, half = int(np.floor(p.window * rate + 0.5)), np.floor(rate / 2)
+    sections = dsp.butter_band(p.order, *p.band, rate)
+    if p.notch and rate / 2 > 62:
+        sections = np.concatenate([sections, dsp.butter_band(2, 58, 62, rate, stop=True)])
+    top, high = min(p.hf_band[1], half - 5), min(50.0, half - 1)
+    with_hf = np.isfinite(p.hf_ratio) and top > p.hf_band[0] + 5
+    rows = rows.select("clip", F.col("chan").cast("int").alias("chan"), "i", F.coalesce(F.nanvl(F.col("x").cast("double"), F.lit(None).cast("double")), F.lit(0.0)).alias("x"))
+    y = R.filtered(rows, sections, ("clip", "chan"), "i", "x", "y")
+    mark = lambda c: F.greatest(F.lit(0), F.floor(F.col(c) * rate + 0.5).cast("long"))
+    y = y.join(clips.select("clip", mark("stim_on").alias("on_"), mark("stim_off").alias("off_")), "clip")
+    place = lambda side, win, end, start: F.struct(F.lit(side).alias("side"), F.floor(win / n).cast("int").alias("win"), end.cast("long").alias("end"), start.cast("long").alias("start"))
+    before = F.when(F.col("i") < F.col("on_"), place(0, F.col("i"), F.col("on_"), F.lit(0)))
+    behind = F.when(F.col("i") >= F.col("off_"), place(1, F.col("i") - F.col("off_"), F.lit(None), F.col("off_")))
+    places = F.array(before, behind)
+    w = y.withColumn("place_", F.explode(F.filter(places, lambda v: v.isNotNull()))).groupBy("clip", "chan", "place_").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("s"))
+    # Complete windows: the last before the stimulation ends with it.
+    whole_window = (F.size("s") == n) & F.coalesce((F.col("place_.win") + 1) * n <= F.col("place_.end"), F.lit(True))
+    xs, ys = F.transform("s", lambda v: v["x"]), F.transform("s", lambda v: v["y"])
+    w = w.where(whole_window).select("clip", "chan", "place_.side", "place_.win", ((F.col("place_.start") + F.col("place_.win") * n) / F.lit(float(rate))).alias("t"), G.line_length_of(ys).alias("ll"), (G.band_energy_of(xs, rate, p.hf_band[0], top) if with_hf else F.lit(0.0)).alias("hf"), G.band_energy_of(xs, rate, 1, high).alias("inband"))
+    base, post = F.when(F.col("side") == 0, F.struct("ll", "hf")), F.when(F.col("side") == 1, F.struct("win", "t", "ll", "hf", "inband"))
+    parts = w.groupBy("clip", "chan").agg(F.collect_list(base).alias("base"), F.array_sort(F.collect_list(post)).alias("post"))
+    raw = rows.groupBy("clip", "chan").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("s"))
+    line = G.band_energy_of(F.col("s"), rate, 59, 61) if np.isfinite(p.line_ratio) and rate / 2 > 61 else F.lit(0.0)
+    ends = raw.select("clip", "chan", F.coalesce(line, F.lit(0.0)).alias("line"), F.coalesce(G.band_energy_of(F.col("s"), rate, 1, high), F.lit(0.0)).alias("whole"))
+    none = lambda c: F.coalesce(c, F.array().cast(parts.schema[c].dataType))
+    return ends.join(parts, ["clip", "chan"], "left").select("clip", "chan", none("base").alias("base"), none("post").alias("post"), "line", "whole")
+
+
 def saturation_from(contacts: DataFrame, clips: DataFrame, p: ClipParams) -> DataFrame:
     """``clip`` and ``cut``: the first of two consecutive windows after the stimulation in which a stimulated contact is louder than ``saturation`` of its loudest during it; windows in the dead time don't count. ``clips``: with ``stim_pair``."""
 

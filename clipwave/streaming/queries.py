@@ -1,71 +1,33 @@
-"""Queries of the detectors on synthetic recordings; SQL can't express them."""
+"""Queries that need Python: the detector as a stream, files of recordings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import clips, studies
-from ..plans.catalogue import query
+from ..plans.catalogue import EVENT_LOG_SQL, RULE, query, read, samples
 from ..sources import eeg
-from . import jobs
+from . import channels
 
 
-@query()
-def stim_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stimulations of recordings that are stored in stretches of 11 seconds, so a boundary cuts each."""
-    return jobs.session_stimulations(eeg.read_eeg(spark, clips=4, seconds=30, rate=1000, piece_seconds=11))
-
-
-@query()
-def rt_detector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.event_table(jobs.replay(eeg.blocks(eeg.read_eeg(spark, clips=2, seconds=20, rate=1000), 250)))
-
-
-@query()
-def rt_detector_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.event_table(jobs.run_stream(eeg.blocks(eeg.read_eeg(spark, clips=2, seconds=20, rate=1000), 250)))
-
-
-@query()
-def rt_sim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = jobs.timing(eeg.blocks(eeg.read_eeg(spark, clips=2, seconds=20, rate=1000), 250))
-    return t.agg(F.max("max_block_ms").alias("max_block_ms"), F.median("real_time_factor").alias("median_real_time_factor"))
-
-
-def recorded_clips(spark: SparkSession, clips: int, rate: float = 500) -> tuple[DataFrame, DataFrame]:
-    """Contacts of synthetic clips and their list; in odd clips a discharge follows the stimulation."""
-    s = eeg.read_eeg(spark, clips=clips, seconds=22, rate=rate, piece_seconds=22)
-    listed = s.select("clip").distinct().select("clip", F.lit("LA3-LA4").alias("stim_pair"), F.lit(eeg.ON).alias("stim_on"), F.lit(eeg.OFF).alias("stim_off"), F.lit(None).cast("double").alias("next_stim_on"))
-    return s.select("clip", "label", "rate", "samples"), listed
-
-
-@query()
-def bandpass_linelength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detector B on clips from their samples to scores."""
-    return clips.detect(*recorded_clips(spark, 4))
-
-
-@query()
-def replay_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replay in blocks of four sizes, then evaluation: one row of metrics for each size."""
-    s = eeg.read_eeg(spark, clips=4, seconds=20, rate=1000)
-    found = jobs.replay_by_size(s)
-    told = s.select("clip").distinct().withColumn("k", F.regexp_extract("clip", "_ev([0-9]+)", 1).cast("int") % 2)
-    marks = told.select("clip", F.when(F.col("k") == 1, "y").otherwise("n").alias("AD"), F.when(F.col("k") == 1, eeg.OFF).alias("AD_onset"), F.lit(eeg.ON).alias("stimOn"), F.lit(eeg.OFF).alias("stimOff"))
-    log = found.select("block_ms", "clip", F.when(F.col("kind") == "ad", F.col("t")).alias("t"))
-    return studies.evaluate(log, marks, ("block_ms",))[1]
+def vector_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as recordings: eight of them are the channels of a clip of one second."""
+    e = read(spark, sf_dir, "embeddings").where("embedding is not null")
+    chan = (F.col("vec_id") % 8).cast("int")
+    return e.select(F.concat(F.lit("clip"), F.floor(F.col("vec_id") / 8).cast("string")).alias("clip"), chan.alias("chan"), F.concat(F.lit("LA"), (chan + 1).cast("string")).alias("label"), F.lit(64.0).alias("rate"), F.lit(0).cast("long").alias("first_sample"), F.transform("embedding", lambda x: x.cast("double")).alias("samples"))
 
 
 @query()
 def edf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = eeg.to_edf(eeg.read_eeg(spark, clips=2, seconds=4, rate=500, piece_seconds=4))
+    """Clips as files: their sizes and digests."""
+    e = eeg.to_edf(vector_clips(spark, sf_dir))
     return e.select("clip", F.octet_length("edf").alias("n_bytes"), F.sha2("edf", 256).alias("sha256"))
 
 
-@query()
-def export_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From recordings in stretches to trimmed clips of the channels."""
-    index, cut = studies.export_clips(eeg.read_eeg(spark, clips=2, seconds=30, rate=500, piece_seconds=11), pre=5, post=5)
-    sizes = cut.groupBy("clip").agg(F.count("*").alias("channels"), F.min("first_sample").alias("first_sample"), F.min(F.size("samples")).alias("least"), F.max(F.size("samples")).alias("most"))
-    return index.select("clip", "event", F.round("clip_start", 6).alias("clip_start"), F.round("clip_end", 6).alias("clip_end")).join(sizes, "clip")
+@query(EVENT_LOG_SQL)
+def rt_detector_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector's log of ``rt_detector_batch``, from a stream of files with state for each channel."""
+    s = samples(spark, sf_dir)
+    ts = F.expr("timestamp_micros(cast(round(t * 1000000) as bigint))")
+    found = channels.replay(s.select("chan", "event_id", ts.alias("ts"), "t", F.col("x").alias("power")), RULE)
+    return found.select("chan", "kind", "i", F.round("t", 3).alias("t"), "stim")
