@@ -39,7 +39,8 @@ import json
 import re
 import unicodedata
 from array import array
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import ahocorasick
@@ -100,15 +101,36 @@ def holds_unassigned(text: str) -> bool:
     return bool(codes.max() >= ALL_ASSIGNED and unassigned()[codes].any())
 
 
+class Words(dict):
+    """Token ids of words, as int32 bytes; what isn't there is encoded when it is looked up."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 @dataclass(eq=False)
 class Bpe:
     """Tables of one tokenizer file."""
 
     path: str
-    words: dict[str, bytes] = field(default_factory=dict)
-    older: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self.words = Words(self.encode_word)
         spec = json.load(open(self.path, encoding="utf-8"))
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
@@ -270,20 +292,7 @@ class Bpe:
         return [bytes(byte[c] for c in piece).decode() for piece, _ in cut.pre_tokenize_str(normal.normalize_str(text))]
 
     def encode_plain(self, text: str) -> bytes:
-        known, out = self.words, []
-        for w in self.split(text):
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    self.older, self.words = known, {}
-                    known = self.words
-                ids = self.older.get(w)
-                if ids is None:
-                    ids = self.encode_word(w)
-                if len(w) <= 64:
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids (int32) of a text; null is empty."""
@@ -338,7 +347,7 @@ def _loaded() -> list[Bpe]:
 def _forget_words() -> None:
     """An idle worker keeps the vocabulary's tables, not the words of its last task."""
     for b in _loaded():
-        b.words, b.older = {}, {}
+        b.words.forget()
         b.compatible.clear()
 
 

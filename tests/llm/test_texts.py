@@ -56,7 +56,7 @@ def test_bpe_of_every_code_point(library):
         texts = [f"a{c}1" for c in every[k : k + 50_000]]
         for t, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
             assert encoder.encode(t).tolist() == want.ids, ascii(t)
-    encoder.words, encoder.older = {}, {}
+    encoder.words.forget()
 
 
 def test_bpe_of_random_code_points(library):
