@@ -168,3 +168,32 @@ def event_log(rows: DataFrame, rule: Rule, keys: tuple[str, ...] = ("chan",)) ->
     told = detector_rows(rows, found, rule, keys).where(F.col("look") & (F.col("votes") >= rule.history_least)).select(*keys, "stim", "i", "t")
     ads = first_per(told, (*keys, "stim"), ("i",)).select(*keys, F.lit("ad"), "i", "t", "stim")
     return begin.union(end).union(ads)
+
+
+def first_stimulations(rows: DataFrame, rule: Rule, most: int, chunk_seconds: float, keys: tuple[str, ...] = ("chan",), read: list[int] | None = None) -> DataFrame:
+    """The first ``most`` stimulations of each channel: ``event``, ``on``, ``off`` and ``dur_s``, searched chunk by chunk of time.
+
+    Each chunk is searched on its own, and a stimulation that lasts ends with its chunk. Chunks
+    are taken in waves of 1, 2, 4, ... for all channels at once; channels that have enough leave before
+    the next wave (an anti-join), so nothing behind it is searched for them. ``read`` takes up the
+    number of rows of each wave."""
+    at = F.floor(F.col("t") / chunk_seconds)
+    span = rows.agg(F.min(at).alias("first"), F.max(at).alias("last")).first()
+    left, found, begin, width = rows, None, span["first"], 1
+    schema = [*keys, "chunk"]
+    while begin is not None and begin <= span["last"]:
+        wave = left.where(at.between(begin, begin + width - 1)).withColumn("chunk", at)
+        order = Window.partitionBy(*schema).orderBy("i")
+        chunked = wave.withColumn("i", F.row_number().over(order) - 1)
+        ends = chunked.groupBy(*schema).agg(F.max("t").alias("end"), F.count("*").alias("n"))
+        if read is not None:
+            read.append(ends.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        new = stimulations(chunked, rule, tuple(schema)).join(ends, schema).select(*keys, "on", F.coalesce("off", "end").alias("off"))
+        found = written(new if found is None else found.unionByName(new), "stimulation-waves")
+        done = found.groupBy(*keys).count().where(F.col("count") >= most).select(*keys)
+        left = rows.join(done, list(keys), "left_anti")
+        begin, width = begin + width, 2 * width
+    if found is None:
+        return rows.select(*keys, F.lit(0).alias("event"), F.col("t").alias("on"), F.col("t").alias("off"), F.col("t").alias("dur_s")).limit(0)
+    event = F.row_number().over(Window.partitionBy(*keys).orderBy("on"))
+    return found.withColumn("event", event).where(F.col("event") <= most).select(*keys, "event", "on", "off", (F.col("off") - F.col("on")).alias("dur_s"))

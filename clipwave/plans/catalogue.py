@@ -23,8 +23,9 @@ from ..operators import patterns as P
 from ..operators import recurrence as R
 from ..operators import signal as G
 from ..operators import stimulation as D
+from ..sources import segments as X
 from ..sources import tables as T
-from ..sources.shared import written
+from ..sources.shared import new_path, written
 from . import clips as clips_of
 from . import studies
 
@@ -650,6 +651,37 @@ def detector_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("chan", "i", is_on.alias("is_on"), "stim", F.round("baseline", 6).alias("baseline"), F.col("votes").cast("long").alias("votes"))
 
 
+#: Stimulations of each stretch of five days on its own, as a state machine.
+CHUNK = 5 * 24 * HOUR
+CHUNKED = f"""recursive {EV}, ck as (select chan, t, x, floor(t / {CHUNK}) as chunk, row_number() over (partition by chan, floor(t / {CHUNK}) order by i) - 1 as i, max(t) over (partition by chan, floor(t / {CHUNK})) as ends_at from ev),
+s as (select distinct chan, chunk, -1::bigint as i, 0.0::double as t, 0.0::double as ends_at, false as is_on, []::boolean[] as v, null::double as last_on, false as begins, false as ends from ck
+  union all
+  select chan, chunk, i, t, ends_at, begins or (is_on and not ends), case when begins then [] else v end, case when begins then t else last_on end, begins, ends from (
+   select *, not is_on and len(list_filter(v, lambda b: b)) >= {RULE.vote_least} and (last_on is null or t > last_on + {RULE.separation_seconds}) as begins, is_on and x < {RULE.off} as ends from (
+    select ck.chan, ck.chunk, ck.i, ck.t, ck.x, ck.ends_at, s.is_on, s.last_on, case when s.is_on then s.v else list_append(s.v, ck.x > {RULE.on})[-{RULE.vote_rows}:] end as v
+    from s join ck on ck.chan = s.chan and ck.chunk = s.chunk and ck.i = s.i + 1))),
+st as (select chan, t as on_t, coalesce(case when lead(ends) over w then lead(t) over w end, ends_at) as off_t, begins from s where begins or ends window w as (partition by chan, chunk order by i))"""
+
+
+@query(f"with {CHUNKED} select chan, event::integer as event, round(on_t, 3) as on_t, round(off_t, 3) as off_t, round(off_t - on_t, 3) as dur_s from (select *, row_number() over (partition by chan order by on_t) as event from st where begins) where event <= 2")
+def first_stims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two stimulations of each channel with their durations, from a search that ends early."""
+    found = D.first_stimulations(powers(spark, sf_dir), RULE, 2, CHUNK)
+    return found.select("chan", "event", F.round("on", 3).alias("on_t"), F.round("off", 3).alias("off_t"), F.round("dur_s", 3).alias("dur_s"))
+
+
+@query(f"with {EV} select chan % 10 as session, chan, i, round(x, 6) as x from ev where i between 3 * (chan % 10) and 3 * (chan % 10) + 20 and chan % 10 <> 4")
+def segment_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stored as segments, and a range of each session but one read back."""
+    path = new_path(spark, "segments")
+    rows = samples(spark, sf_dir).select((F.col("chan") % 10).alias("session"), "chan", F.col("i").cast("long").alias("i"), "x")
+    X.write_segments(X.segments(rows, 8), path, 16)
+    id_ = F.col("id")
+    ranges = spark.range(10).where("id <> 4").select(id_.alias("range"), id_.cast("int").alias("session"), (3 * id_).alias("first"), (3 * id_ + 20).alias("last"))
+    found = X.read_ranges(spark, path, ranges, 16).select(F.col("session").cast("long").alias("session"), "chan", "first_sample", F.posexplode("samples").alias("k", "x"))
+    return found.select("session", "chan", (F.col("first_sample") + F.col("k")).alias("i"), F.round("x", 6).alias("x"))
+
+
 # Events
 
 

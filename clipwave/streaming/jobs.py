@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterator
 from functools import partial
 
@@ -97,22 +96,6 @@ def replay_by_size(segments: DataFrame, sizes_ms: tuple[int, ...] = (100, 250, 5
     return sized.groupBy("clip", "block_ms").applyInArrow(work, f"{EVENT}, block_ms int")
 
 
-def timing(blocks: DataFrame) -> DataFrame:
-    """``clip``, ``max_block_ms`` and ``real_time_factor`` of the detector's steps."""
-
-    def work(table: pa.Table) -> pa.Table:
-        rate = first_of(table, "rate")
-        d, spent, samples = Detector(first_of(table, "labels"), rate), [], 0
-        for block in blocks_of(table):
-            t = time.perf_counter()
-            d.feed(block)
-            spent.append(time.perf_counter() - t)
-            samples += len(block)
-        return pa.table({"clip": [first_of(table, "clip")], "max_block_ms": [1000 * max(spent)], "real_time_factor": [samples / rate / sum(spent)]})
-
-    return blocks.groupBy("clip").applyInArrow(work, "clip string, max_block_ms double, real_time_factor double")
-
-
 def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timeout: bool = False) -> Iterator[pd.DataFrame]:
     """One micro-batch of one clip. Blocks that come before their turn wait in the state; ones
     that were seen are dropped. When MOST_WAITING wait, or nothing comes any more, a block that

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans.catalogue import EVENT_LOG_SQL, RULE, query, read, samples
 from ..sources import eeg
-from . import channels
+from ..sources.shared import new_path
+from . import annotations, channels
 
 
 def vector_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,3 +32,15 @@ def rt_detector_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.expr("timestamp_micros(cast(round(t * 1000000) as bigint))")
     found = channels.replay(s.select("chan", "event_id", ts.alias("ts"), "t", F.col("x").alias("power")), RULE)
     return found.select("chan", "kind", "i", F.round("t", 3).alias("t"), "stim")
+
+
+@query("select user_id as clip, event_type as decision from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
+def annotation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as annotations of clips (users) that arrive in files: the current decision of each, after a stream of upserts."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), F.col("event_type").alias("decision"), F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id").alias("turn"))
+    source, path, checkpoint = (new_path(spark, n) for n in ("annotations", "annotation-versions", "annotation-state"))
+    e.repartition(6, "turn").write.parquet(source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    annotations.follow(stream, path, checkpoint, ("clip",), "turn")
+    found = annotations.current(spark, path, ("clip",), "turn")
+    return found.select("clip", "decision")
