@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalogue import EVENT_LOG_SQL, RULE, query, read, samples
-from ..sources import eeg
+from ..sources import eeg, files
 from ..sources.shared import new_path
 from . import annotations, channels
 
@@ -25,6 +25,18 @@ def edf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("clip", F.octet_length("edf").alias("n_bytes"), F.sha2("edf", 256).alias("sha256"))
 
 
+@query()
+def edf_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips written as committed files in two runs, of which the second skips what the first wrote, and read back."""
+    path = new_path(spark, "edf-files")
+    clips = vector_clips(spark, sf_dir).withColumn("name", F.concat("clip", F.lit(".edf")))
+    for chosen in (clips.where(F.crc32("name") % 2 == 0), clips):
+        made = eeg.to_edf(files.new_only(chosen, path))
+        files.write_files(made.select(F.concat("clip", F.lit(".edf")).alias("name"), F.col("edf").alias("content")), path)
+    found = files.read_files(spark, path)
+    return found.select(F.regexp_replace("name", "[.]edf$", "").alias("clip"), F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 @query(EVENT_LOG_SQL)
 def rt_detector_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detector's log of ``rt_detector_batch``, from a stream of files with state for each channel."""

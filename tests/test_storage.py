@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clipwave.operators import stimulation as D
 from clipwave.sources import eeg
+from clipwave.sources import files as W
 from clipwave.sources import segments as X
 from clipwave.streaming import annotations as A
 from clipwave.streaming import queries as Q
@@ -120,4 +121,28 @@ def test_files_of_vectors(spark):
     for clip, channels in clips.items():
         raw = eeg.edf_bytes([f"LA{c + 1}" for c in sorted(channels)], 64.0, np.array([channels[c] for c in sorted(channels)]).T)
         want[clip] = (len(raw), hashlib.sha256(raw).hexdigest())
-    assert {r["clip"]: (r["n_bytes"], r["sha256"]) for r in Q.edf_files(spark, f"{DATA}/sf0.001").collect()} == want
+    for query in (Q.edf_files, Q.edf_export):
+        found = query(spark, f"{DATA}/sf0.001").collect()
+        assert {r["clip"]: (r["n_bytes"], r["sha256"]) for r in found} == want and len(found) == len(want)
+
+
+def test_files_are_committed_together(spark, tmp_path):
+    path = f"file://{tmp_path}/files"
+    rows = lambda *r: spark.createDataFrame(r, "name string, content binary").repartition(3)
+    held = lambda: {r["name"]: None if r["content"] is None else bytes(r["content"]) for r in W.read_files(spark, path).collect()}
+    assert held() == {}
+    W.write_files(rows(("a.edf", b"1"), ("s1/b.edf", b"\0\xff"), ("s1/empty.edf", None)), path)
+    assert held() == {"a.edf": b"1", "s1/b.edf": b"\0\xff", "s1/empty.edf": b""}
+    with pytest.raises(Exception, match="not a name"):
+        W.write_files(rows(*((f"c{i}.edf", b"2") for i in range(20)), ("../out", b"3")), path)
+    assert len(held()) == 3 and not (tmp_path / "files" / "out").exists()
+    data = tmp_path / "files" / "data"
+    assert sum(len([f for f in d.rglob("*") if f.is_file()]) for d in data.iterdir()) == 3  # the failed write left nothing
+    # A folder that no manifest names, as of a task whose executor was lost.
+    (data / "lost").mkdir()
+    (data / "lost" / "d.edf").write_bytes(b"4")
+    assert len(held()) == 3
+    W.write_files(W.new_only(rows(("a.edf", b"other"), ("e.edf", b"5")), path), path)
+    assert held() == {"a.edf": b"1", "s1/b.edf": b"\0\xff", "s1/empty.edf": b"", "e.edf": b"5"}
+    W.write_files(rows(("x", b"")).limit(0), path)
+    assert {r["content"] for r in W.read_files(spark, path, content=False).collect()} == {None} and len(held()) == 4
