@@ -151,13 +151,13 @@ def evaluable(truth: Column, onset: Column, offset: Column, stim_on: Column, ong
     return ~(truth & (carried | short))
 
 
-def onset_error(errors: DataFrame, error: str = "error") -> DataFrame:
-    """Median and Hazen quartiles of onset errors. Errors are aggregated to one row for each value first."""
-    hist = errors.where(F.col(error).isNotNull()).groupBy(F.col(error).cast("double").alias("score")).agg(F.count("*").alias("pos"), F.lit(0).cast("long").alias("neg"))
-    t = totals_above(hist).select("score", F.col("pos_all").alias("n"), (F.col("pos_all") - F.col("pos_above")).alias("last"), (F.col("pos_all") - F.col("pos_above") - F.col("pos") + 1).alias("first"))
+def onset_error(errors: DataFrame, error: str = "error", by: tuple[str, ...] = ()) -> DataFrame:
+    """Median and Hazen quartiles of onset errors, for each of ``by``. Errors are aggregated to one row for each value first."""
+    hist = errors.where(F.col(error).isNotNull()).groupBy(*by, F.col(error).cast("double").alias("score")).agg(F.count("*").alias("pos"), F.lit(0).cast("long").alias("neg"))
+    t = totals_above(hist, by).select(*by, "score", F.col("pos_all").alias("n"), (F.col("pos_all") - F.col("pos_above")).alias("last"), (F.col("pos_all") - F.col("pos_above") - F.col("pos") + 1).alias("first"))
     n, quartiles = F.col("n"), {"median": 0.5, "q25": 0.25, "q75": 0.75}
     at = {c: F.greatest(F.lit(1.0), F.least(n.cast("double"), p * n + F.lit(0.5))) for c, p in quartiles.items()}
     value = lambda k: F.max(F.when((F.col("first") <= k) & (k <= F.col("last")), F.col("score")))
     ends = [x for c in quartiles for x in (value(F.floor(at[c])).alias(f"{c}_low"), value(F.least(n, F.floor(at[c]) + 1)).alias(f"{c}_high"))]
-    found = t.agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"), *ends)
-    return found.select("n", *((F.col(f"{c}_low") + (F.col(f"{c}_high") - F.col(f"{c}_low")) * (at[c] - F.floor(at[c]))).alias(c) for c in quartiles))
+    found = t.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"), *ends)
+    return found.select(*by, "n", *((F.col(f"{c}_low") + (F.col(f"{c}_high") - F.col(f"{c}_low")) * (at[c] - F.floor(at[c]))).alias(c) for c in quartiles))

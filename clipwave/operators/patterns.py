@@ -119,7 +119,8 @@ def next_onset(events: DataFrame, keys: tuple[str, ...], least: float = 1e-6) ->
     cols = [c for c in events.columns if c not in keys]
     ends = events.select(*keys, (F.col("off") + least).alias("at_"), F.lit(0).alias("side_"), F.struct(*cols).alias("e_"))
     ons = events.select(*keys, F.col("on").alias("at_"), F.lit(-1).alias("side_"), F.lit(None).cast(ends.schema["e_"].dataType).alias("e_"))
-    later = Window.partitionBy(*keys).orderBy("at_", "side_").rowsBetween(1, Window.unboundedFollowing)
+    # From the end on: a frame up to the end would be gone through anew for each row.
+    later = Window.partitionBy(*keys).orderBy(F.desc("at_"), F.desc("side_")).rowsBetween(Window.unboundedPreceding, -1)
     found = F.min(F.when(F.col("side_") == -1, F.col("at_"))).over(later)
     both = ends.union(ons).withColumn("next_on", F.coalesce(found, F.lit(float("inf"))))
     return both.where("side_ = 0").select(*keys, "e_.*", "next_on")
@@ -131,9 +132,9 @@ def nearest(events: DataFrame, marks: DataFrame, keys: tuple[str, ...], low: flo
     Marks before and after an event come from running extremes over one sort of both."""
     e = events.select(*keys, F.col("on").alias("t_"), F.lit(1).alias("side_"), "event", F.lit(None).cast("long").alias("mark"))
     m = marks.groupBy(*keys, "at").agg(F.min("mark").alias("mark")).select(*keys, F.col("at").alias("t_"), F.lit(0).alias("side_"), F.lit(None).cast("long").alias("event"), "mark")
-    w = Window.partitionBy(*keys).orderBy("t_", "side_", "mark")
+    w, back = Window.partitionBy(*keys).orderBy("t_", "side_", "mark"), Window.partitionBy(*keys).orderBy(F.desc("t_"), F.desc("side_"), F.desc("mark"))
     mark = F.when(F.col("side_") == 0, F.struct(F.col("t_").alias("at"), "mark"))
-    both = e.union(m).withColumns({"before_": F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after_": F.first(mark, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    both = e.union(m).withColumns({"before_": F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after_": F.last(mark, True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
     dt = lambda c: F.col(f"{c}.at") - F.col("t_")
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct((~((dt(c) > low) & (dt(c) < high))).cast("int").alias("out"), F.abs(dt(c)).alias("away"), F.col(f"{c}.at").alias("at"), F.col(f"{c}.mark").alias("mark")))
     best = F.array_min(F.filter(F.array(option("before_"), option("after_")), lambda x: x.isNotNull()))

@@ -418,7 +418,7 @@ def line_noise_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {EV}, s as (select chan, t as on_ from ev where event_type = 'error'), n as (select event_id, t, (select min(on_) from s where s.chan = ev.chan and on_ > ev.t + 1e-6) as nx from ev) select event_id, coalesce(t >= nx - 7200, false) as cap_bad from n")
 def next_event_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = samples(spark, sf_dir)
-    onset = F.min(F.when(F.col("event_type") == "error", F.col("t"))).over(Window.partitionBy("chan").orderBy("t", "event_id").rowsBetween(1, Window.unboundedFollowing))
+    onset = F.min(F.when(F.col("event_type") == "error", F.col("t"))).over(Window.partitionBy("chan").orderBy(F.desc("t"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1))
     return e.select("event_id", G.next_stim_veto(F.col("t"), onset, 7200).alias("cap_bad"))
 
 
@@ -880,7 +880,7 @@ select b::integer as block_ms, tp, fn, fp, tn, round(tp / nullif(tp + fn, 0), 9)
   round((tp + tn) / nullif(tp + fn + fp + tn, 0), 9) as acc, round(onset_median, 4) as onset_median, round(fp / minutes, 9) as fp_per_min from n"""
 )
 def block_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation of event logs of four block sizes: one row of metrics for each. Loud events are the log, and the same for all sizes, as a detector's is (``replay_sweep`` replays one)."""
+    """Evaluation of event logs of four block sizes: one row of metrics for each. Loud events are the log, and the same for all sizes, as a detector's is that doesn't wait for a block's end (``block_latency`` evaluates one that does)."""
     s = stims(spark, sf_dir).where("kind = 'error'").select("chan", F.col("event").alias("clip"), "on", (F.col("on") + 3600).alias("off"))
     told = F.when(F.col("clip") % 3 == 0, "u").when(F.col("clip") % 3 == 1, "y").otherwise("n")
     marks = s.select("clip", told.alias("AD"), (F.col("on") + 60).alias("AD_onset"), F.col("on").alias("stimOn"), F.col("off").alias("stimOff"))
@@ -892,6 +892,31 @@ def block_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m).select("block_ms", "tp", "fn", "fp", "tn", "sens", "spec", "ppv", "fpr", "acc", F.round("onset_median", 4).alias("onset_median"), F.round("fp_per_min", 9).alias("fp_per_min"))
 
 
+HAZEN = lambda name, p: f"list_sort(list({name}) filter (where {name} is not null))[greatest(1, least(count({name}), floor({p} * count({name}) + 0.5)))::int] + (list_sort(list({name}) filter (where {name} is not null))[least(count({name}), greatest(1, floor({p} * count({name}) + 0.5)) + 1)::int] - list_sort(list({name}) filter (where {name} is not null))[greatest(1, least(count({name}), floor({p} * count({name}) + 0.5)))::int]) * (greatest(1, least(count({name}), {p} * count({name}) + 0.5)) - floor(greatest(1, least(count({name}), {p} * count({name}) + 0.5))))"
+
+
+@query(
+    f"""with {STIM}, s as (select chan, event, case when event % 3 = 0 then 'u' when event % 3 = 1 then 'y' else 'n' end as ad, on_, on_ + 3600 as off_ from q where kind = 'error'),
+a as (select chan, b, (floor(t / (b * 3600)) + 1) * (b * 3600) as t from ev, unnest([1, 6, 12, 24]) as u(b) where x > 45),
+d as (select b, s.*, (select min(t) from a where a.b = u.b and a.chan = s.chan and a.t >= on_ and a.t <= off_ + 86400) as det from s, unnest([1, 6, 12, 24]) as u(b)),
+n as (select *, case when ad = 'y' then det - (on_ + 60) end as late from d)
+select b::integer as block_hours, count(*) filter (where ad = 'y' and det is not null) as tp, count(*) filter (where ad = 'y' and det is null) as fn, count(*) filter (where ad = 'n' and det is not null) as fp, count(*) filter (where ad = 'n' and det is null) as tn,
+  round(median(late), 4) as onset_median, round({HAZEN("late", 0.25)}, 4) as onset_q25, round({HAZEN("late", 0.75)}, 4) as onset_q75 from n group by b"""
+)
+def block_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector that reports at the end of its block, for blocks of four sizes: counts and quartiles of onset errors."""
+    s = stims(spark, sf_dir).where("kind = 'error'").select("chan", F.col("event").alias("clip"), "on", (F.col("on") + 3600).alias("off"))
+    told = F.when(F.col("clip") % 3 == 0, "u").when(F.col("clip") % 3 == 1, "y").otherwise("n")
+    marks = s.select("clip", told.alias("AD"), (F.col("on") + 60).alias("AD_onset"), F.col("on").alias("stimOn"), F.col("off").alias("stimOff"))
+    sizes = F.explode(F.array(*(F.lit(b) for b in (1, 6, 12, 24))))
+    loud = samples(spark, sf_dir).where("x > 45").select("chan", "t", sizes.alias("block_hours")).select("chan", "block_hours", ((F.floor(F.col("t") / (F.col("block_hours") * 3600)) + 1) * (F.col("block_hours") * 3600)).cast("double").alias("t")).distinct()
+    replayed = s.select("chan", "clip", "on", (F.col("off") + 86400).alias("until"), sizes.alias("block_hours"))
+    near = P.within(loud, replayed, ("chan", "block_hours"), "t", "on", "until", 86400.0).select("block_hours", "clip", "t")
+    log = near.union(replayed.select("block_hours", "clip", F.lit(None).cast("double")))
+    m = studies.evaluate(log, marks, ("block_hours",), post=86400.0)[1]
+    return m.select("block_hours", "tp", "fn", "fp", "tn", *(F.round(c, 4).alias(c) for c in ("onset_median", "onset_q25", "onset_q75")))
+
+
 # Sources and sinks
 
 

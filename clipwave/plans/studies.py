@@ -60,7 +60,7 @@ def evaluate(detections: DataFrame, annotations: DataFrame, by: tuple[str, ...]
     ``detections``: ``by``, ``clip``, ``t``; a clip that was replayed without a detection has
     a row with null ``t``, one that wasn't replayed has none and is left out. ``annotations``: ``clip``,
     ``AD`` (y, n or other: not scored, but its time counts), ``AD_onset``, ``stimOn``, ``stimOff``.
-    A detection counts from the stimulation to ``post`` seconds after its end."""
+    A detection counts from the stimulation to ``post`` seconds after its end. Onset errors by median and Hazen quartiles."""
     inside = (F.col("t") >= F.col("stimOn")) & (F.col("t") <= F.col("stimOff") + post)
     near = detections.groupBy(*by, "clip", "t").agg(F.lit(1).alias("x_")).join(annotations, "clip")
     each = near.groupBy(*by, "clip").agg(F.first("AD").alias("AD"), F.first("AD_onset").alias("gt_onset"), F.min(F.when(inside, F.col("t"))).alias("det_onset"), F.first((F.col("stimOff") + post - F.col("stimOn")) / 60).alias("minutes"))
@@ -69,8 +69,10 @@ def evaluate(detections: DataFrame, annotations: DataFrame, by: tuple[str, ...]
     counts = V.confusion(scored, F.col("AD") == "y", F.col("detected"), by)
     minutes = each.groupBy(*by).agg(F.sum("minutes").alias("minutes"))
     wrong = F.when((F.col("AD") == "y") & F.col("detected"), F.col("det_onset") - F.col("gt_onset"))
-    errors = scored.groupBy(*by).agg(F.median(wrong).alias("onset_median"))
-    joined = counts.join(minutes, list(by)).join(errors, list(by)) if by else counts.withColumn("o_", F.lit(1)).join(minutes.withColumn("o_", F.lit(1)), "o_").join(errors.withColumn("o_", F.lit(1)), "o_").drop("o_")
+    errors = V.onset_error(scored.select(*by, wrong.alias("error")), by=by).select(*by, *(F.col(c).alias(f"onset_{c}") for c in ("median", "q25", "q75")))
+    one = lambda df: df if by else df.withColumn("o_", F.lit(1))
+    on = list(by) or ["o_"]
+    joined = one(counts).join(one(minutes), on).join(one(errors), on, "left").drop("o_")
     return each, joined.withColumn("fp_per_min", F.col("fp") / F.greatest(F.col("minutes"), F.lit(S.EPS)))
 
 

@@ -147,7 +147,7 @@ def run_stream(blocks: DataFrame, files: int = 3) -> DataFrame:
 
 def event_table(log: DataFrame) -> DataFrame:
     """Stimulation rows with their ends (null while open) and discharges, from an event log. An end belongs to the last onset before it: one sort of both, no join."""
-    later = Window.partitionBy("clip", "channel").orderBy("t").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("clip", "channel").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
     ends = F.min(F.when(F.col("kind") == "stim_off", F.col("t"))).over(later)
     stim = log.where("kind in ('stim_on', 'stim_off')").withColumn("off_time", ends).where("kind = 'stim_on'")
     stim = stim.select("clip", F.lit("stim").alias("kind"), "channel", F.col("t").alias("on_time"), "off_time")
