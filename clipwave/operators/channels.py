@@ -57,13 +57,16 @@ def clip_channels(contacts: DataFrame, stim: tuple[str, str], mode: str = "elect
     return same.where((F.col("number") >= 1) & F.col("number").isin(low - 1, low, high, high + 1)).select("label", "number").distinct()
 
 
-def candidates(pairs_: DataFrame, stims: DataFrame, k: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
-    """For each stimulation (``stim_id``, ``electrode``, ``a``, ``b``: contact numbers) the k nearest pairs of its electrode that share no contact with it. ``keys`` name the recording."""
-    j = pairs_.join(stims, [*keys, "electrode"])
+def candidates(pairs_: DataFrame, stims: DataFrame, k: int = 2, keys: tuple[str, ...] = (), same_electrode: bool = True) -> DataFrame:
+    """For each stimulation (``stim_id``, ``electrode``, ``a``, ``b``: contact numbers) the k nearest pairs that share no contact with it: of its electrode, or with ``same_electrode`` off of any of the recording that ``keys`` name, near by contact number."""
+    if not same_electrode and not keys:
+        raise ValueError("pairs of any electrode are those of one recording: name its keys")
+    stims = stims.withColumnRenamed("electrode", "electrode_")
+    j = pairs_.withColumn("electrode_", F.col("electrode")).join(stims, [*keys, "electrode_"]) if same_electrode else pairs_.join(stims, list(keys))
     low, high = F.col("number"), F.col("number") + 1
-    free = j.where(~low.isin(F.col("a"), F.col("b")) & ~high.isin(F.col("a"), F.col("b")))
+    free = j.where(~((F.col("electrode") == F.col("electrode_")) & (low.isin(F.col("a"), F.col("b")) | high.isin(F.col("a"), F.col("b")))))
     away = F.abs((low + high) / 2 - (F.col("a") + F.col("b")) / 2)
-    w = Window.partitionBy("stim_id").orderBy("away", "number")
+    w = Window.partitionBy("stim_id").orderBy("away", "number", "electrode")
     return free.withColumn("away", away).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("stim_id", "first", "second", "away", F.col("rank").cast("long").alias("rank"))
 
 

@@ -94,17 +94,16 @@ def robust_baseline(ll: DataFrame, chan: str = "chan", value: str = "ll", trim:
     """Median and MAD of each channel's lowest windows: the upper ``trim`` of them is left out."""
     w = Window.partitionBy(*keys, chan)
     ranked = ll.withColumns({"r_": F.row_number().over(w.orderBy(value)), "n_": F.count("*").over(w)})
-    kept = ranked.where(F.col("r_") <= F.greatest(F.lit(1), F.floor(F.col("n_") * (1 - trim) + 1e-9)))
-    med = kept.groupBy(*keys, chan).agg(F.median(value).alias("med"), F.count("*").alias("n_baseline"))
-    mad = kept.join(med.select(*keys, chan, "med"), [*keys, chan]).groupBy(*keys, chan).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    return med.join(mad, [*keys, chan])
+    kept = ranked.where(F.col("r_") <= F.greatest(F.lit(1), F.floor(F.col("n_") * (1 - trim) + 1e-9))).withColumn("med_", F.median(value).over(w))
+    # Ranks, medians and deviations all by one shuffle on the channel.
+    return kept.groupBy(*keys, chan).agg(F.first("med_").alias("med"), F.count("*").alias("n_baseline"), F.median(F.abs(F.col(value) - F.col("med_"))).alias("mad"))
 
 
 def z_scores(ll: DataFrame, baseline: DataFrame, clip: str = "clip", chan: str = "chan", value: str = "ll", floor: float = 0.25) -> DataFrame:
     """Line lengths in units of the baseline: 1.4826 MAD, but at least ``floor`` of the median of the clip's channel medians."""
-    middle = baseline.groupBy(clip).agg(F.median("med").alias("gmed"))
+    based = baseline.withColumn("gmed", F.median("med").over(Window.partitionBy(clip)))
     scale = F.greatest(1.4826 * F.col("mad"), floor * F.col("gmed")) + EPS
-    return ll.join(baseline, [clip, chan]).join(middle, clip).withColumn("z", (F.col(value) - F.col("med")) / scale)
+    return ll.join(based, [clip, chan]).withColumn("z", (F.col(value) - F.col("med")) / scale)
 
 
 def hf_veto(hf: Column, inband: Column, z_hf: Column, spare: float = 0.2, z: float = 5.0, ratio: float = 1.0) -> Column:

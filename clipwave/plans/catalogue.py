@@ -528,6 +528,59 @@ def clip_detector_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.col("clip").cast("long").alias("clip"), "chan", "win", F.when(F.abs("z") < 1e6, F.round("z", 4)).alias("z"), "hf_bad", "line_bad", "cap_bad")
 
 
+#: The same with a clip for each channel, which gives as many clips as there are users; and what is known of them.
+ONE_CHANNEL = DETECT.replace("chan % 10 as clip", "chan as clip").replace("l.clip / 100.0", "l.clip % 10 / 100.0") + """,
+v as (select *, not (hf_bad or line_bad or cap_bad) as valid from z),
+r as (select clip, win, case when n = 2 then low else -'inf'::double end as run_min from (
+  select clip, win, min(case when valid then z else -'inf'::double end) over f as low, count(*) over f as n from v window f as (partition by clip order by win rows between current row and 1 following))),
+b as materialized (select clip, run_min as score, win from r qualify row_number() over (partition by clip order by run_min desc, win) = 1),
+sc as (select chan as clip, n, coalesce(score, -'inf'::double) as score, case when score > -'inf'::double then 0.165::double + 0.025::double * win end as onset from n left join b on b.clip = n.chan)""".replace("b as materialized", "best as").replace("left join b on b.clip", "left join best on best.clip")
+ANNOTATED = ONE_CHANNEL + """, an as (select clip, n, score, onset, clip % 3 = 0 as truth, 0.215 as ad_onset, 0.215 + clip % 7 as ad_offset, clip % 11 = 0 as ongoing from sc where clip % 3 < 2)"""
+
+
+def channel_clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of clips of one channel; and the clips."""
+    s = samples(spark, sf_dir)
+    rows = s.select(F.col("chan").cast("string").alias("clip"), F.lit(0).alias("chan"), "i", "x")
+    listed = s.groupBy("chan").agg(F.count("*").alias("n")).select(F.col("chan").cast("string").alias("clip"), F.lit(0.15).alias("stim_on"), F.lit(0.165).alias("stim_off"), F.when(F.col("chan") % 3 == 0, 0.3 + F.col("chan") % 10 / 100).alias("next_stim_on"), F.array().cast("array<string>").alias("candidates"), (F.col("n") / RATE).alias("clip_end"))
+    judged = clips_of.windows(clips_of.sample_features(rows, listed, RATE, DETECTED), listed, DETECTED)
+    return clips_of.scores(judged, listed, DETECTED), listed
+
+
+@query(f"with {ONE_CHANNEL} select clip, case when abs(score) < 1e6 or score = -'inf'::double then round(score, 4) end as score, score > 1.0 as detected, round(onset, 6) as onset from sc")
+def clip_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clip detector from samples to scores, a clip for each channel."""
+    s, _ = channel_clips(spark, sf_dir)
+    return s.select(F.col("clip").cast("long").alias("clip"), F.when((F.abs("score") < 1e6) | (F.col("score") == P.LOWEST), F.round("score", 4)).alias("score"), "detected", F.round("onset", 6).alias("onset"))
+
+
+def annotated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What validation needs of annotated clips."""
+    scored, listed = channel_clips(spark, sf_dir)
+    k = F.col("clip").cast("long")
+    told = F.when(k % 3 == 0, "y").when(k % 3 == 1, "n").otherwise("u")
+    marks = listed.select(F.col("clip").alias("clip_name"), F.concat(F.lit("HUP"), (k % 8).cast("string"), F.lit("_phaseII")).alias("ieeg_name"), told.alias("AD"), F.lit(0.215).alias("AD_onset"), (F.lit(0.215) + k % 7).alias("AD_offset"), (k % 11 == 0).cast("double").alias("ad_ongoing"))
+    placed = listed.select("clip", F.lit(0.0).alias("clip_start"), "clip_end", F.col("stim_on").alias("on"), F.col("stim_off").alias("off"))
+    return clips_of.build_features(scored, placed, marks, DETECTED)
+
+
+@query(
+    f"""with {ANNOTATED} select clip, 'HUP' || (clip % 8) as patient, truth, not (truth and not ongoing and ad_offset - ad_onset < 3) as evaluable, case when abs(score) < 1e6 or score = -'inf'::double then round(score, 4) end as score, round(onset, 6) as onset,
+  round((n / 200.0::double - 0.165::double) / 60, 9) as minutes from an"""
+)
+def ad_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated clips with their scores, as validation takes them."""
+    f = annotated_features(spark, sf_dir)
+    score = F.when((F.abs("score") < 1e6) | (F.col("score") == P.LOWEST), F.round("score", 4))
+    return f.select(F.col("clip").cast("long").alias("clip"), "patient", "truth", "evaluable", score.alias("score"), F.round("onset", 6).alias("onset"), F.round("minutes", 9).alias("minutes"))
+
+
+@query()
+def clip_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole study: clips from their samples to pooled rates, each patient judged by the thresholds of the others."""
+    return clips_of.validate(annotated_features(spark, sf_dir), DETECTED)
+
+
 ABOVE = ZED + """, a as (select clip, chan, win, win - row_number() over (partition by clip, chan order by win) as island from z where valid and z > 0.8),
 u as (select clip, chan, min(win) as start, max(win) as stop, count(*) as length from a group by clip, chan, island)"""
 
@@ -1100,3 +1153,44 @@ def edf_digital(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = T.physical_range(F.col("samples"))
     d = T.digital(F.col("samples"), lo, hi)
     return e.select("vec_id", F.aggregate(d, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("total"))
+
+
+# Small parts
+
+
+ALL_CONTACTS = "ac as (select distinct label, regexp_extract(label, '([A-Za-z]+)([0-9]+)', 1) as e, cast(regexp_extract(label, '([A-Za-z]+)([0-9]+)', 2) as integer) as k from (select replace(n_name, '_', '') as label from nation union all select replace(p_brand, '#', '') from part))"
+
+
+@query(
+    f"""with {ALL_CONTACTS}, s(stim_id, e, x, y) as (values {", ".join(f"({i}, '{e}', {a}, {b})" for i, e, a, b in STIMS)}),
+p as (select a.e, a.k, a.label as first, b.label as second from ac a join ac b on a.e = b.e and b.k = a.k + 1)
+select stim_id, first, second, abs(p.k + 0.5 - (x + y) / 2.0)::double as away, row_number() over (partition by stim_id order by abs(p.k + 0.5 - (x + y) / 2.0), p.k, p.e) as rank
+from p cross join s where not (p.e = s.e and (p.k in (x, y) or p.k + 1 in (x, y))) qualify rank <= 4"""
+)
+def candidate_pairs_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest pairs of any electrode of the recording."""
+    labels = nations(spark, sf_dir).union(read(spark, sf_dir, "part").select(F.replace("p_brand", F.lit("#"), F.lit("")))).distinct()
+    one = F.lit(0).alias("recording")
+    stims_ = spark.createDataFrame(STIMS, "stim_id long, electrode string, a int, b int").select("*", one)
+    return C.candidates(C.pairs(labels.select(one, "label"), ("recording",)), stims_, 4, ("recording",), same_electrode=False)
+
+
+@query("select doc_id, trim(replace(text, chr(10), ' ')) as notes from documents")
+def notes_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as notes of several lines."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.joined_notes(F.split("text", "\n")).alias("notes"))
+
+
+@query("select o_orderpriority as ieeg_name, o_orderkey::double as \"Modifier\", o_totalprice / 1000 as start, o_totalprice / 1000 + 600 as \"end\" from orders")
+def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session list written as CSV and read back, with another name of its end column."""
+    path = new_path(spark, "sessions")
+    price = F.col("o_totalprice") / 1000
+    T.write_csv(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("ieeg_name"), F.col("o_orderkey").alias("Modifier"), price.alias("start"), (price + 600).alias("xEnd")), path)
+    return T.read_sessions(spark, path).select("ieeg_name", F.col("Modifier").cast("double").alias("Modifier"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+
+
+@query(f"with {EV} select chan, i, i // 5 as win from (select *, count(*) over (partition by chan) as n from ev) where (i // 5 + 1) * 5 <= n - 1")
+def windows_without_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows as the stimulation finder takes them: a last one that ends with the channel isn't looked at."""
+    return G.tumble(samples(spark, sf_dir), 5, last="drop").select("chan", "i", "win")

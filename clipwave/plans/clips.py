@@ -27,6 +27,7 @@ from ..operators import evaluation as V
 from ..operators import patterns as P
 from ..operators import recurrence as R
 from ..operators import signal as G
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,7 @@ def candidate_channels(contacts: DataFrame, clips: DataFrame, p: ClipParams = Cl
     a, b = F.substring_index("stim_pair", "-", 1), F.substring_index("stim_pair", "-", -1)
     stims = clips.select("clip", F.col("clip").alias("stim_id"), S.electrode(a).alias("electrode"), S.contact(a).alias("a"), S.contact(b).alias("b"))
     pairs = C.pairs(contacts.select("clip", "label").distinct(), ("clip",))
-    return C.candidates(pairs, stims, p.candidates, ("clip",)).select(F.col("stim_id").alias("clip"), (F.col("rank") - 1).cast("int").alias("chan"), "first", "second")
+    return C.candidates(pairs, stims, p.candidates, ("clip",), same_electrode=False).select(F.col("stim_id").alias("clip"), (F.col("rank") - 1).cast("int").alias("chan"), "first", "second")
 
 
 def bipolar(contacts: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -248,11 +249,9 @@ def build_features(scored: DataFrame, clips: DataFrame, annotations: DataFrame,
 
 def validate(built: DataFrame, p: ClipParams = ClipParams()) -> DataFrame:  # noqa: B008
     """One row: pooled counts and rates of the clips judged by the thresholds of the other patients, false positives a minute, onset errors, AUC, sensitivity at the wanted specificity, suggested threshold."""
-    from .studies import validation_report
-
-    built = built.where("evaluable")
-    judged = validation_report(built, p.threshold)
-    folds = V.leave_one_out(built, F.col("truth"), F.col("score"), "patient", p.threshold)
+    built = written(built.where("evaluable"), "validated-clips")
+    folds = written(V.leave_one_out(built, F.col("truth"), F.col("score"), "patient", p.threshold), "validated-folds")
+    judged = built.join(folds, "patient", "left").withColumn("pred", F.col("score") > F.coalesce("threshold", F.lit(p.threshold)))
     counts = V.confusion(judged, F.col("truth"), F.col("pred"), empty="zero")
     minutes = judged.agg(F.coalesce(F.sum(F.when(~F.col("truth"), F.col("minutes"))), F.lit(0.0)).alias("minutes"))
     errors = V.onset_error(judged.where("truth and pred").select((F.col("onset") - F.col("AD_onset")).alias("error"))).select(*(F.col(c).alias(f"onset_{c}") for c in ("median", "q25", "q75")))

@@ -32,6 +32,16 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return found.select(*cols)
 
 
+def write_csv(table: DataFrame, path: str) -> None:
+    """A result or session list as CSV with a header, quoted so that any text reads back; missing values are empty, empty texts quoted."""
+    table.write.option("header", True).option("escape", '"').option("quoteAll", False).option("emptyValue", '""').option("nullValue", "").mode("overwrite").csv(path)
+
+
+def joined_notes(lines: Column) -> Column:
+    """Lines of a note (an array; null is none) as one text."""
+    return F.trim(F.array_join(F.coalesce(lines, F.array().cast("array<string>")), " "))
+
+
 def samples_per_request(rate: Column | float, channels: Column) -> Column:
     one_second = F.round(F.lit(rate) if not isinstance(rate, Column) else rate).cast("long")
     return F.greatest(one_second, F.floor(SAFETY * REQUEST / channels).cast("long"))

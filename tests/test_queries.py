@@ -64,3 +64,33 @@ def test_every_sample_is_filtered(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_clip_validation(spark):
+    """The study's row from its own features, by brute force."""
+    rows = [r for r in catalogue.annotated_features(spark, DIR).collect() if r["evaluable"]]
+    least = min(r["score"] for r in rows if r["score"] > float("-inf")) - 1
+    score = lambda r: max(r["score"], least)
+
+    def rates(some, t):
+        pos, neg = [r for r in some if r["truth"]], [r for r in some if not r["truth"]]
+        return sum(score(r) > t for r in pos) / len(pos), sum(score(r) <= t for r in neg) / len(neg)
+
+    def chosen(some):
+        found = sorted({score(r) for r in some})
+        return max([found[0] - 1, *found], key=lambda t: (round(sum(rates(some, t)), 12), -t))
+
+    patients = sorted({r["patient"] for r in rows})
+    at = {p: chosen([r for r in rows if r["patient"] != p]) for p in patients}
+    hit = lambda r: r["score"] > at[r["patient"]]
+    got = catalogue.queries()["clip_validation"](spark, DIR).first()
+    assert (got["tp"], got["fn"]) == (sum(r["truth"] and hit(r) for r in rows), sum(r["truth"] and not hit(r) for r in rows))
+    assert (got["fp"], got["tn"]) == (sum(not r["truth"] and hit(r) for r in rows), sum(not r["truth"] and not hit(r) for r in rows))
+    minutes = sum(r["minutes"] for r in rows if not r["truth"])
+    assert got["minutes"] == pytest.approx(minutes) and got["fp_per_min"] == pytest.approx(got["fp"] / minutes)
+    pos, neg = [score(r) for r in rows if r["truth"]], [score(r) for r in rows if not r["truth"]]
+    assert got["auc"] == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg))
+    late = sorted(r["onset"] - r["AD_onset"] for r in rows if r["truth"] and hit(r))
+    assert got["onset_median"] == pytest.approx((late[(len(late) - 1) // 2] + late[len(late) // 2]) / 2)
+    fit = [t for t in [least - 1, least, *{score(r) for r in rows}] if rates(rows, t)[1] >= 0.9]
+    assert got["sens_at_spec"] == pytest.approx(max(rates(rows, t)[0] for t in fit))
