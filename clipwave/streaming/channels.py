@@ -5,7 +5,7 @@ order within the watermark's delay; an event-time timer for the latest row of a
 them to the state in order. What is carried is bounded by the rule's numbers of rows: votes,
 powers of off windows and history, and times of the latest onset, end and saturation.
 
-A row behind the watermark is late and not used (Spark drops it, and counts it in the query's
+A row that comes twice counts once. A row behind the watermark is late and not used (Spark drops it, and counts it in the query's
 progress). A block that is lost isn't waited for: the rows that came count on. A restart from the
 checkpoint goes on with the state and the waiting rows.
 """
@@ -67,31 +67,36 @@ class ChannelDetector(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", STATE)
-        self.waiting = handle.getMapState("waiting", "at long, event long", "t double, power double")
+        #: What came in one batch, by its first row: few entries, as each costs a call.
+        self.waiting = handle.getMapState("waiting", "at long, event long", "at array<long>, event array<long>, t array<double>, power array<double>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        latest = None
-        for f in rows:
-            for at, event, t, power in zip(f["at"], f["event_id"], f["t"], f["power"], strict=True):
-                self.waiting.updateValue((int(at), int(event)), (float(t), float(power)))
-                latest = at if latest is None else max(latest, at)
-        if latest is not None:
-            self.handle.registerTimer(int(latest) // 1000 + 1)
+        came = sorted(r for f in rows for r in zip(map(int, f["at"]), map(int, f["event_id"]), map(float, f["t"]), map(float, f["power"]), strict=True))
+        if came:
+            self.hold(came)
+            self.handle.registerTimer(came[-1][0] // 1000 + 1)
         return iter([])
 
+    def hold(self, rows: list[tuple]) -> None:
+        self.waiting.updateValue(rows[0][:2], tuple(list(c) for c in zip(*rows, strict=True)))
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        due = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if k[0] < passed)
+        held = [(tuple(k), list(zip(*v, strict=True))) for k, v in self.waiting.iterator() if k[0] < passed]
+        due = sorted({r for _, rows in held for r in rows if r[0] < passed})
         if not due:
             return
         names = [part.split()[0] for part in STATE.replace("array<", "").split(", ")]
         s = dict(zip(names, self.state.get(), strict=True)) if self.state.exists() else start(self.rule)
         s |= {c: list(s[c]) for c in ("votes", "quiet", "history")}
         out = []
-        for place, (t, power) in due:
+        for _, _, t, power in due:
             i = s["i"]
             out += [(key[0], kind, i, t, s["stim"]) for kind in advance(s, t, power, self.rule)]
+        for place, rows in held:
             self.waiting.removeKey(place)
+            if later := [r for r in rows if r[0] >= passed]:
+                self.hold(later)
         self.state.update(tuple(s[c] for c in names))
         yield pd.DataFrame(out, columns=["chan", "kind", "i", "t", "stim"])
 
