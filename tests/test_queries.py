@@ -94,3 +94,22 @@ def test_clip_validation(spark):
     assert got["onset_median"] == pytest.approx((late[(len(late) - 1) // 2] + late[len(late) // 2]) / 2)
     fit = [t for t in [least - 1, least, *{score(r) for r in rows}] if rates(rows, t)[1] >= 0.9]
     assert got["sens_at_spec"] == pytest.approx(max(rates(rows, t)[0] for t in fit))
+
+
+def same_as_sql(spark, folder, name, **tables):
+    """The query's rows and its SQL's, exactly, on tables of one's own."""
+    con = duckdb.connect()
+    con.sql("set timezone = 'UTC'")
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    df = catalogue.queries()[name](spark, str(folder))
+    want = con.sql(f"select {', '.join(df.columns)} from ({catalogue.oracle_sql()[name]})").fetchall()
+    assert len(want) and sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_discharges_of_just_the_least_length_count(spark, tmp_path):
+    """A length of 3 seconds isn't under 3, whatever the onset."""
+    docs = spark.range(500).selectExpr("id as doc_id", "'web' as source", "id * 97 + 3 as n_chars")
+    labels = spark.range(500).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    same_as_sql(spark, tmp_path, "classify_trials", documents=docs, labels=labels)
