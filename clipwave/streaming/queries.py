@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..plans.catalogue import EVENT_LOG_SQL, RULE, query, read, samples
 from ..sources import eeg, files
 from ..sources.shared import new_path
@@ -43,7 +44,7 @@ def rt_detector_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
     ts = F.expr("timestamp_micros(cast(round(t * 1000000) as bigint))")
     found = channels.replay(s.select("chan", "event_id", ts.alias("ts"), "t", F.col("x").alias("power")), RULE)
-    return found.select("chan", "kind", "i", F.round("t", 3).alias("t"), "stim")
+    return found.select("chan", "kind", "i", S.rounded("t", 3).alias("t"), "stim")
 
 
 @query("select user_id as clip, event_type as decision from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")

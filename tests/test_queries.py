@@ -105,7 +105,7 @@ def same_as_sql(spark, folder, name, **tables):
         con.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
     df = catalogue.queries()[name](spark, str(folder))
     want = con.sql(f"select {', '.join(df.columns)} from ({catalogue.oracle_sql()[name]})").fetchall()
-    assert len(want) and sorted(map(tuple, df.collect())) == sorted(want)
+    assert len(want) and sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_discharges_of_just_the_least_length_count(spark, tmp_path):
@@ -113,3 +113,12 @@ def test_discharges_of_just_the_least_length_count(spark, tmp_path):
     docs = spark.range(500).selectExpr("id as doc_id", "'web' as source", "id * 97 + 3 as n_chars")
     labels = spark.range(500).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
     same_as_sql(spark, tmp_path, "classify_trials", documents=docs, labels=labels)
+
+
+def test_ratios_halfway_between_two_last_digits(spark, tmp_path):
+    """Ratios such as 1.0355625, whose sixth digit the decimal text and the product with a million round apart."""
+    rows = [(416.14, 128.0), (417.09, 64.0), (480.87, 576.0), (165.69, 1600.0), (327.0, 128.0), (1e305, 10.0)]
+    values = [(u, i, {0: base, 20: x}.get(i, 0.0)) for u, (x, base) in enumerate(rows) for i in range(21)]
+    e = spark.createDataFrame(values, "user_id long, i long, value double")
+    events = e.selectExpr("user_id * 100 + i as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, int(i)) as ts", "user_id", "'view' as event_type", "value")
+    same_as_sql(spark, tmp_path, "rolling_baseline_ratio", events=events.where("i <> 0 or value > 0"))
