@@ -1,12 +1,17 @@
-"""The detector as a stream: one state for each channel, which rows enter in order of time.
+"""The detector as a stream: a state for each channel, which rows enter in order of time.
 
-Rows of a channel wait in a map until the watermark has passed them, so blocks may come in any
-order within the watermark's delay; an event-time timer for the latest row of a batch hands
-them to the state in order. What is carried is bounded by the rule's numbers of rows: votes,
+Channels are dealt by hash into buckets, and a bucket is what Spark keeps a state for: each call
+between Spark and Python costs about a millisecond, so calls go by bucket and batch, not by channel. A replay has
+as many buckets as its rows ask for, so a bucket doesn't grow with the input.
+
+Rows of a bucket wait in a list until the watermark has passed them, so blocks may come in any
+order within the watermark's delay; an event-time timer for the latest row of a bucket's batch hands
+them to their channels' states in order. What is carried for a channel is bounded by the rule's numbers of rows: votes,
 powers of off windows and history, and times of the latest onset, end and saturation.
 
 A row that comes twice counts once. A row behind the watermark is late and not used (Spark drops it, and counts it in the query's
-progress). A block that is lost isn't waited for: the rows that came count on. A restart from the
+progress). A block that is lost isn't waited for: the rows that came count on. Rows of no channel (null) only move the
+watermark, as in the batch plan they join nothing. A restart from the
 checkpoint goes on with the state and the waiting rows.
 """
 
@@ -14,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +30,12 @@ from ..sources.shared import new_path
 
 EVENT = "chan long, kind string, i long, t double, stim int"
 STATE = "is_on boolean, votes array<boolean>, last_on double, ended double, stim int, told boolean, quiet array<double>, base double, saturated double, history array<boolean>, i long"
+#: What a row is and how rows are ordered: by channel, then in time.
+COLUMNS = ("chan", "at", "event_id", "t", "power")
+#: Buckets of channels of a stream, unless told.
+BUCKETS = 1024
+#: About how many rows a replay has for each of its buckets.
+BUCKET_ROWS = 8192
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -61,62 +73,76 @@ def advance(s: dict, t: float, power: float, rule: Rule) -> list[str]:
 
 
 class ChannelDetector(StatefulProcessor):
+    """The detector for the channels of one bucket."""
+
     def __init__(self, rule: Rule) -> None:
         self.rule = rule
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", STATE)
-        #: What came in one batch, by its first row: few entries, as each costs a call.
-        self.waiting = handle.getMapState("waiting", "at long, event long", "at array<long>, event array<long>, t array<double>, power array<double>")
+        #: The states of all channels of the bucket in one value: read and written by one call for each batch.
+        self.states = handle.getValueState("states", f"channels array<struct<chan: long, {STATE.replace(' ', ': ').replace(',:', ',')}>>")
+        #: What came in one batch, as one entry: few entries, as each costs a call.
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} array<{'double' if c in ('t', 'power') else 'long'}>" for c in COLUMNS))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        came = sorted(r for f in rows for r in zip(map(int, f["at"]), map(int, f["event_id"]), map(float, f["t"]), map(float, f["power"]), strict=True))
-        if came:
+        came = [f for f in rows if len(f)]
+        if came and not pd.isna(key[0]):  # rows of no channel only move the watermark
+            came = {c: np.concatenate([f[c].to_numpy(np.float64 if c in ("t", "power") else np.int64) for f in came]) for c in COLUMNS}
             self.hold(came)
-            self.handle.registerTimer(came[-1][0] // 1000 + 1)
+            self.handle.registerTimer(int(came["at"].max()) // 1000 + 1)
         return iter([])
 
-    def hold(self, rows: list[tuple]) -> None:
-        self.waiting.updateValue(rows[0][:2], tuple(list(c) for c in zip(*rows, strict=True)))
+    def hold(self, rows: dict[str, np.ndarray]) -> None:
+        self.waiting.appendValue(tuple(rows[c].tolist() for c in COLUMNS))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [(tuple(k), list(zip(*v, strict=True))) for k, v in self.waiting.iterator() if k[0] < passed]
-        due = sorted({r for _, rows in held for r in rows if r[0] < passed})
-        if not due:
+        held = list(self.waiting.get())
+        rows = {c: np.concatenate([np.array(h[k], dtype=np.float64 if c in ("t", "power") else np.int64) for h in held]) for k, c in enumerate(COLUMNS)} if held else {}
+        if not held or not (rows["at"] < passed).any():
             return
+        self.waiting.clear()
+        later = rows["at"] >= passed
+        if later.any():
+            self.hold({c: v[later] for c, v in rows.items()})
+        due = np.lexsort([rows[c] for c in reversed(COLUMNS)])
+        due = due[~later[due]]
+        rows = {c: v[due] for c, v in rows.items()}
+        again = np.logical_and.reduce([v[1:] == v[:-1] for v in rows.values()])
+        once = np.concatenate([[True], ~again])
         names = [part.split()[0] for part in STATE.replace("array<", "").split(", ")]
-        s = dict(zip(names, self.state.get(), strict=True)) if self.state.exists() else start(self.rule)
-        s |= {c: list(s[c]) for c in ("votes", "quiet", "history")}
-        out = []
-        for _, _, t, power in due:
+        states = {x[0]: tuple(x[1:]) for x in self.states.get()[0]} if self.states.exists() else {}
+        out, chan, s = [], None, {}
+        for c, t, power in zip(*(rows[c][once].tolist() for c in ("chan", "t", "power")), strict=True):
+            if c != chan:
+                if chan is not None:
+                    states[chan] = tuple(s[n] for n in names)
+                chan, s = c, dict(zip(names, states[c], strict=True)) if c in states else start(self.rule)
             i = s["i"]
-            out += [(key[0], kind, i, t, s["stim"]) for kind in advance(s, t, power, self.rule)]
-        for place, rows in held:
-            self.waiting.removeKey(place)
-            if later := [r for r in rows if r[0] >= passed]:
-                self.hold(later)
-        self.state.update(tuple(s[c] for c in names))
+            out += [(c, kind, i, t, s["stim"]) for kind in advance(s, t, power, self.rule)]
+        states[chan] = tuple(s[n] for n in names)
+        self.states.update(([(c, *x) for c, x in states.items()],))
         yield pd.DataFrame(out, columns=["chan", "kind", "i", "t", "stim"])
 
     def close(self) -> None:
         pass
 
 
-def detect(stream: DataFrame, rule: Rule, delay: str = "0 seconds") -> DataFrame:
-    """Events of a stream of windows (``chan``, ``event_id``, ``ts``, ``t``, ``power``); append mode."""
+def detect(stream: DataFrame, rule: Rule, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
+    """Events of a stream of windows (``chan``, ``event_id``, ``ts``, ``t``, ``power``); append mode. ``buckets`` stays what it is for a checkpoint."""
     at = stream.withWatermark("ts", delay).withColumns({"at": F.unix_micros("ts"), "power": F.coalesce("power", F.lit(0.0))})
-    return at.groupBy("chan").transformWithStateInPandas(ChannelDetector(rule), EVENT, "append", "EventTime")
+    bucket = F.when(F.col("chan").isNotNull(), F.pmod(F.xxhash64("chan"), F.lit(buckets)))
+    return at.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(ChannelDetector(rule), EVENT, "append", "EventTime")
 
 
-def run(source: str, schema, rule: Rule, log: str, checkpoint: str, spark, delay: str = "0 seconds", files: int = 1) -> None:  # noqa: ANN001
+def run(source: str, schema, rule: Rule, log: str, checkpoint: str, spark, delay: str = "0 seconds", files: int = 1, buckets: int = BUCKETS) -> None:  # noqa: ANN001
     """Take what is new in the folder ``source``, ``files`` files at a time; append events to ``log``."""
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-        detect(stream, rule, delay).writeStream.format("parquet").option("path", log).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        detect(stream, rule, delay, buckets).writeStream.format("parquet").option("path", log).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
@@ -125,7 +151,7 @@ def replay(rows: DataFrame, rule: Rule, spans: int = 4) -> DataFrame:
     """The log of stored windows, replayed as files of ``spans`` spans of time. Files of a span come in any order, so the watermark is a span late; a last row of no channel moves it over the end."""
     spark = rows.sparkSession
     source, log, checkpoint = (new_path(spark, n) for n in ("windows", "detector-log", "detector-state"))
-    ends = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    ends = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).first()
     if ends["first"] is None:
         return spark.createDataFrame([], EVENT)
     span = (ends["last"] - ends["first"]) / spans
@@ -136,5 +162,5 @@ def replay(rows: DataFrame, rule: Rule, spans: int = 4) -> DataFrame:
     late = int(span.total_seconds()) + 1
     closing = rows.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("chan"), F.lit(0).cast("long").alias("event_id"), (F.col("ts") + F.expr(f"interval {2 * late} seconds")).alias("ts"), F.lit(0.0).alias("t"), F.lit(0.0).alias("power"))
     closing.select(rows.columns).write.mode("append").parquet(source)
-    run(source, rows.schema, rule, log, checkpoint, spark, f"{late} seconds", tasks)
+    run(source, rows.schema, rule, log, checkpoint, spark, f"{late} seconds", tasks, max(4 * tasks, ends["n"] // BUCKET_ROWS))
     return spark.read.schema(EVENT).parquet(log)

@@ -200,6 +200,31 @@ def test_stream_equals_state_machine(spark):
     assert streamed.replay(rows.limit(0), RULE).count() == 0
 
 
+def test_stream_counts_rows_once_that_come_in_two_batches(spark, tmp_path):
+    """A second batch that begins with the first's first row doesn't take the place of the first."""
+    data = some_channels()
+    want = sorted((c, k, i, s) for c, rows in data.items() for k, i, s in machine(rows, RULE)[0])
+    rows = windows(spark, data)
+    source, log, checkpoint = (f"file://{tmp_path}/{n}" for n in ("in", "out", "state"))
+    for some in (rows, rows.where("event_id % 3 = 0"), windows(spark, {99: [(1e6, 0.0)]}), windows(spark, {99: [(2e6, 0.0)]})):
+        some.coalesce(1).write.mode("append").parquet(source)
+        streamed.run(source, rows.schema, RULE, log, checkpoint, spark, "10000 seconds")
+    assert logs(spark.read.schema(streamed.EVENT).parquet(log)) == want
+
+
+def test_stream_keeps_few_states_for_many_channels(spark, tmp_path):
+    """Each call for a state costs about a millisecond: a bucket's channels share them."""
+    rows = windows(spark, {c: [(float(i), 9.0 if i < 4 else 0.5) for i in range(8)] for c in range(300)})
+    log, checkpoint = (f"file://{tmp_path}/{n}" for n in ("out", "state"))
+    for some in (rows, windows(spark, {999: [(1e6, 0.0)]})):
+        some.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        streamed.run(f"file://{tmp_path}/in", rows.schema, RULE, log, checkpoint, spark, buckets=8)
+    states = spark.read.format("statestore").option("stateVarName", "states").load(checkpoint)
+    found = logs(spark.read.schema(streamed.EVENT).parquet(log))
+    assert len(found) == 300 * len(machine([(float(i), 9.0 if i < 4 else 0.5) for i in range(8)], RULE)[0])
+    assert 0 < states.count() <= 8
+
+
 def test_stream_goes_on_from_its_checkpoint_and_drops_late_rows(spark, tmp_path):
     data = some_channels()
     want = sorted((c, k, i, s) for c, rows in data.items() for k, i, s in machine(rows, RULE)[0])
