@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import default_path, load
+from .bpe import default_path
 from .common import ARROW_ROWS, begin, finish, slices
+from .wordmerges import merges
 
 #: Open windows of a task before it settles them: at 4096 tokens of 4 bytes, 64 MB at most.
 MOST_OPEN = 4096
@@ -154,7 +155,7 @@ def pack(docs: DataFrame, window: int = 4096, end: int = 2, path: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("bpe")
-        bpe, packer = load(path), Packer(window)
+        words, packer = merges(path), Packer(window)
         number = TaskContext.get().partitionId() * SEQUENCES
         held: list[tuple] = []
         names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
@@ -176,8 +177,8 @@ def pack(docs: DataFrame, window: int = 4096, end: int = 2, path: str | None = N
 
         for part in slices(batches, text):
             key_type = part.column(key).type
-            for doc, t in zip(part.column(key).to_pylist(), part.column(text).to_pylist(), strict=True):
-                ids = np.append(bpe.encode(t), np.int32(end))
+            for doc, encoded in zip(part.column(key).to_pylist(), words.encode_texts(part.column(text).to_pylist()), strict=True):
+                ids = np.append(encoded, np.int32(end))
                 for full in packer.add((doc, len(ids)), ids):
                     keep(full)
                     if len(held) >= ARROW_ROWS:

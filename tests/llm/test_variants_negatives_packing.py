@@ -286,3 +286,31 @@ def test_settling_keeps_every_token(monkeypatch, most):
             assert ids.tolist() == list(range(start, start + len(ids)))
             at[doc] += ids.tolist()
         assert {d: sorted(x) for d, x in at.items()} == {d: list(range(n)) for d, n in size.items()}
+
+
+def test_words_are_merged_many_at_once(monkeypatch):
+    """Packing gets a slice's new words by matrices of merges, as the encoder of single words and the library give them."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from clipwave.llm import bpe
+    from clipwave.llm.wordmerges import merges
+
+    rng, path = random.Random(2), public_tokenizers.path("word_bpe_49k.json")
+    letters = "abcdefghijklmnopqrstuvwxyzABCéèçàñüß0123456789!?#-_ 你好ыв😀 "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 30, 400]))) for _ in range(600)]
+    texts += [None, "", " ", "a" * 5000, "ab" * 24, *("a" * n for n in range(1, 60)), "say <|endoftext|> twice <|endoftext|>", "the thethe \u0378 they"]
+    library, many = Tokenizer.from_file(path), merges(path)
+    library.no_truncation()
+    library.no_padding()
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    many.bpe.words.forget()
+    monkeypatch.setattr("clipwave.llm.wordmerges.REMEMBERED", 300)
+    assert [x.tolist() for k in range(0, len(texts), 50) for x in many.encode_texts(texts[k : k + 50])] == want
+    words = sorted({w for t in texts if t for w in many.bpe.split(t) if len(w.encode()) <= 48})
+    assert len(words) > 1000 and many.encode(words) == [bpe.load(path).encode_word(w) for w in words]
+    many.bpe.words.forget()
+    monkeypatch.setattr(bpe.Bpe, "encode_word", None)  # not a word goes through the encoder of single words
+    assert [x.tolist() for x in many.encode_texts(["some wholly ordinary wordings"])] == [library.encode("some wholly ordinary wordings", add_special_tokens=False).ids]
