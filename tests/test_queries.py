@@ -122,3 +122,12 @@ def test_ratios_halfway_between_two_last_digits(spark, tmp_path):
     e = spark.createDataFrame(values, "user_id long, i long, value double")
     events = e.selectExpr("user_id * 100 + i as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, int(i)) as ts", "user_id", "'view' as event_type", "value")
     same_as_sql(spark, tmp_path, "rolling_baseline_ratio", events=events.where("i <> 0 or value > 0"))
+
+
+def test_baseline_takes_the_whole_history(spark, tmp_path):
+    """The oldest 50 of the 100 events before, zeros before the first: events 0 to 49 count for event 100, event 0 alone for event 51."""
+    e = spark.range(102).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, int(id)) as ts", "1L as user_id", "'view' as event_type", "cast(id + 1 as double) as value")
+    same_as_sql(spark, tmp_path, "rolling_baseline_ratio", events=e)
+    got = {r["event_id"]: r["ratio"] for r in catalogue.queries()["rolling_baseline_ratio"](spark, str(tmp_path)).collect()}
+    assert got[50] == float("inf") and got[51] == 52 / (1 / 50)
+    assert got[100] == pytest.approx(101 / 25.5, abs=1e-6) and got[101] == pytest.approx(102 / 26.5, abs=1e-6)
