@@ -86,11 +86,13 @@ def give_back() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a slice holds about CHUNK_BYTES of text, or one row."""
+    """Cut Arrow batches so that a slice holds about CHUNK_BYTES of text (or of lists of longs), or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        column = batch.column(text)
+        lengths = pc.multiply(pc.list_value_length(column), 8) if pa.types.is_list(column.type) else pc.binary_length(column)
+        sizes = pc.fill_null(lengths, 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and held + n > CHUNK_BYTES:

@@ -15,8 +15,8 @@ Spark deals the work so that nothing but possible partners ever meets:
 3.  The survivors' short lists: of each class the n - T + 1 rarest shingles. Partners share
     at least one. Classes joined by such lists form groups.
 4.  In a group, DivideSkip: a query's lists are divided by length; the short ones are merged
-    by a heap, candidates that occur in enough of them are looked up in the long ones by
-    binary search, as long as they can still reach T. Queries start with the smallest
+    by one sort, candidates that occur in enough of them are looked up in the long ones by
+    binary search, if they can still reach T. Queries start with the smallest
     component and end when all that is left lies in one, as only components are asked for.
     A group that is too large for a task is dealt into blocks, whose trees are joined by
     representatives; only what then isn't in the group's largest component meets all blocks.
@@ -37,63 +37,113 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, begin, give_back, map_slices, materialize, slices, tables_of
+from .common import ARROW_ROWS, begin, give_back, map_slices, materialize, slices
 from .components import components
 
 WORDS = 5
 #: Part of the hash range in which shingles of all documents are compared first.
 PART = 0.3
+#: The hash range.
+EVERY = 1 << 64
 #: Shingles in one bucket of that comparison, and in one block of the search; rows in one block.
 BUCKET, TASK, ROWS = 400_000, 400_000, 128
 #: Most times that representatives are dealt anew (any number is exact).
 MOST_DEALS = 8
-#: Rounds of peeling among the survivors (any number is exact).
-PEELS = 2
+#: Rounds of peeling among the survivors (any number is exact); choosing short lists is one more.
+PEELS = 1
 #: Most keys that are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
-REMEMBERED = 100_000
 MANY = 0
 
-_words: dict[bytes, int] = {}
-tables_of("jaccard", _words.clear, _words.clear)
-
-
-def hash_words(words: list[bytes]) -> np.ndarray:
-    known = _words
-    if len(known) > REMEMBERED:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes (uint64) of a text's shingles."""
-    h = hash_words(text.encode("utf-8", "replace").lower().split()) if text else np.empty(0, np.uint64)
-    if not len(h):
-        return h
-    width = min(WORDS, len(h))
+#: What parts words, what they are lower-cased to, and the bits of a word's last bytes.
+SPACE, LOWER = np.zeros(256, dtype=bool), np.arange(256, dtype=np.uint8)
+SPACE[[32, *range(9, 14)]] = True
+LOWER[ord("A") : ord("Z") + 1] += 32
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Bytes of the longest words that are hashed together, eight bytes at a time.
+TOGETHER = 64
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of all texts, and how many words each text has; null has none."""
+    held = pc.fill_null(texts.cast(pa.binary()), b"")
+    offsets = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+    size = offsets[-1] - offsets[0]
+    if not size:
+        return np.empty(0, np.uint64), np.zeros(len(held), np.int64)
+    raw = np.frombuffer(held.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    lower = np.zeros(size + 8, dtype=np.uint8)
+    LOWER.take(raw, out=lower[:size])
+    inside = np.zeros(size + 2, dtype=bool)
+    np.logical_not(SPACE[raw], out=inside[1:-1])
+    border = np.zeros(size + 1, dtype=bool)  # before and behind a text
+    border[offsets] = True
+    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | border[:-1]))
+    ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | border[1:])) + 1
+    length = ends - starts
+    h = length.astype(np.uint64)
+    eight = np.ndarray(size + 1, "<u8", lower, strides=(1,))
+    todo = np.flatnonzero(length <= TOGETHER)
+    at = starts[todo]
+    while len(todo):
+        left = ends[todo] - at
+        x = h[todo] ^ (eight[at] & TAIL[np.minimum(left, 8)])
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        h[todo] = x ^ (x >> np.uint64(29))
+        more = left > 8
+        todo, at = todo[more], at[more] + 8
+    for i in np.flatnonzero(length > TOGETHER).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(lower[starts[i] : ends[i]])
+    return h, np.diff(np.searchsorted(starts, offsets))
+
+
+def mixed(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` hashes in a row."""
     n = len(h) - width + 1
     out = np.full(n, width, dtype=np.uint64)
     for k in range(width):
-        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= h[k : k + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct hashes (uint64) of each text's shingles; all texts are hashed together."""
+    h, words = word_hashes(texts)
+    every = mixed(h, WORDS) if len(h) >= WORDS else h[:0]  # also those that begin in one text and end in the next
+    fresh = np.ones(len(every), dtype=bool)
+    out, spans, at = [h[:0]] * len(texts), [], 0
+    for i, n in enumerate(words.tolist()):
+        if n >= WORDS:
+            every[at : at + n - WORDS + 1].sort()
+            spans.append((i, at, at + n - WORDS + 1))
+        elif n:
+            out[i] = mixed(h[at : at + n], n)
+        at += n
+    np.not_equal(every[1:], every[:-1], out=fresh[1:])
+    for i, a, b in spans:
+        fresh[a] = True
+        out[i] = every[a:b][fresh[a:b]]
+    return out
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
 def class_of(s: np.ndarray) -> int:
@@ -107,50 +157,51 @@ def required(n: int, m: int, percent: int = 80) -> int:
 
 
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``n`` and ``c`` (class) of every row."""
+    """``key``, ``n``, ``c`` (class) and ``low`` (the hashes in the low part of the hash range, packed) of every row."""
     kind = docs.schema[key].dataType.simpleString()
+    top = np.uint64(int(PART * EVERY))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in part.column(text).to_pylist()]
-        return pa.RecordBatch.from_arrays([part.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=[key, "n", "c"])
+        sets = shingle_sets(part.column(text))
+        low = [s[: s.searchsorted(top)].tobytes() for s in sets]
+        return pa.RecordBatch.from_arrays([part.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(low, pa.binary())], names=[key, "n", "c", "low"])
 
-    return map_slices(docs.select(key, text), work, f"`{key}` {kind}, n long, c long", text, "jaccard")
+    return map_slices(docs.select(key, text), work, f"`{key}` {kind}, n long, c long, low binary", text, "jaccard")
 
 
-def lonely(docs: DataFrame, text: str, total: int) -> DataFrame:
-    """``c`` and ``u``: how many shingles in the low part of the hash range only this class has.
+def hashes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a column of packed or listed ones, and how many each row has."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64), pc.binary_length(column).to_numpy(zero_copy_only=False) // 8
 
-    Shingles travel as packed arrays: one row for each bucket of hashes and task."""
-    top = int(PART * (1 << 64))
-    buckets = max(1, round(total * PART / BUCKET))
-    replies = max(1, buckets // 2)
-    step = -(-top // buckets)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def by_bucket(rows: DataFrame, column: str, buckets: int, top: int, pack: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """The hashes of ``column`` with their ``c``, dealt by ``bucket`` of the hash range up to ``top``.
+
+    They travel as packed arrays, one row for each bucket and BUCKET hashes of a task: ``pack`` gets them in order of hash
+    and gives the hashes that go on, and what goes with them."""
+    step = np.uint64(min(EVERY - 1, -(-top // buckets)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("jaccard")
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             h, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((c, h))
-            h, c = h[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            last = np.concatenate([first[1:], [len(h)]]) - 1
-            h, c = h[first], np.where(c[first] == c[last], c[first], MANY)
-            bucket = (h // np.uint64(step)).astype(np.int64)
+            order = np.argsort(h)
+            found = pack(h[order], c[order])
+            bucket = np.minimum(next(iter(found.values())) // step, np.uint64(buckets - 1)).astype(np.int64)
             ends = np.searchsorted(bucket, np.arange(buckets + 1))
             used = [b for b in range(buckets) if ends[b + 1] > ends[b]]
-            low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "hs": [low[ends[b] : ends[b + 1]].tobytes() for b in used], "cs": [c[ends[b] : ends[b + 1]].tobytes() for b in used]})
-
-        for part in slices(batches, text):
-            for t in part.column(text).to_pylist():
-                s = shingles(t)
-                low = s[: np.searchsorted(s, np.uint64(top))]
-                if len(low):
-                    held.append((low, np.full(len(low), class_of(s), dtype=np.int64)))
-                    size += len(low)
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32())} | {k: pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in used], pa.binary()) for k, x in found.items()})
+
+        for part in slices(batches, column):
+            flat, each = hashes_of(part.column(column))
+            if len(flat):
+                held.append((flat, np.repeat(part.column("c").to_numpy(), each)))
+                size += len(flat)
             if size > BUCKET:
                 yield flush()
                 held, size = [], 0
@@ -158,26 +209,58 @@ def lonely(docs: DataFrame, text: str, total: int) -> DataFrame:
             yield flush()
         give_back()
 
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return rows.where("n > 0").select("c", column).mapInArrow(run, schema)
+
+
+def unpacked(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table.column(column).to_pylist()])
+
+
+def runs_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of equal values."""
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return first, np.concatenate([first[1:], [len(h)]]) - 1
+
+
+def one_or_many(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each run of ``h``, and its class; MANY where it has several."""
+    first, _ = runs_of(h)
+    low, high = np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)
+    return first, np.where(low == high, low, MANY)
+
+
+def dealt_by_class(replies: int, c: np.ndarray, **more: np.ndarray) -> pa.Table:
+    """``reply`` and packed arrays: what belongs to the classes of each reply."""
+    reply = c % replies
+    order = np.argsort(reply, kind="stable")
+    ends = np.searchsorted(reply[order], np.arange(replies + 1))
+    used = [b for b in range(replies) if ends[b + 1] > ends[b]]
+    arrays = {k: x[order] for k, x in ({"cs": c} | more).items()}
+    return pa.table({"reply": pa.array(used, pa.int32())} | {k: pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in used], pa.binary()) for k, x in arrays.items()})
+
+
+def lonely(rows: DataFrame, column: str, total: int, top: int) -> DataFrame:
+    """``c`` and ``u``: how many hashes of ``column``, all under ``top`` and about ``total`` of them, only this class has."""
+    buckets = max(1, round(total / BUCKET))
+    replies = max(1, buckets // 2)
+
+    def pack(h: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+        first, c = one_or_many(h, c)
+        return {"hs": h[first], "cs": c}
+
     def compare(table: pa.Table) -> pa.Table:
         begin("jaccard")
-        h = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("hs").to_pylist()])
-        c = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("cs").to_pylist()])
-        order = np.lexsort((c, h))
-        h, c = h[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        last = np.concatenate([first[1:], [len(h)]]) - 1
-        own = c[first][(c[first] == c[last]) & (c[first] != MANY)]
-        own = own[np.argsort(own % replies, kind="stable")]
-        ends = np.searchsorted(own % replies, np.arange(replies + 1))
-        used = [b for b in range(replies) if ends[b + 1] > ends[b]]
-        return pa.table({"reply": pa.array(used, pa.int32()), "cs": pa.array([own[ends[b] : ends[b + 1]].tobytes() for b in used], pa.binary())})
+        h, c = unpacked(table, "hs", np.uint64), unpacked(table, "cs", np.int64)
+        order = np.argsort(h)
+        _, c = one_or_many(h[order], c[order])
+        return dealt_by_class(replies, c[c != MANY])
 
     def count(table: pa.Table) -> pa.Table:
-        c, u = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in table.column("cs").to_pylist()]), return_counts=True)
+        c, u = np.unique(unpacked(table, "cs", np.int64), return_counts=True)
         return pa.table({"c": c, "u": u.astype(np.int64)})
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    packed = docs.select(text).mapInArrow(deal, "bucket int, hs binary, cs binary")
+    packed = by_bucket(rows, column, buckets, top, pack, "bucket int, hs binary, cs binary")
     own = packed.groupBy("bucket").applyInArrow(compare, "reply int, cs binary")
     return own.groupBy("reply").applyInArrow(count, "c long, u long")
 
@@ -193,32 +276,63 @@ def survivors(docs: DataFrame, described: DataFrame, key: str, text: str) -> Dat
     slack = F.expr("n - (4 * n + 4) div 5")
     total = described.agg(F.sum("n")).first()[0] or 0
     classes = described.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("c", "n").agg(F.min(key).alias("node"))
-    left = classes.join(lonely(docs, text, total), "c", "left").where(F.coalesce("u", F.lit(0)) <= slack)
+    left = classes.join(lonely(described, "low", total * PART, int(PART * EVERY)), "c", "left").where(F.coalesce("u", F.lit(0)) <= slack)
     nodes = materialize(left.select("node", "c", "n"), "nodes")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in part.column("text").to_pylist()]
+        sets = shingle_sets(part.column("text"))
         return pa.RecordBatch.from_arrays([part.column("node"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "c", "s"])
 
     texts = keyed(docs.select(F.col(key).alias("node"), F.col(text).alias("text")), nodes.select("node").distinct(), "node")
     sets = map_slices(texts, work, "node long, c long, s array<long>", operator="jaccard").dropDuplicates(["node", "c"])
     now = materialize(sets.join(nodes, ["node", "c"]).select("node", "c", "n", "s"), "sets")
     for _ in range(PEELS):
-        lists = now.select("node", "c", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("f"), F.min(F.struct("node", "c")).alias("one"))
-        alone = lists.where("f = 1").groupBy("one.node", "one.c").agg(F.count("*").alias("u"))
-        now = materialize(now.join(alone, ["node", "c"], "left").where(F.coalesce("u", F.lit(0)) <= slack).select("node", "c", "n", "s"), "sets")
+        alone = lonely(now, "s", now.agg(F.sum("n")).first()[0] or 0, EVERY)
+        now = materialize(now.join(alone, "c", "left").where(F.coalesce("u", F.lit(0)) <= slack).select("node", "c", "n", "s"), "sets")
     return now
 
 
+def short_lists(sets: DataFrame) -> DataFrame:
+    """``node`` and ``h``: of each node its n - T + 1 rarest shingles, without those that no other node has.
+
+    The latter come first in order of length and take up places, so a node with over n - T of them has no short list: it has no partner."""
+    buckets = max(1, round((sets.agg(F.sum("n")).first()[0] or 0) / BUCKET))
+
+    def compare(table: pa.Table) -> pa.Table:
+        begin("jaccard")
+        h, c = unpacked(table, "hs", np.uint64), unpacked(table, "cs", np.int64)
+        order = np.argsort(h)
+        first, last = runs_of(h[order])
+        length = np.repeat(last - first + 1, last - first + 1)
+        shared = order[length > 1]
+        return dealt_by_class(buckets, c[shared], hs=h[shared], fs=length[length > 1])
+
+    def choose(lists: pa.Table, nodes: pa.Table) -> pa.Table:
+        begin("jaccard")
+        if not (lists.num_rows and nodes.num_rows):
+            return pa.table({"node": pa.array([], pa.int64()), "h": pa.array([], pa.int64())})
+        c, h, f = unpacked(lists, "cs", np.int64), unpacked(lists, "hs", np.uint64), unpacked(lists, "fs", np.int64)
+        order = np.lexsort((h, f, c))
+        c, h = c[order], h[order]
+        first, last = runs_of(c)
+        own = nodes.column("c").to_numpy()
+        at = np.argsort(own)
+        place = at[np.searchsorted(own[at], c[first])]
+        n, node = nodes.column("n").to_numpy()[place], nodes.column("node").to_numpy()[place]
+        size = last - first + 1
+        places = np.maximum(0, size - (4 * n + 4) // 5 + 1)
+        kept = np.arange(len(c)) - np.repeat(first, size) < np.repeat(places, size)
+        return pa.table({"node": np.repeat(node, size)[kept], "h": h[kept].view(np.int64)})
+
+    packed = by_bucket(sets, "s", buckets, EVERY, lambda h, c: {"hs": h, "cs": c}, "bucket int, hs binary, cs binary")
+    lists = packed.groupBy("bucket").applyInArrow(compare, "reply int, cs binary, hs binary, fs binary")
+    nodes = sets.select("node", "c", "n", F.pmod("c", F.lit(buckets)).cast("int").alias("reply"))
+    return lists.groupBy("reply").cogroup(nodes.groupBy("reply")).applyInArrow(choose, "node long, h long")
+
+
 def groups(sets: DataFrame) -> DataFrame:
-    """``node`` and ``component``: nodes joined by a short list; each node's n - T + 1 rarest shingles are its short lists."""
-    each = sets.select("node", "c", "n", F.explode("s").alias("h"))
-    lengths = each.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    # Shingles that no other node has come first in order of length; they take up places among the short lists.
-    shared = each.join(lengths, "h").groupBy("node", "c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("lists"))
-    places = F.expr("n - (4 * n + 4) div 5 + 1 - (n - size(lists))").cast("int")
-    short = shared.select("node", F.explode(F.slice("lists", F.lit(1), F.greatest(F.lit(0), places))).alias("x")).select("node", "x.h")
-    short = materialize(short, "short-lists")
+    """``node`` and ``component``: nodes joined by a short list."""
+    short = materialize(short_lists(sets), "short-lists")
     edges = short.join(short.groupBy("h").agg(F.min("node").alias("m")), "h").where("node != m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
     return components(edges)
 
@@ -259,7 +373,7 @@ class DivideSkip:
         number = np.empty(len(every), dtype=np.int64)
         number[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(every)]])))
         self.owners, self.first, self.stop = owner[order], first, np.concatenate([first[1:], [len(every)]]).astype(np.int64)
-        self.lists_of = np.split(number, np.cumsum(self.sizes)[:-1]) if sets else []
+        self.lists_of = [np.sort(x) for x in np.split(number, np.cumsum(self.sizes)[:-1])] if sets else []
 
     def partners(self, q: int, skip) -> Iterator[int]:  # noqa: ANN001
         """Sets that link with set ``q`` and that ``skip`` (asked just before the look-up) doesn't pass over."""
@@ -269,31 +383,30 @@ class DivideSkip:
         least = -(-self.percent * n // 100)
         mine = self.lists_of[q]
         length = self.stop[mine] - self.first[mine]
-        mine = mine[np.argsort(length, kind="stable")]
-        longest = int(length.max())
+        order = np.argsort(length, kind="stable")
+        mine, length = mine[order], length[order]
         # Long lists: so many that short ones must still be merged for one occurrence at least.
-        long = min(least - 1, int(least / (0.0085 * np.log2(longest + 1) + 1)))
+        long = min(least - 1, int(least / (0.0085 * np.log2(int(length[-1]) + 1) + 1)))
         enough = least - long
-        short, far = mine[: n - long], mine[n - long :]
-        cut = [self.owners[self.first[k] : self.stop[k]] for k in short if self.stop[k] - self.first[k] > 1]
-        cut = [x[np.searchsorted(x, low) : np.searchsorted(x, high)].tolist() for x in cut]
-        probed = None
-        for other, run in groupby(heapq.merge(*cut)):
-            if other == q or skip(other):
-                continue
-            count = sum(1 for _ in run)
-            if count < enough:
+        far, some = mine[n - long :], length[: n - long] > 1
+        short, length = mine[: n - long][some], length[: n - long][some]
+        if not len(short):
+            return
+        merged = self.owners[np.repeat(self.first[short] - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        merged = np.sort(merged[(merged >= low) & (merged < high) & (merged != q)])
+        if not len(merged):
+            return
+        first, last = runs_of(merged)
+        counts = last - first + 1
+        often = counts >= enough
+        for other, count in zip(merged[first[often]].tolist(), counts[often].tolist(), strict=True):
+            if skip(other):
                 continue
             need = required(n, self.sizes[other], self.percent)
-            if probed is None:
-                probed = [self.owners[self.first[k] : self.stop[k]] for k in far]
-            rest = len(probed)
-            for x in probed:
-                if count >= need or count + rest < need:
-                    break
-                at = x.searchsorted(other)
-                count += at < len(x) and x[at] == other
-                rest -= 1
+            if count < need <= count + long:
+                theirs = self.lists_of[other]
+                at = np.minimum(np.searchsorted(theirs, far), len(theirs) - 1)
+                count += np.count_nonzero(theirs[at] == far)
             if count >= need:
                 yield other
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,42 @@ def test_join_empty(spark):
     assert jaccard.join(table(spark, [])).count() == 0
 
 
+def test_shingles_of_a_batch():
+    """Texts are hashed together, in any slice of a column, and no shingle reaches from one into the next."""
+    texts = [None, "", " \n", "a", "A", "a b c d e", "A  b\x0bC d\te", "x " * 300, "a b c d", "e f g", "\x1c\x85 b c d e f", "y" * 64, "y" * 65, "Y" * 500 + " z", *copies(3)]
+    column = pa.array(["before", *texts, "behind"])
+    got = jaccard.shingle_sets(column.slice(1, len(texts)))
+    assert [len(s) for s in got] == [len(word_set(t)) for t in texts]
+    assert all((s[1:] > s[:-1]).all() for s in got)
+    same = {}
+    for t, s in zip(texts, got, strict=True):
+        assert same.setdefault(frozenset(word_set(t)), s.tobytes()) == s.tobytes() == jaccard.shingles(t).tobytes()
+    assert len({*same.values()}) == len(same)
+
+
+def test_short_lists_by_brute_force(spark, monkeypatch):
+    """The n - T + 1 rarest shingles, those of one node only going first and left out; packed in many buckets."""
+    monkeypatch.setattr(jaccard, "BUCKET", 90)
+    rng = random.Random(6)
+    sets = [{rng.randrange(-300, 300) << 54 for _ in range(rng.randint(1, 60))} for _ in range(40)]
+    rows = [(k, 2 * k - 39, len(s), sorted(s, key=lambda h: h % (1 << 64))) for k, s in enumerate(sets)]
+    found = jaccard.short_lists(spark.createDataFrame(rows, "node long, c long, n long, s array<long>"))
+    often = Counter(h for s in sets for h in s)
+    want = Counter()
+    for k, s in enumerate(sets):
+        rarest = sorted(s, key=lambda h: (often[h], h % (1 << 64)))[: len(s) - -(-4 * len(s) // 5) + 1]
+        want.update((k, h) for h in rarest if often[h] > 1)
+    assert want and Counter(map(tuple, found.collect())) == want
+
+
+def test_peeling_reads_no_texts(spark):
+    """What describes a document holds the hashes that peeling compares, so no text is shingled twice for it."""
+    rows = jaccard.describe(table(spark, [*enumerate(["one two three four five six", "ONE two three four five six", "one two three four five seven eight", "alone"])]), "doc_id", "text")
+    got = {r["c"]: r["u"] for r in jaccard.lonely(rows, "low", 4, 1 << 64).collect()}
+    low = Counter(h for c, s in {r["c"]: bytes(r["low"]) for r in rows.collect()}.items() for h in np.frombuffer(s, np.uint64))
+    assert "text" not in rows.columns and sum(got.values()) == sum(v == 1 for v in low.values())
+
+
 def test_divide_skip_finds_every_partner():
     rng = np.random.default_rng(8)
     for _ in range(20):
