@@ -195,12 +195,11 @@ def step_of(measure: str) -> Column:
     return F.floor(F.col(measure) * STEPS)
 
 
-def floors(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> dict[str, list[int]]:
-    """Least steps of ``score`` and ``margin`` for each class of length. Only counts by step reach the driver."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.struct(F.col(lang).cast("string").alias("lang"), length_class(text).alias("size")).alias("own"), F.col(text).alias("text"))
-    right = identify(rows, profiles, "own").where(F.col("own.lang") == F.col("lang_pred"))
+def floors(found: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[int]]:
+    """Least steps of ``score`` and ``margin`` for each class of length, from identified texts with their columns. Only counts by step reach the driver."""
+    right = found.where(F.col(text).isNotNull() & (F.col(lang).cast("string") == F.col("lang_pred"))).withColumn("size", length_class(text))
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), step_of(m).alias("step")) for m in ("score", "margin")))).alias("m")
-    counts = right.select("own.size", each).groupBy("size", "m.measure", "m.step").count().collect()
+    counts = right.select("size", each).groupBy("size", "m.measure", "m.step").count().collect()
 
     def least(found: list) -> int | None:
         total, seen = sum(r["count"] for r in found), 0

@@ -9,7 +9,7 @@ empty one; rows that repeat are judged alike.
 
 * ``quality``: without labels of documents in ``docs`` every score is 0.5, so all stay. A
   score of exactly 0.5 stays.
-* ``language``: a text without a letter goes. What is left has a language: a null one is
+* ``language``: each text is identified once, and written with what was found, as floors come from all of them. A text without a letter goes. What is left has a language: a null one is
   filled with what was found. Without any labelled text nothing is known, so all goes.
 * ``near_duplicates``: rows without an id stay, as do texts without words. Of rows that
   repeat an id all stay or none.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, gam, jaccard, langid, mixing
-from .common import free_name, table
+from .common import free_name, materialize, table
 
 
 def aside(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list]:
@@ -49,9 +49,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a learned language: those without a letter, or under the floors of labelled texts of their length, go. A missing language is filled in."""
     profiles = langid.learn(docs)
-    least = langid.floors(docs, profiles)
     docs, own = aside(docs, ("lang_pred", "score", "margin"))
-    kept = langid.identify(docs, profiles, keep=True).where(langid.known(least))
+    found = materialize(langid.identify(docs, profiles, keep=True), "identified")
+    kept = found.where(langid.known(langid.floors(found)))
     return kept.withColumn("lang", F.coalesce("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType))).select(own)
 
 

@@ -548,6 +548,20 @@ def test_language_stage_rejects_what_is_in_no_learned_language(spark):
     assert kept == {r["doc_id"] for r in docs.collect()}
 
 
+def test_language_stage_identifies_each_text_once(spark, monkeypatch):
+    """Floors come from what the stage keeps anyway; they are those of the labelled texts that got their own language."""
+    docs = common.table(spark, DIR, "documents")
+    seen, identify, floors, least = [], langid.identify, langid.floors, []
+    monkeypatch.setattr(langid, "identify", lambda *a, **b: seen.append(1) or identify(*a, **b))
+    monkeypatch.setattr(langid, "floors", lambda *a: least.append(floors(*a)) or least[-1])
+    assert stages.language(spark, docs, DIR).count() and len(seen) == 1
+    rows = [r for r in identify(docs, langid.learn(docs), keep=True).collect() if r["text"] is not None and r["lang"] == r["lang_pred"]]
+    for measure in ("score", "margin"):
+        for k, low in enumerate(least[0][measure]):
+            steps = sorted(math.floor(r[measure] * langid.STEPS) for r in rows if sum(len(r["text"]) >= n for n in langid.LENGTHS) == k)
+            assert not steps or low == steps[int(langid.FLOOR_SHARE * len(steps))]
+
+
 def test_pipeline_runs(spark):
     docs = common.table(spark, DIR, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
