@@ -39,7 +39,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
@@ -392,6 +392,16 @@ def decode_documents(encoded: DataFrame, path: str | None = None, ids: str = "id
     return encoded.mapInArrow(run, schema)
 
 
+def digests(bpe: Bpe, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+    """Tokens of each text, and digests of its ids and of what they decode to. Equal texts, which mixing puts side by side, are encoded once."""
+    done: dict[str | None, tuple[int, str, str]] = {}
+    for t in texts:
+        if t not in done:
+            ids = bpe.encode(t)
+            done[t] = (len(ids), hashlib.sha256(bpe.numbers.joined(ids)).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest())
+        yield done[t]
+
+
 def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode each text, decode its ids, and return counts and digests of both, in one pass."""
     path = path or default_path()
@@ -399,12 +409,8 @@ def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path)
-        counts, of_ids, of_text = [], [], []
-        for t in part.column(text).to_pylist():
-            ids = bpe.encode(t)
-            counts.append(len(ids))
-            of_ids.append(hashlib.sha256(bpe.numbers.joined(ids)).hexdigest())
-            of_text.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-        return pa.RecordBatch.from_arrays([part.column(key), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        found = list(digests(bpe, part.column(text).to_pylist()))
+        counts, of_ids, of_text = zip(*found, strict=True) if found else ([], [], [])
+        return pa.RecordBatch.from_arrays([part.column(key), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_slices(docs.select(key, text), work, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", text, "bpe")

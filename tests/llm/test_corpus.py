@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from clipwave.llm import common, components, gam, jaccard, kdsearch, langid, mixing, queries, sharding, stages
+from clipwave.llm import bpe, common, components, gam, jaccard, kdsearch, langid, mixing, queries, sharding, stages
 
 from ..conftest import DATA
 
@@ -548,6 +548,18 @@ def test_language_stage_rejects_what_is_in_no_learned_language(spark):
     assert kept == {r["doc_id"] for r in docs.collect()}
 
 
+def test_copies_that_mixing_makes_are_encoded_once(spark, monkeypatch):
+    encoder = bpe.load(bpe.default_path())
+    texts = ["some words", None, "some words", "", "others", None, "some words"]
+    want = [*bpe.digests(encoder, ["some words"]), *bpe.digests(encoder, [""]), *bpe.digests(encoder, ["others"])]
+    seen, encode = [], encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda t: seen.append(t) or encode(t))
+    assert list(bpe.digests(encoder, texts)) == [want[k] for k in (0, 1, 0, 1, 2, 1, 0)]
+    assert seen == ["some words", None, "", "others"]
+    got = bpe.round_trip(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == [want[k] for k in (0, 1, 0, 1, 2, 1, 0)]
+
+
 def test_language_stage_identifies_each_text_once(spark, monkeypatch):
     """Floors come from what the stage keeps anyway; they are those of the labelled texts that got their own language."""
     docs = common.table(spark, DIR, "documents")
