@@ -131,3 +131,14 @@ def test_baseline_takes_the_whole_history(spark, tmp_path):
     got = {r["event_id"]: r["ratio"] for r in catalogue.queries()["rolling_baseline_ratio"](spark, str(tmp_path)).collect()}
     assert got[50] == float("inf") and got[51] == 52 / (1 / 50)
     assert got[100] == pytest.approx(101 / 25.5, abs=1e-6) and got[101] == pytest.approx(102 / 26.5, abs=1e-6)
+
+
+def test_ratios_halfway_of_the_whole_history(spark, tmp_path):
+    """As above, over a baseline of 50 of 100 events whose sum is exact."""
+    rows = [(416.14, 640.0), (417.09, 320.0), (480.87, 2880.0), (165.69, 8000.0), (327.0, 640.0)]
+    values = [(u, i, {0: base, 100: x}.get(i, 0.0)) for u, (x, base) in enumerate(rows) for i in range(101)]
+    e = spark.createDataFrame(values, "user_id long, i long, value double")
+    events = e.selectExpr("user_id * 1000 + i as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, int(i)) as ts", "user_id", "'view' as event_type", "value")
+    same_as_sql(spark, tmp_path, "rolling_baseline_ratio", events=events)
+    got = {r["event_id"]: r["ratio"] for r in catalogue.queries()["rolling_baseline_ratio"](spark, str(tmp_path)).collect()}
+    assert all(abs(got[u * 1000 + 100] - 50 * x / base) < 1e-6 for u, (x, base) in enumerate(rows))
